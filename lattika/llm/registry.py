@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from lattika.llm.decontamination import OP1_SQL, op1_decontamination
 from lattika.llm.piece_codec import op2_sentencepiece
+from lattika.llm.sharding import op8_sharding
 from lattika.llm.token_counts import op3_token_counts
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_token_counts": op3_token_counts,
+    "op8_sharding": op8_sharding,
 }
 
 #: Operators without an entry are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL}
