@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lattika.llm.decontamination import OP1_SQL, op1_decontamination
+from lattika.llm.language_id import op5_language_id
 from lattika.llm.piece_codec import op2_sentencepiece
 from lattika.llm.sharding import op8_sharding
 from lattika.llm.token_counts import op3_token_counts
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_token_counts": op3_token_counts,
+    "op5_language_id": op5_language_id,
     "op8_sharding": op8_sharding,
 }
 
