@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,3 +96,18 @@ def powers(n: int, base: int = 0x9E3779B97F4A7C15 | 1) -> tuple[np.ndarray, np.n
             _POWERS.append(out)
         del _POWERS[:-2]
     return _POWERS[0], _POWERS[1]
+
+
+def durable_table(df: DataFrame) -> DataFrame:
+    """Writes a table into the shared folder and reads it back: columns can be read alone, and nothing is computed again."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that nothing refers to any longer."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
