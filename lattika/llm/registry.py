@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lattika.llm.decontamination import OP1_SQL, op1_decontamination
 from lattika.llm.language_id import op5_language_id
+from lattika.llm.near_dedup import OP7_SQL, op7_minhash_dedup
 from lattika.llm.piece_codec import op2_sentencepiece
 from lattika.llm.sharding import op8_sharding
 from lattika.llm.suffix_automata import OP4_SQL, op4_substring_dedup
@@ -17,8 +18,9 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_language_id": op5_language_id,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op8_sharding": op8_sharding,
 }
 
 #: Operators without an entry are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_suffix_dedup": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_suffix_dedup": OP6_SQL, "op7_minhash_dedup": OP7_SQL}
