@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lattika.llm.decontamination import OP1_SQL, op1_decontamination
+from lattika.llm.embedding_dedup import OP10_SQL, op10_embedding_dedup
 from lattika.llm.language_id import op5_language_id
 from lattika.llm.near_dedup import OP7_SQL, op7_minhash_dedup
 from lattika.llm.piece_codec import op2_sentencepiece
@@ -20,7 +21,8 @@ QUERIES = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_sharding": op8_sharding,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 #: Operators without an entry are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_suffix_dedup": OP6_SQL, "op7_minhash_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_suffix_dedup": OP6_SQL, "op7_minhash_dedup": OP7_SQL, "op10_embedding_dedup": OP10_SQL}
