@@ -5,7 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lattika.llm.common import table
+from lattika.llm.decontamination import drop_contaminated
+from lattika.llm.language_id import drop_foreign, learn
+from lattika.llm.near_dedup import keep_one_of_each
 from lattika.llm.piece_codec import digest, encode_documents, model_file
+from lattika.llm.suffix_blocks import drop_repeats
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in none of the languages of the labelled documents, and those without a letter."""
+    return drop_foreign(docs, learn(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of copies and near copies."""
+    return keep_one_of_each(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes out of each text the 50-byte strings that also start in a document with a smaller doc_id."""
+    return drop_repeats(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which a window of a benchmark item occurs."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,9 +37,15 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return digest(encode_documents(docs, model_file()))
 
 
-STAGES = [("sentencepiece", encode)]
+STAGES = [
+    ("language_id", language_id),
+    ("minhash_near_dedup", near_dedup),
+    ("suffix_array_dedup", suffix_dedup),
+    ("benchmark_decontamination", decontaminate),
+    ("sentencepiece", encode),
+]
 
-#: The stages have no SQL form; tests/llm holds them against brute force.
+#: Language identification and tokenisation have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -11,6 +11,7 @@ from lattika.llm.sharding import op8_sharding
 from lattika.llm.suffix_automata import OP4_SQL, op4_substring_dedup
 from lattika.llm.suffix_blocks import OP6_SQL, op6_suffix_dedup
 from lattika.llm.token_counts import op3_token_counts
+from lattika.llm.training_order import op9_training_order
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_sharding": op8_sharding,
+    "op9_training_order": op9_training_order,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
