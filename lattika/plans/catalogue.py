@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from lattika.plans import kg_queries
+
+FAMILIES = [kg_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    return kg_queries.kg_bgp_minus(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for family in FAMILIES for name, f in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for family in FAMILIES for name, sql in family.SQL.items()}
