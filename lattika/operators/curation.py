@@ -208,13 +208,17 @@ def keep_link(url: Column, mime: Column) -> Column:
 
 
 #: What may not stand in tool code, and modules that may be imported (fixed values).
-DENIED = [r"\bos\b", r"\bsys\b", r"subprocess", r"\beval\s*\(", r"\bexec\s*\(", r"__import__", r"\bopen\s*\(", r"\binput\s*\(", r"\bcompile\s*\(", r"\bglobals\s*\(", r"\blocals\s*\("]
+DENIED = [
+    r"import\s+os", r"import\s+sys", r"import\s+subprocess", r"import\s+shutil", r"import\s+glob", r"import\s+pathlib", r"__import__", r"eval\s*\(", r"exec\s*\(", r"open\s*\(", r"file\s*\(",
+    r"input\s*\(", r"raw_input\s*\(", r"compile\s*\(", r"execfile\s*\(", r"getattr\s*\(", r"setattr\s*\(", r"delattr\s*\(", r"hasattr\s*\(", r"globals\s*\(", r"locals\s*\(", r"vars\s*\(",
+    r"dir\s*\(", r"type\s*\(", r"isinstance\s*\(", r"issubclass\s*\(", r"super\s*\(", r"property\s*\(", r"staticmethod\s*\(", r"classmethod\s*\(", r"__\w+__",
+]
 ALLOWED_IMPORTS = ["math", "random", "datetime", "collections", "itertools", "functools", "operator", "statistics", "decimal", "fractions"]
 
 
 def is_safe_code(code: Column) -> Column:
-    imports = F.concat(F.regexp_extract_all(code, F.lit(r"(?m)^\s*import\s+(\w+)"), F.lit(1)), F.regexp_extract_all(code, F.lit(r"(?m)^\s*from\s+(\w+)"), F.lit(1)))
-    denied = code.rlike("|".join(f"(?:{d})" for d in DENIED))
+    imports = F.concat(F.regexp_extract_all(code, F.lit(r"import\s+(\w+)"), F.lit(1)), F.regexp_extract_all(code, F.lit(r"from\s+(\w+)"), F.lit(1)))
+    denied = code.rlike("(?i)" + "|".join(f"(?:{d})" for d in DENIED))
     return ~denied & (F.size(F.array_except(imports, F.array(*map(F.lit, ALLOWED_IMPORTS)))) == 0)
 
 
