@@ -158,8 +158,9 @@ def whiten(rows: DataFrame, values: str, mask: str, shift: bool = True, epsilon:
     """Values less the mean over the whole table's mask, divided by its deviation (n - 1 if there are two at least); raises on an empty mask."""
     v, m = F.col(values), F.transform(mask, lambda x: x.cast("double"))
     sums = rows.agg(F.sum(masked_sum(v, m)).alias("s"), F.sum(masked_sum(F.transform(v, lambda x: x * x), m)).alias("q"), F.sum(total(m)).alias("n"))
-    mean = F.col("s") / F.col("n")
-    var = (F.col("q") / F.col("n") - mean * mean) * F.when(F.col("n") >= 2, F.col("n") / (F.col("n") - 1)).otherwise(1.0)
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    mean = F.col("s") / n
+    var = (F.col("q") / n - mean * mean) * F.when(F.col("n") >= 2, F.col("n") / (F.col("n") - 1)).otherwise(1.0)
     stats = sums.select(F.when(F.col("n") > 0, mean).otherwise(F.raise_error(F.lit("the mask is empty"))).alias("__mean"), var.alias("__var"))
     back = F.col("__mean") if not shift else F.lit(0.0)
     return rows.crossJoin(F.broadcast(stats)).withColumn(values, F.transform(v, lambda x: (x - F.col("__mean")) / F.sqrt(F.col("__var") + epsilon) + back)).drop("__mean", "__var")
