@@ -5,11 +5,12 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that Spark puts into one Arrow batch for the Python stages; texts may be long.
 ARROW_ROWS = 1000
@@ -98,6 +99,13 @@ def powers(n: int, base: int = 0x9E3779B97F4A7C15 | 1) -> tuple[np.ndarray, np.n
     return _POWERS[0], _POWERS[1]
 
 
+def by_position(docs: DataFrame, run: Callable[[DataFrame, Callable[[str], str]], DataFrame]) -> DataFrame:
+    """Rows that run keeps, with all columns of docs. run sees them under names that clash with none of its own: c0, c1 and so on."""
+    names = docs.columns
+    out = run(docs.toDF(*[f"c{k}" for k in range(len(names))]), lambda name: f"c{names.index(name)}")
+    return out.select(*[F.col(f"c{k}").alias(name) for k, name in enumerate(names)])
+
+
 def durable_table(df: DataFrame) -> DataFrame:
     """Writes a table into the shared folder and reads it back: columns can be read alone, and nothing is computed again."""
     spark = df.sparkSession

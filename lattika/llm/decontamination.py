@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattika.llm.common import small_batches, table
+from lattika.llm.common import by_position, small_batches, table
 
 #: Words of a window.
 WINDOW = 10
@@ -146,10 +146,9 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
     return state
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The documents, with all their columns, in which no window of an item occurs."""
-    found = find_contamination(docs, items, keep=tuple(docs.columns))
-    return found.filter(F.col("n_hit") == 0).select(*docs.columns)
+    return by_position(docs, lambda rows, at: find_contamination(rows, items, text=at(text), keep=tuple(rows.columns)).filter(F.col("n_hit") == 0))
 
 
 def digest(found: DataFrame) -> DataFrame:

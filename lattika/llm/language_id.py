@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattika.llm.common import mix64, small_batches, table, text_slices
+from lattika.llm.common import by_position, mix64, small_batches, table, text_slices
 from lattika.llm.merge_rounds import code_points
 
 #: Letters and word limits of an n-gram.
@@ -178,12 +178,10 @@ def identify(docs: DataFrame, filters: LanguageFilters, text: str = "text", keep
 FOREIGN_GRAMS, FOREIGN_SCORE = 20, 0.2
 
 
-def drop_foreign(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
+def drop_foreign(docs: DataFrame, filters: LanguageFilters, text: str = "text") -> DataFrame:
     """The documents, with all their columns, that are in a learned language. Texts too short to judge stay, those without a letter go."""
-    known = (F.col("__id.lang_pred") != "und") & ((F.col("__id.score") >= FOREIGN_SCORE) | (F.col("__id.n_grams") < FOREIGN_GRAMS))
-    judged = identify(docs, filters, keep=tuple(docs.columns))
-    names = judged.columns
-    return judged.toDF(*[f"c{k}" for k in range(len(names) - 3)], "lang_pred", "score", "n_grams").withColumn("__id", F.struct("lang_pred", "score", "n_grams")).filter(known).select(*[F.col(f"c{k}").alias(x) for k, x in enumerate(docs.columns)])
+    known = (F.col("lang_pred") != "und") & ((F.col("score") >= FOREIGN_SCORE) | (F.col("n_grams") < FOREIGN_GRAMS))
+    return by_position(docs, lambda rows, at: identify(rows, filters, text=at(text), keep=tuple(rows.columns)).filter(known))
 
 
 def held_out() -> object:

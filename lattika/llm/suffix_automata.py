@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattika.llm.common import mix64, powers, small_batches, table
+from lattika.llm.common import by_position, mix64, powers, small_batches, table
 from lattika.llm.repeats import FAR_DOC, Contexts, Shape, find_repeats
 from lattika.llm.suffix_blocks import attach
 
@@ -196,6 +196,10 @@ def drop_repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     A text from which nothing goes stays as it is, so do null texts.
     """
+    return by_position(docs, lambda rows, at: _drop_repeated_words(rows, at(doc_id), at(text)))
+
+
+def _drop_repeated_words(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     attached = attach(docs, repeated_word_spans(docs, doc_id, text), doc_id, text)
     col = F.col(f"`{text}`")
     copy = F.col("__found").isNull() & F.col(f"`{doc_id}`").isNotNull() & (word_count(col) >= WINDOW)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattika.llm.common import table
+from lattika.llm.common import by_position, table
 from lattika.llm.repeats import FAR_DOC, Contexts, Shape, find_repeats
 
 #: Bytes of a string that must not start in two documents.
@@ -138,6 +138,10 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Where a cut goes through a character, its remaining bytes are dropped too. A
     document of which nothing is left stays, with an empty text.
     """
+    return by_position(docs, lambda rows, at: _drop_repeats(rows, at(doc_id), at(text)))
+
+
+def _drop_repeats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     attached = attach(docs, repeated_spans(docs, doc_id, text), doc_id, text)
 
     @F.pandas_udf("string")
