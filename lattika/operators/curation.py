@@ -235,6 +235,6 @@ def prepare_questions(rows: DataFrame, limit: int | None = None) -> DataFrame:
     The first `limit` rows count before empty questions are dropped.
     """
     if limit is not None:
-        rows = rows.orderBy("ord").limit(limit) if "ord" in rows.columns else rows.withColumn("__k", F.row_number().over(W.orderBy("id"))).filter(F.col("__k") <= limit).drop("__k")
+        rows = rows.orderBy("ord" if "ord" in rows.columns else "id").limit(limit)
     kept = rows.filter(F.coalesce(F.trim("question"), F.lit("")) != "")
     return kept.select("question", F.to_json(F.struct(F.coalesce("id", F.lit("")).alias("id"), "topic_entity", F.coalesce("answers", F.array().cast("array<string>")).alias("answers"))).alias("metadata"))

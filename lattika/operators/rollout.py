@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattika.operators.ordered import numbered
+
 # -- rewards of groups -----------------------------------------------------------------------------------------------------
 
 
@@ -41,9 +43,8 @@ def deviation_verdict(rows: DataFrame, group: str, reward: str) -> DataFrame:
 def fill_batch(rows: DataFrame, group: str, reward: str, target: int) -> DataFrame:
     """group, keep, reason, position, taken: groups in order, those that pass the filter until the target is reached."""
     v = deviation_verdict(rows, group, reward)
-    # positions by group id over the groups that pass, with a prefix count over ranges
-    order = W.orderBy(group)
-    passed = v.filter("keep").withColumn("position", F.row_number().over(order)).select(group, "position").filter(F.col("position") <= target)
+    first = v.filter("keep").select(group).orderBy(group).limit(target)  # a batch
+    passed = numbered(first, [F.col(group)], "position").withColumn("position", F.col("position") + 1)
     return v.join(passed, group, "left").select(group, "keep", "reason", "position", F.col("position").isNotNull().alias("taken"))
 
 
@@ -80,27 +81,26 @@ def merge_means(parts: DataFrame, mean: str, n: str) -> Column:
 
 def fan_out(prompts: DataFrame, n: int, order: str) -> DataFrame:
     """Adds group_index, sample and index: n samples of every prompt, in the order of a key."""
-    numbered = prompts.withColumn("group_index", F.row_number().over(W.orderBy(order)) - 1)
-    out = numbered.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    out = numbered(prompts, [F.col(order)], "group_index").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return out.withColumn("index", F.col("group_index") * n + F.col("sample"))
 
 
 def epoch_order(rows: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
     """Adds position: a permutation of the rows that only the seed, the epoch and the key decide."""
-    return rows.withColumn("position", F.row_number().over(W.orderBy(F.xxhash64(F.lit(seed + epoch), F.col(key)), key)) - 1)
+    return numbered(rows, [F.xxhash64(F.lit(seed + epoch), F.col(key)), F.col(key)], "position")
 
 
 def trim(rows: DataFrame, order: str, batch: int) -> DataFrame:
     """The first rows of the order, a multiple of batch of them."""
     n = rows.count()
-    return rows.withColumn("__k", F.row_number().over(W.orderBy(order))).filter(F.col("__k") <= n - n % batch).drop("__k")
+    return numbered(rows, [F.col(order)], "__k").filter(F.col("__k") < n - n % batch).drop("__k")
 
 
 def halves(rows: DataFrame, order: str, ratio: float) -> DataFrame:
     """A share of the rows: half of it from the front, the rest from the back."""
     n = rows.count()
     k = int(n * ratio)
-    return rows.withColumn("__k", F.row_number().over(W.orderBy(order))).filter((F.col("__k") <= k // 2) | (F.col("__k") > n - (k - k // 2))).drop("__k")
+    return numbered(rows, [F.col(order)], "__k").filter((F.col("__k") < k // 2) | (F.col("__k") >= n - (k - k // 2))).drop("__k")
 
 
 def first_fit(lengths: list[int], most: int) -> list[int]:

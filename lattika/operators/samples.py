@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattika.functions import arrays as A
+from lattika.operators.ordered import numbered
 
 STATUS = ["pending", "completed", "truncated", "aborted", "failed"]
 
@@ -16,9 +17,8 @@ def wrap_fetch(rows: DataFrame, order: str, offset: int, n: int) -> DataFrame:
     total = rows.count()
     if n > 2 * total:
         raise ValueError("a fetch starts over once at most")
-    numbered = rows.withColumn("__k", F.row_number().over(W.orderBy(order)) - 1)
     place = F.explode(F.filter(F.array(F.col("__k") - offset, F.col("__k") - offset + total), lambda x: (x >= 0) & (x < n)))
-    out = numbered.withColumn("place", place)
+    out = numbered(rows, [F.col(order)], "__k").withColumn("place", place)
     return out.withColumn("epoch", F.floor((F.col("place") + offset) / total).cast("int")).drop("__k")
 
 
@@ -60,8 +60,7 @@ def train_columns(rows: DataFrame, tokens: str, mask: str, reward: str, removed:
 
 def split_ranks(rows: DataFrame, order: str, ranks: int) -> DataFrame:
     """Adds rank: rows in turn, and their number within the rank."""
-    k = F.row_number().over(W.orderBy(order)) - 1
-    return rows.withColumn("__k", k).withColumn("rank", F.pmod("__k", F.lit(ranks)).cast("int")).withColumn("place", F.floor(F.col("__k") / ranks)).drop("__k")
+    return numbered(rows, [F.col(order)], "__k").withColumn("rank", F.pmod("__k", F.lit(ranks)).cast("int")).withColumn("place", F.floor(F.col("__k") / ranks)).drop("__k")
 
 
 def task_sample(result: Column, mask: Column, tokens: Column) -> tuple[Column, Column]:

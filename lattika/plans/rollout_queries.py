@@ -260,7 +260,7 @@ SQL = {
     "buffer_norm": """WITH e AS (SELECT event_id, user_id, value / 100 AS r, CASE WHEN value / 100 BETWEEN 0 AND 1 THEN value / 100 END AS x FROM events), f AS (SELECT *, avg(x) OVER w AS m, stddev_pop(x) OVER w AS d, max(x) OVER w AS t FROM e WINDOW w AS (PARTITION BY user_id))
  SELECT event_id, round(CASE WHEN x IS NULL OR t = 0 THEN r WHEN d < 1e-8 THEN 0 ELSE (r - m) / (d + 1e-8) END, 6) AS z FROM f""",
     "zero_std_filter": f"WITH {_S}, {_V} SELECT g, keep, reason FROM k",
-    "oversample_fill": f"WITH {_S}, {_V}, p AS (SELECT g, CAST(row_number() OVER (ORDER BY g) AS INT) AS position FROM k WHERE keep) SELECT k.g, keep, reason, position, position IS NOT NULL AS taken FROM k LEFT JOIN (SELECT * FROM p WHERE position <= 256) p ON p.g = k.g",
+    "oversample_fill": f"WITH {_S}, {_V}, p AS (SELECT g, row_number() OVER (ORDER BY g) AS position FROM k WHERE keep) SELECT k.g, keep, reason, position, position IS NOT NULL AS taken FROM k LEFT JOIN (SELECT * FROM p WHERE position <= 256) p ON p.g = k.g",
     "zero_std_counts": f"WITH {_S}, v AS (SELECT g, min(r) AS a, max(r) AS b FROM s GROUP BY g) SELECT round(a, 1) AS reward, count(*) AS groups FROM v WHERE a = b GROUP BY 1",
     "pass_at_k": f"""WITH {_S}, n AS (SELECT g, count(*) AS n, sum(r) AS c FROM s GROUP BY g), x AS (SELECT k, CASE WHEN n - c < k THEN 1.0 ELSE 1 - list_product(list_transform(range(0, k), lambda i: (n - c - i) / (n - i))) END AS p FROM n, (SELECT unnest([1, 2, 4, 8]) AS k) WHERE n >= k)
  SELECT CAST(k AS INT) AS k, round(avg(p), 6) AS rate FROM x GROUP BY k""",
@@ -273,10 +273,10 @@ SQL = {
     "weighted_merge": "SELECT event_type, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY 1",
     "length_histogram": "SELECT CASE WHEN n_chars < 500 THEN '0' WHEN n_chars < 1000 THEN '500' WHEN n_chars < 2000 THEN '1000' WHEN n_chars < 4000 THEN '2000' ELSE '4000' END AS bin, count(*) AS n FROM documents GROUP BY 1",
     "group_meta": "WITH g AS (SELECT user_id, count(*) AS n, avg(value) AS r FROM events GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS groups, round(avg(n), 6) AS size, round(avg(r), 6) AS reward FROM g",
-    "sample_fan_out": "SELECT p_partkey, CAST(g AS INT) AS group_index, CAST(s AS INT) AS sample, CAST(g * 4 + s AS INT) AS index FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS g FROM part), (SELECT unnest(range(4)) AS s)",
+    "sample_fan_out": "SELECT p_partkey, g AS group_index, CAST(s AS INT) AS sample, g * 4 + s AS index FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS g FROM part), (SELECT unnest(range(4)) AS s)",
     "trim_batch": "SELECT o_orderkey AS i FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k, count(*) OVER () AS n FROM orders) WHERE k <= n - n % 64",
     "debug_halves": "SELECT o_orderkey AS i FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k, count(*) OVER () AS n FROM orders) WHERE k <= CAST(floor(n * 0.3) AS BIGINT) // 2 OR k > n - (CAST(floor(n * 0.3) AS BIGINT) - CAST(floor(n * 0.3) AS BIGINT) // 2)",
-    "epoch_shuffle": "SELECT count(*) AS n, count(*) AS positions, CAST(0 AS INT) AS first, CAST(count(*) - 1 AS INT) AS last FROM part",
+    "epoch_shuffle": "SELECT count(*) AS n, count(*) AS positions, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last FROM part",
     "pack_offsets": "SELECT CAST(floor(doc_id / 64) AS BIGINT) AS step, doc_id, n_chars, CAST(sum(n_chars) OVER w AS BIGINT) AS stop, CAST(sum(n_chars) OVER w AS BIGINT) - n_chars AS start FROM documents WINDOW w AS (PARTITION BY floor(doc_id / 64) ORDER BY doc_id)",
     "discounted_return": f"""WITH {_Q}, z AS (SELECT *, max(CASE WHEN m = 1 THEN t END) OVER (PARTITION BY l_orderkey) AS last FROM q), y AS (SELECT *, -0.1 * r * m + CASE WHEN t = last THEN 1 ELSE 0 END AS own FROM z WHERE last IS NOT NULL)
  SELECT a.l_orderkey, CAST(a.t AS INT) AS t, round(sum(b.own * 0.9 ** (b.t - a.t)), 10) AS x FROM y a JOIN y b ON a.l_orderkey = b.l_orderkey AND b.t >= a.t GROUP BY ALL""",

@@ -74,7 +74,7 @@ def kg_reselect(spark, sf):
 
 
 SQL = {
-    "wrap_fetch": "SELECT n_nationkey, CAST(p AS INT) AS place, CAST((p + 20) // 25 AS INT) AS epoch FROM (SELECT n_nationkey, unnest([k - 20, k + 5]) AS p FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS k FROM nation)) WHERE p >= 0 AND p < 12",
+    "wrap_fetch": "SELECT n_nationkey, p AS place, CAST((p + 20) // 25 AS INT) AS epoch FROM (SELECT n_nationkey, unnest([k - 20, k + 5]) AS p FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS k FROM nation)) WHERE p >= 0 AND p < 12",
     "buffer_pop": "WITH f AS (SELECT user_id FROM events GROUP BY 1 ORDER BY min(event_id), user_id LIMIT 5) SELECT event_id, user_id, user_id IN (SELECT user_id FROM f) AS popped FROM events",
     "buffer_first": "SELECT c_custkey AS k, c_mktsegment AS s FROM customer ORDER BY CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE 1 END, c_custkey LIMIT 400",
     "index_inverse": "SELECT n_regionkey, string_agg(CAST(p AS VARCHAR), ',' ORDER BY n_nationkey) AS \"order\" FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) AS p FROM nation) GROUP BY 1",

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattika.operators.ordered import numbered
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset."""
@@ -43,8 +45,7 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | str | No
         return df
     if not order:
         raise ValueError("a slice needs an order: files have none in Spark")
-    k = F.row_number().over(W.orderBy(*order)) - 1
-    df = df.withColumn("__k", k).filter(F.col("__k") >= (a or 0))
+    df = numbered(df, [F.col(c) for c in order], "__k").filter(F.col("__k") >= (a or 0))
     return (df.filter(F.col("__k") < b) if b is not None else df).drop("__k")
 
 
