@@ -112,7 +112,16 @@ def durable_table(df: DataFrame) -> DataFrame:
     checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Deletes tables of durable_table that nothing depends on any longer."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.table_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattika.llm.common import durable, durable_table, mix64, release, table
+from lattika.llm.common import by_position, drop_tables, durable, durable_table, mix64, release, table
 from lattika.llm.components import components
 from lattika.llm.repeats import make_packs, text_keys, unpack
 from lattika.llm.suffix_automata import as_words
@@ -30,8 +30,10 @@ from lattika.llm.suffix_automata import as_words
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands and their registers: a pair at the threshold shares no bucket in (1 - 0.8**5)**24, or 1 of 14,000 cases.
 BANDS, REGISTERS = 24, 5
-#: Times that the rest of a bucket is compared with a leader of its own before its pairs are compared.
-STARS = 2
+#: Texts of a bucket that one task compares with as many others; more are compared chunk by chunk.
+CHUNK = 2048
+#: Cells of the table of texts and shingles that a task holds at once.
+CELLS = 32_000_000
 
 
 def shingles(data: np.ndarray, ends: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -120,6 +122,38 @@ def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def link_groups(key: tuple, rows: pa.Table) -> pa.Table:
+    """Links that join groups of texts: each text outside the largest group against all texts of other groups."""
+    node, group = rows["node"].to_numpy(), rows["component"].to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in rows["set"].to_pylist()]
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    every, code, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # only shingles of two texts or more can be in common
+    rank = np.cumsum(n > 1) - 1
+    shared = n[code] > 1
+    code, owner = rank[code[shared]], owner[shared]
+    begin = np.searchsorted(owner, np.arange(len(sets) + 1))
+    names, label, members = np.unique(group, return_inverse=True, return_counts=True)
+    few = np.flatnonzero(label != members.argmax())
+    width = int((n > 1).sum())
+    step = max(1, CELLS // max(1, width))
+    a_out, b_out = [], []
+    for start in range(0, len(sets), step):
+        stop = min(start + step, len(sets))
+        held = np.zeros((stop - start, width), bool)
+        held[owner[begin[start] : begin[stop]] - start, code[begin[start] : begin[stop]]] = True
+        for a in few.tolist():
+            common = held[:, code[begin[a] : begin[a + 1]]].sum(axis=1)
+            near = common >= SIMILAR * (size[a] + size[start:stop] - common)
+            near &= (label[start:stop] != label[a]) & (common > 0)
+            for b in (np.flatnonzero(near) + start).tolist():
+                if label[a] != label[b]:
+                    a_out.append(node[a]), b_out.append(node[b])
+                    label[label == label[b]] = label[a]
+    return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("left"))
@@ -128,6 +162,20 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(jaccard("left", "right") >= SIMILAR).select("a", "b")
 
 
+def joined_groups(group: DataFrame, links: DataFrame) -> DataFrame:
+    """Groups after further links: only the groups that a link touches are united."""
+    of = lambda c: F.coalesce(F.col(f"c_{c}"), F.col(c)).alias(c)
+    known = [group.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab"]
+    between = durable(links.join(known[0], "a", "left").join(known[1], "b", "left").select(of("a"), of("b")).filter("a <> b").distinct())
+    if not between.limit(1).count():
+        return group
+    merged = components(between).select(F.col("node").alias("was"), F.col("component").alias("now"))
+    old = group.join(merged, group["component"] == merged["was"], "left").select("node", F.coalesce("now", "component").alias("component"))
+    # texts that were alone until now
+    new = merged.join(group, merged["was"] == group["node"], "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
+    return durable(old.unionByName(new))
+
+
 def wanted_sets(packs: DataFrame, nodes: DataFrame) -> DataFrame:
     by_pack = nodes.groupBy(F.shiftright("node", 20).alias("pack")).agg(F.collect_list("node").alias("nodes"))
     return packs.join(by_pack, "pack").mapInArrow(shingle_rows, "node long, set binary")
@@ -138,8 +186,8 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
     Texts of fewer than five words are one shingle; texts without words are alone.
     Null texts and null doc_ids take no part. Links between different texts of a
-    bucket are all found: with the leader of the bucket first, then, for texts of a
-    bucket that are not in one group by then, pair by pair.
+    bucket are all found, as far as they join groups: with the leader of the bucket
+    first, then between texts of a bucket that are in several groups by then.
     """
     spark = docs.sparkSession
     packs = make_packs(docs, doc_id, text)
@@ -151,29 +199,19 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     pairs = durable(in_bucket.filter(fits & (F.col("node") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
     # whoever shares a bucket may be compared later
     sets = durable_table(wanted_sets(packs, in_bucket.select("node").distinct()))
-    links = durable(verify(pairs, sets))
+    group = components(verify(pairs, sets))
+    release(spark)
+    # what is left to compare: texts of a bucket, besides its leader, in several groups
+    state = in_bucket.filter("m > 2").join(group, "node", "left").filter("node <> lead").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    open_ = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).filter("x <> y")
+    state = durable(state.join(open_.select("bucket", "chunks"), "bucket"))
+    own = F.pmod(F.xxhash64("node"), "chunks").cast("int")
+    dealt = state.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "component")
+    found = dealt.join(sets, "node").groupBy("bucket", "x", "y").applyInArrow(link_groups, "a long, b long")
+    group = joined_groups(group, durable(found.distinct()))
+    drop_tables(packs, sets)
     release(spark)
-    rest = in_bucket.filter("m > 2").select("bucket", "node", "n", "lead")
-    for star in range(STARS + 1):
-        group = components(links)
-        state = rest.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        # buckets that still hold texts of several groups besides their leader
-        open_ = state.filter("node <> lead").groupBy("bucket").agg(F.min(F.struct("node", "n", "component")).alias("next"), F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).filter("x <> y")
-        state = durable(state.filter("node <> lead").join(open_.select("bucket", "next", "m"), "bucket"))
-        if not state.limit(1).count():
-            break
-        if star < STARS:
-            near = F.least("n", "next.n") >= SIMILAR * F.greatest("n", "next.n")
-            pairs = state.filter((F.col("node") != F.col("next.node")) & (F.col("component") != F.col("next.component")) & near).select(F.col("next.node").alias("a"), F.col("node").alias("b")).distinct()
-            rest = state.select("bucket", "node", "n", F.col("next.node").alias("lead"))
-        else:
-            one = state.select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-            two = state.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-            near = F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b")
-            pairs = one.join(two, "bucket").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near).select("a", "b").distinct()
-        links = durable(links.unionByName(verify(durable(pairs), sets)))
-        release(spark)
-    group = components(links)
     placed = signed.select("node", "first", "key").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("first").alias("group_id"))
     return placed.join(least, "component").select("key", "node", "group_id")
@@ -198,8 +236,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, with all their columns, of which no smaller doc_id is a copy or near copy."""
-    judged = near_duplicates(docs, doc_id, text, keep=tuple(docs.columns))
-    return judged.filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return by_position(docs, lambda rows, at: near_duplicates(rows, at(doc_id), at(text), keep=tuple(rows.columns)).filter("kept"))
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

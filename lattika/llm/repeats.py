@@ -22,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattika.llm.common import durable_table, mix64, powers, release, small_batches
+from lattika.llm.common import drop_tables, durable_table, mix64, powers, release, small_batches
 
 FAR = np.uint64(2**64 - 1)
 #: Bytes of text in a pack, and of contexts that one task should get.
-PACK_BYTES, TASK_BYTES = 3_000_000, 12_000_000
+PACK_BYTES, TASK_BYTES = 2_000_000, 12_000_000
 
 
 @dataclass(frozen=True)
@@ -336,6 +336,7 @@ def find_repeats(docs: DataFrame, shape: Shape, to_symbols, resolver: Resolver,
     """One row for each distinct text: first (its smallest doc_id), key (sha256 of the text) and what finish makes of the covered symbols."""
     spark = docs.sparkSession
     packs = make_packs(docs, doc_id, text)
+    release(spark)
     size = packs.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     # contexts take about five times the text over all blocks, whether of bytes or of hashed words
     tasks = max(8, int(5 * size / shape.blocks / TASK_BYTES))
@@ -362,4 +363,7 @@ def find_repeats(docs: DataFrame, shape: Shape, to_symbols, resolver: Resolver,
                 columns = finish(data, ends, at, marked)
                 yield pa.RecordBatch.from_pydict({"first": pa.array(firsts), "key": pa.array(text_keys(ends, data), pa.binary())} | columns)
 
-    return joined.mapInArrow(run, f"first long, key binary, {schema}")
+    found = durable_table(joined.mapInArrow(run, f"first long, key binary, {schema}"))
+    drop_tables(packs, *done)
+    release(spark)
+    return found

@@ -368,3 +368,17 @@ def test_pipeline(spark, tmp_path):
         ids = [1, *library.encode(text), 2]
         assert (got[d].n_tokens, got[d].ids_sha256) == (len(ids), sha(np.array(ids, "<u4").tobytes()))
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_link_groups_joins_what_any_pair_joins(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(14)
+    monkeypatch.setattr(near_dedup, "CELLS", 200)
+    for _ in range(30):
+        sets = [np.unique(np.array([rng.randint(0, 30) for _ in range(rng.randint(1, 12))], np.uint64)) for _ in range(25)]
+        group = [rng.choice([0, 0, 0, i]) for i in range(25)]
+        out = near_dedup.link_groups((), pa.table({"node": list(range(25)), "component": group, "set": [x.tobytes() for x in sets]})).to_pydict()
+        same = [(a, b) for a in range(25) for b in range(a) if group[a] == group[b]]
+        near = [(a, b) for a in range(25) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+        assert grouped(25, same + near) == grouped(25, same + list(zip(out["a"], out["b"], strict=True)))
