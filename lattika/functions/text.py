@@ -37,6 +37,7 @@ def search_action(text: Column) -> Column:
     return F.struct(F.nullif(F.regexp_extract(text, p, 1), F.lit("")).alias("action"), F.trim(F.regexp_extract(text, p, 2)).alias("content"))
 
 
+#: A boxed answer with one level of braces inside, and a tool call (fixed values).
 BOXED = r"(?s)Answer:\s*\\boxed\{((?:[^{}]|\{[^{}]*\})*)\}"
 CALL = r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"
 

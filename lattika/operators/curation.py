@@ -46,6 +46,7 @@ def parse_statements(lines: DataFrame, column: str = "value") -> DataFrame:
 
 # -- predicates of query texts ---------------------------------------------------------------------------------------------
 
+#: Names, nodes and objects of a statement, and the two patterns that find predicates (fixed values).
 _NAME = r"(?:<[^>]+>|[A-Za-z][\w-]*:[A-Za-z0-9_.-]+|:[A-Za-z0-9_.-]+)"
 _NODE = r"(?:<[^>]+>|\?[A-Za-z_]\w*|[A-Za-z][\w-]*:[A-Za-z0-9_.-]+|:[A-Za-z0-9_.-]+)"
 _OBJECT = r'(?:<[^>]+>|\?[A-Za-z_]\w*|".*?"(?:\^\^<[^>]+>|@[-\w]+)?|[A-Za-z][\w-]*:[A-Za-z0-9_.-]+|:[A-Za-z0-9_.-]+)'

@@ -23,6 +23,7 @@ META = [
 #: Neighbours that the strict reading fuses into one, so that neither is dropped (fixed values).
 FUSED = ["freebase.type_hints.enumeration", "type.object.key", "type.object.service", "common.topic.topic_equivalent_webpage"]
 
+#: Relations of an entity, triples of a relation, plain triples kept (without and with mediators), candidates ranked and kept (fixed values).
 LIMIT, PER_RELATION, PLAIN, PLAIN_WITH_MEDIATOR, CANDIDATES, KEPT_CANDIDATES = 100, 20, 5, 15, 80, 8
 
 
@@ -230,6 +231,7 @@ def normalize_relation(relation: Column) -> Column:
 
 # -- verbs -----------------------------------------------------------------------------------------------------------------
 
+#: The two verbs of a query text (fixed values).
 GET_RELATIONS = r"""(?s)^\s*get_relations\s*\(\s*(["'])(.*?)\1\s*\)"""
 GET_TRIPLES = r"""(?s)^\s*get_triples\s*\(\s*(["'])(.*?)\1\s*,\s*\[(.*?)\]\s*\)"""
 

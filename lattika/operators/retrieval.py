@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 #: Signs that part words besides white space (fixed values).
 SIGNS = ".,!?;:()[]{}\"'/\\"
+#: The usual constants of BM25 (fixed values).
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Rows of queries that a vector search may broadcast; more go in blocks.
 QUERY_BLOCK = 10_000
