@@ -26,7 +26,7 @@ from lattika.llm.repeats import FAR_DOC, Contexts, Shape, find_repeats
 WINDOW = 50
 #: Distance of the cover positions: all suffixes of a bucket lie alike against them.
 PERIOD = 8
-SHAPE = Shape(window=WINDOW, gram=18, symbol="u1", blocks=4)
+SHAPE = Shape(window=WINDOW, gram=18, symbol="u1", blocks=6)
 
 
 def as_bytes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
