@@ -33,7 +33,7 @@ SHARE = 0.25
 LEAST = 3
 #: Slots for each n-gram and reads for each look-up.
 SLOTS, READS = 8, 3
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 
 @lru_cache(maxsize=1)

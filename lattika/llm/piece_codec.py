@@ -23,7 +23,7 @@ from lattika.llm.merge_rounds import MergeTable, WordHasher, code_points, expand
 
 SPACE = "▁"
 #: Characters whose new words are merged together.
-SLICE = 4_000_000
+SLICE = 1_000_000
 
 
 class PieceModel:

@@ -21,7 +21,7 @@ from lattika.llm.common import small_batches, table, text_slices
 from lattika.llm.merge_rounds import HashTable, MergeTable, WordHasher, code_points, expand, same_words
 
 #: Code points whose pre-tokens are handled together.
-SLICE = 4_000_000
+SLICE = 1_000_000
 LETTER, NUMBER, WHITE, OTHER = 0, 1, 2, 3
 #: Code points with the Unicode property White_Space (fixed values).
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
