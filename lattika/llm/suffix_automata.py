@@ -28,7 +28,7 @@ from lattika.llm.suffix_blocks import attach
 
 #: Words of a window that must not start in two documents.
 WINDOW = 13
-SHAPE = Shape(window=WINDOW, gram=5, symbol="<u8", blocks=4)
+SHAPE = Shape(window=WINDOW, gram=5, symbol="<u8", blocks=6)
 #: Bytes that part words: space and 0x09 to 0x0D.
 PARTS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: Words of the reference in one broadcast automaton.
