@@ -1,9 +1,11 @@
-"""Near-duplicate documents by ProbMinHash over weighted word shingles.
+"""Near-duplicate documents by ProbMinHash over word shingles.
 
 A signature register holds the shingle whose exponential arrivals, at the rate
 of its weight, reach the register first; two documents agree in a register with
 the probability Jaccard similarity of their shingle weights. Shingles stop
-sending arrivals once all registers are earlier. Bands of registers make
+sending arrivals once all registers are earlier. Each text is signed with weight
+1 for every distinct shingle, where that is the Jaccard similarity of the sets,
+and a text with repeated shingles also with their counts. Bands of registers make
 buckets. In each bucket the documents are compared with its leader, and those
 that are still in other groups with each other; a pair is linked if the Jaccard
 similarity of the shingle sets, taken in full, reaches the threshold.
@@ -28,7 +30,7 @@ from lattika.llm.suffix_automata import as_words
 
 #: Words of a shingle, and the similarity of near-duplicates.
 SHINGLE, SIMILAR = 5, 0.8
-#: Bands and their registers: a pair at the threshold shares no bucket in (1 - 0.8**5)**24, or 1 of 14,000 cases.
+#: Bands and their registers: a pair at the threshold shares no bucket of weight 1 in (1 - 0.8**5)**24, or 1 of 14,000 cases.
 BANDS, REGISTERS = 24, 5
 #: Texts of a bucket that one task compares with as many others; more are compared chunk by chunk.
 CHUNK = 2048
@@ -76,8 +78,27 @@ def signatures(element: np.ndarray, weight: np.ndarray, owner: np.ndarray, docs:
     return sign.reshape(docs, registers)
 
 
+def bucket_numbers(sign: np.ndarray) -> np.ndarray:
+    """A bucket number for each band of each signature."""
+    bands = np.zeros((len(sign), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    for r in range(REGISTERS):
+        bands = mix64(bands * np.uint64(0x9E3779B97F4A7C15) + sign[:, r::REGISTERS])
+    return bands
+
+
+def text_buckets(element: np.ndarray, count: np.ndarray, owner: np.ndarray, docs: int) -> list[np.ndarray]:
+    """The buckets of each text: by its set of shingles, and by their counts where these are not all 1 (else both are the same)."""
+    out = list(bucket_numbers(signatures(element, np.ones(len(element)), owner, docs, BANDS * REGISTERS)))
+    several = np.unique(owner[count > 1])
+    own = np.isin(owner, several)
+    weighted = signatures(element[own], count[own].astype(float), np.searchsorted(several, owner[own]), len(several), BANDS * REGISTERS)
+    for k, more in zip(several.tolist(), bucket_numbers(weighted), strict=True):
+        out[k] = np.union1d(out[k], more)
+    return out
+
+
 def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, first, key, n (shingles), bands (a bucket number for each band) of each distinct text."""
+    """node, first, key, n (shingles), bands (bucket numbers) of each distinct text."""
     for batch in batches:
         for k in range(batch.num_rows):
             row = batch.slice(k, 1).to_pylist()[0]
@@ -85,12 +106,8 @@ def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             every, at = shingles(data, ends)
             owner = np.repeat(np.arange(len(firsts)), np.diff(at))
             edge = np.flatnonzero(np.r_[True, (every[1:] != every[:-1]) | (owner[1:] != owner[:-1])]) if len(every) else np.zeros(0, np.int64)
-            weight = np.diff(np.r_[edge, len(every)]).astype(float)
-            sign = signatures(every[edge], weight, owner[edge], len(firsts), BANDS * REGISTERS)
+            bands = text_buckets(every[edge], np.diff(np.r_[edge, len(every)]), owner[edge], len(firsts))
             n = np.bincount(owner[edge], minlength=len(firsts))
-            bands = np.zeros((len(firsts), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-            for r in range(REGISTERS):
-                bands = mix64(bands * np.uint64(0x9E3779B97F4A7C15) + sign[:, r::REGISTERS])
             yield pa.RecordBatch.from_pydict({
                 "node": pa.array((row["pack"] << 20) + np.arange(len(firsts)), pa.int64()), "first": pa.array(firsts), "key": pa.array(text_keys(ends, data), pa.binary()), "n": pa.array(n, pa.int64()),
                 "bands": pa.array([x.view(np.int64) if m else [] for x, m in zip(bands, n.tolist(), strict=True)], pa.list_(pa.int64())),

@@ -231,6 +231,18 @@ def test_near_dedup(spark, tmp_path):
     assert near_dedup.keep_one_of_each(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_of_other_repeat_counts(spark):
+    rng = random.Random(15)
+    say = lambda n: [rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(n)]
+    texts = []
+    for more in (10, 20, 50, 50, 50, 50, 50, 200):
+        head, line, tail = say(94), say(12), say(94)
+        texts += [" ".join(head + line * n + tail) for n in (1, 1 + more)]
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[d].group_id for d in range(len(texts))] == [d - d % 2 for d in range(len(texts))]
+    assert sum(r.kept for r in got.values()) == len(texts) // 2
+
+
 def test_probability_jaccard():
     a, b = {1: 3.0, 2: 1.0, 3: 2.0}, {1: 1.0, 2: 2.0, 4: 1.0}
     rows = [(h, w, d) for d, x in enumerate((a, b)) for h, w in x.items()]
