@@ -199,7 +199,7 @@ def wanted_sets(packs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each distinct text: key (sha256), node, group_id (smallest doc_id of its group), size-1 groups included.
+    """One row for each distinct text: key (sha256), node, component, group_id (smallest doc_id of its group), size-1 groups included.
 
     Texts of fewer than five words are one shingle; texts without words are alone.
     Null texts and null doc_ids take no part. Links between different texts of a
@@ -231,20 +231,21 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     release(spark)
     placed = signed.select("node", "first", "key").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("first").alias("group_id"))
-    return placed.join(least, "component").select("key", "node", "group_id")
+    return placed.join(least, "component").select("key", "node", "component", "group_id")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id (and the columns of keep), group_id, kept: one row for each document.
 
     A group holds copies and whatever verified links reach; its smallest doc_id is
-    group_id, and that document is kept. Of repeated rows with that doc_id one is
-    kept. A document without a text or a doc_id is its own group and is kept.
+    group_id, and that document is kept. Of rows of the group with that doc_id one
+    is kept; rows of one doc_id whose texts are in different groups are each judged
+    in their own. A document without a text or a doc_id is its own group and is kept.
     """
-    groups = near_duplicate_groups(docs, doc_id, text).select("key", F.col("group_id").alias("__group"))
+    groups = near_duplicate_groups(docs, doc_id, text).select("key", F.col("component").alias("__component"), F.col("group_id").alias("__group"))
     rows = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([doc_id, *keep])], F.unhex(F.sha2(F.col(f"`{text}`").cast("string"), 256)).alias("key"))
     row = rows.join(groups, "key", "left")
-    number = F.row_number().over(W.partitionBy(doc_id).orderBy("key"))
+    number = F.row_number().over(W.partitionBy(doc_id, "__component").orderBy("key"))
     group = F.coalesce("__group", F.col(f"`{doc_id}`").cast("long"))
     alone = F.col("__group").isNull() | F.col(f"`{doc_id}`").isNull()
     first = (F.col(f"`{doc_id}`") == F.col("__group")) & (number == 1)

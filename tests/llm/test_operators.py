@@ -243,6 +243,16 @@ def test_near_dedup_of_other_repeat_counts(spark):
     assert sum(r.kept for r in got.values()) == len(texts) // 2
 
 
+def test_near_dedup_of_a_doc_id_with_several_texts(spark):
+    rng = random.Random(16)
+    a, b, c = (" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(80)) for _ in range(3))
+    rows = [(3, a), (5, a + " more"), (5, b), (5, b), (5, c), (5, c + " more"), (6, c), (7, "z"), (None, "z"), (8, None)]
+    kept = near_dedup.keep_one_of_each(docs_of(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    near_c = [(r.doc_id, r.text) for r in kept if (r.text or "").startswith(c)]
+    assert len(near_c) == 1 and near_c[0] in [(5, c), (5, c + " more")]
+    assert sorted(((r.doc_id, r.text) for r in kept if not (r.text or "").startswith(c)), key=str) == sorted([(3, a), (5, b), (7, "z"), (None, "z"), (8, None)], key=str)
+
+
 def test_probability_jaccard():
     a, b = {1: 3.0, 2: 1.0, 3: 2.0}, {1: 1.0, 2: 2.0, 4: 1.0}
     rows = [(h, w, d) for d, x in enumerate((a, b)) for h, w in x.items()]
