@@ -29,8 +29,9 @@ GRAM = 4
 SAMPLE = 3000
 #: An n-gram enters the filter of a language that has it at this share at least of its highest rate in any language.
 SHARE = 0.25
-#: N-grams seen less often in a language of the sample are taken for noise there.
-LEAST = 3
+#: N-grams seen less often in a language of the sample are taken for noise there, but only while those seen as often
+#: make up this share of its sample: a language with little text is learned from n-grams seen once.
+LEAST, ENOUGH = 3, 0.5
 #: Slots for each n-gram and reads for each look-up.
 SLOTS, READS = 8, 3
 SLICE = 1_000_000
@@ -70,11 +71,12 @@ def grams(texts: list[str | None], n: int = GRAM) -> tuple[np.ndarray, np.ndarra
 
 @dataclass
 class LanguageFilters:
-    """languages by bit; slots (one unsigned 64-bit word for each 64 languages); the false-positive rate of each language."""
+    """languages by bit; slots (one unsigned 64-bit word for each 64 languages); the false-positive rate of each language; those learned from too little text to tell what is foreign."""
 
     languages: list[str]
     slots: np.ndarray
     rates: np.ndarray
+    thin: tuple[str, ...] = ()
 
     @staticmethod
     def build(languages: list[str], gram: np.ndarray, owner: np.ndarray) -> LanguageFilters:
@@ -120,7 +122,8 @@ def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     """Filters from rows with a non-null text and lang.
 
     At most `sample` documents of each language are read, whole; the bound keeps
-    the learned table small whatever the corpus.
+    the learned table small whatever the corpus. A language is thin if under half of
+    its sample are n-grams seen twice, so that of a new text about as much is known.
     """
     rows = labelled.select(F.col(doc_id).cast("string").alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -144,10 +147,16 @@ def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
     seen = chosen.mapInArrow(count, "owner int, gram long, n long").groupBy("owner", "gram").agg(F.sum("n").alias("n"))
     total = W.partitionBy("owner")
-    seen = seen.withColumn("rate", F.col("n") / F.sum("n").over(total))
-    known = seen.withColumn("most", F.max("rate").over(W.partitionBy("gram"))).filter((F.col("rate") >= SHARE * F.col("most")) & (F.col("n") >= LEAST))
-    found = known.select("owner", "gram").toArrow()
-    return LanguageFilters.build(languages, found["gram"].to_numpy().view(np.uint64), found["owner"].to_numpy())
+    least = F.lit(1)
+    for k in range(2, LEAST + 1):
+        least = F.when(F.sum(F.when(F.col("n") >= k, F.col("n")).otherwise(0)).over(total) >= ENOUGH * F.sum("n").over(total), k).otherwise(least)
+    seen = seen.withColumn("rate", F.col("n") / F.sum("n").over(total)).withColumn("least", least)
+    known = seen.withColumn("most", F.max("rate").over(W.partitionBy("gram"))).filter((F.col("rate") >= SHARE * F.col("most")) & (F.col("n") >= F.col("least")))
+    found = known.select("owner", "gram", "least").toArrow()
+    owner = found["owner"].to_numpy()
+    filters = LanguageFilters.build(languages, found["gram"].to_numpy().view(np.uint64), owner)
+    filters.thin = tuple(languages[k] for k in np.unique(owner[found["least"].to_numpy() == 1]).tolist())
+    return filters
 
 
 def identify(docs: DataFrame, filters: LanguageFilters, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -174,13 +183,14 @@ def identify(docs: DataFrame, filters: LanguageFilters, text: str = "text", keep
     return kept.mapInArrow(run, schema)
 
 
-#: A text of at least so many n-grams of which a smaller share is known is in none of the learned languages.
+#: A text of at least so many n-grams of which a smaller share is known is in none of the learned languages, unless the best of these is thin.
 FOREIGN_GRAMS, FOREIGN_SCORE = 20, 0.2
 
 
 def drop_foreign(docs: DataFrame, filters: LanguageFilters, text: str = "text") -> DataFrame:
-    """The documents, with all their columns, that are in a learned language. Texts too short to judge stay, those without a letter go."""
-    known = (F.col("lang_pred") != "und") & ((F.col("score") >= FOREIGN_SCORE) | (F.col("n_grams") < FOREIGN_GRAMS))
+    """The documents, with all their columns, that are in a learned language. Texts too short to judge, and those next to a thin language, stay; those without a letter go."""
+    unsure = (F.col("n_grams") < FOREIGN_GRAMS) | (F.col("lang_pred").isin(*filters.thin) & (F.col("score") > 0))
+    known = (F.col("lang_pred") != "und") & ((F.col("score") >= FOREIGN_SCORE) | unsure)
     return by_position(docs, lambda rows, at: identify(rows, filters, text=at(text), keep=tuple(rows.columns)).filter(known))
 
 

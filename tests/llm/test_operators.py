@@ -170,6 +170,19 @@ def test_language_id(spark, tmp_path):
     assert {r.lang_pred for r in language_id.identify(docs, language_id.learn(docs.limit(0))).collect()} == {"und"}
 
 
+def test_language_of_few_documents(spark):
+    rng = random.Random(17)
+    said = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n))
+    rows = [(i, said("abcde", 30), "aa") for i in range(60)] + [(100, said("жзиклмнопрст", 30), "cc"), (101, said("жзиклмнопрст", 30), None), (102, said("uvwxyz", 30), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = language_id.learn(docs)
+    got = {r.doc_id: r for r in language_id.identify(docs, filters).collect()}
+    assert got[100].lang_pred == "cc" and got[100].score > 0.9
+    # the foreign text goes, the labelled and the unlabelled one of the language of one document stay
+    assert sorted(r.doc_id for r in language_id.drop_foreign(docs, filters).collect()) == [*range(60), 100, 101]
+    assert filters.thin == ("cc",)
+
+
 def test_language_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = language_id.op5_language_id(spark, sf).join(table(spark, sf, "documents"), "doc_id").filter("held_out")
