@@ -28,7 +28,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a window of a benchmark item occurs."""
+    """Drops documents in which a window of a benchmark item occurs, or half of whose words are one item of few words."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -15,6 +15,8 @@ from lattika.llm.common import by_position, small_batches, table
 
 #: Words of a window.
 WINDOW = 10
+#: An item of fewer words can stand in a clean document; it contaminates one of whose words it makes up this share at least.
+SHORT, SHARE = 8, 0.5
 #: Normalised bytes of items in one automaton; it has up to WINDOW times as many nodes. More items take further passes.
 AUTOMATON_BYTES = 256_000
 #: Lower-cases A-Z, keeps digits, a-z and the bytes of other characters, and makes all else a space.
@@ -73,22 +75,29 @@ def word_offsets(text: str) -> np.ndarray:
     return chars[edges].reshape(-1, 2)
 
 
-def scan(text: str | None, automaton) -> tuple[int, np.ndarray, list[str]]:
-    """Words, the numbers of the hit ones, and the items found."""
+def scan(text: str | None, automaton, least: int = SHORT) -> tuple[int, np.ndarray, list[str], bool]:
+    """Words, the numbers of the hit ones, the items found, and whether a window of `least` words or a large enough share of an item is among them."""
     words = words_of(text)
     if automaton is None or not words:
-        return len(words), np.zeros(0, np.int64), []
+        return len(words), np.zeros(0, np.int64), [], False
     line = b" ".join([b"", *words, b""]).decode("latin-1")
     found = list(automaton.iter(line))
     if not found:
-        return len(words), np.zeros(0, np.int64), []
+        return len(words), np.zeros(0, np.int64), [], False
     spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
     change = np.zeros(len(words) + 1, np.int64)
-    for end, (n, _) in found:
+    long, short = False, {}
+    for end, (n, names) in found:
         last = int(np.searchsorted(spaces, end))
         change[last - n] += 1
         change[last] -= 1
-    return len(words), np.flatnonzero(np.cumsum(change)[:-1] > 0), list({x for _, (_, names) in found for x in names})
+        if n >= least:
+            long = True
+        elif not long:
+            # a short window is one whole item; it is known by the list of its names
+            short.setdefault(id(names), []).append(np.arange(last - n, last))
+    share = long or any(len(np.unique(np.concatenate(x))) >= SHARE * len(words) for x in short.values())
+    return len(words), np.flatnonzero(np.cumsum(change)[:-1] > 0), list({x for _, (_, names) in found for x in names}), share
 
 
 def hit_spans(text: str, hit: np.ndarray) -> list[dict[str, int]]:
@@ -100,7 +109,10 @@ def hit_spans(text: str, hit: np.ndarray) -> list[dict[str, int]]:
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW) -> DataFrame:
-    """Columns of keep, then n_words, n_hit, items (array of ids as strings, sorted) and spans (character ranges of hit runs).
+    """Columns of keep, then n_words, n_hit, items (array of ids as strings, sorted), spans (character ranges of hit runs) and telling.
+
+    telling is true if a window of SHORT words or more occurs, or a shorter item makes
+    up SHARE of the words: any other hit is of words that clean texts have as well.
 
     A text is scanned once for each automaton; items of up to AUTOMATON_BYTES share
     one, so that what is broadcast is bounded whatever the number of items. Null
@@ -111,7 +123,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
     small_batches(docs.sparkSession)
     kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    state = kept.withColumns({"__hit": F.lit(None).cast("array<long>"), "__items": F.lit(None).cast("array<string>")})
+    state = kept.withColumns({"__hit": F.lit(None).cast("array<long>"), "__items": F.lit(None).cast("array<string>"), "__telling": F.lit(False)})
 
     def one_pass(windows, last: bool):
         stamp = uuid.uuid4().hex
@@ -119,21 +131,22 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = automaton_of(stamp, windows)
             for batch in batches:
-                texts, hits, names = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__text", "__hit", "__items"))
+                texts, hits, names, telling = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__text", "__hit", "__items", "__telling"))
                 n = []
                 for k, t in enumerate(texts):
-                    count, hit, found = scan(t, automaton)
+                    count, hit, found, tells = scan(t, automaton, min(SHORT, window))
                     n.append(count)
+                    telling[k] = telling[k] or tells
                     if len(hit):
                         hits[k] = np.union1d(hits[k] or [], hit).astype(np.int64)
                         names[k] = sorted({*(names[k] or ()), *found})
                 if not last:
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(hits, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], names=batch.schema.names)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(hits, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string())), pa.array(telling, pa.bool_())], names=batch.schema.names)
                     continue
                 spans = [[] if h is None else hit_spans(t, np.asarray(h)) for t, h in zip(texts, hits, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-3], pa.array(n, pa.int64()), pa.array([0 if h is None else len(h) for h in hits], pa.int64()), pa.array([x or [] for x in names], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                    names=[*batch.schema.names[:-3], "n_words", "n_hit", "items", "spans"],
+                    [*batch.columns[:-4], pa.array(n, pa.int64()), pa.array([0 if h is None else len(h) for h in hits], pa.int64()), pa.array([x or [] for x in names], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(telling, pa.bool_())],
+                    names=[*batch.schema.names[:-4], "n_words", "n_hit", "items", "spans", "telling"],
                 )
 
         return run
@@ -141,14 +154,14 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
     parts = item_passes(items, item_id, item_text, window)
     for k, part in enumerate(parts):
         last = k == len(parts) - 1
-        schema = f"{head}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>" if last else state.schema
+        schema = f"{head}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>, telling boolean" if last else state.schema
         state = state.mapInArrow(one_pass(docs.sparkSession.sparkContext.broadcast(part), last), schema)
     return state
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The documents, with all their columns, in which no window of an item occurs."""
-    return by_position(docs, lambda rows, at: find_contamination(rows, items, text=at(text), keep=tuple(rows.columns)).filter(F.col("n_hit") == 0))
+    """The documents, with all their columns, without a telling hit: no window of an item, and no shorter item that makes up much of them."""
+    return by_position(docs, lambda rows, at: find_contamination(rows, items, text=at(text), keep=tuple(rows.columns)).filter(~F.col("telling")))
 
 
 def digest(found: DataFrame) -> DataFrame:

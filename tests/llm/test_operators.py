@@ -98,6 +98,18 @@ def test_decontamination_in_passes_and_spans(spark, monkeypatch):
     assert decontamination.drop_contaminated(docs_of(spark, texts), items.filter("item_id < 3")).count() == 5
 
 
+def test_short_items_leave_clean_documents(spark, monkeypatch):
+    nine, long = "i j k l m n o p q", "a b c d e f g h i j k l"
+    items = spark.createDataFrame([(1, "Yes"), (2, "the capital"), (3, nine), (4, long)], "item_id long, text string")
+    texts = ["well yes, it is so", "this is the capital of it, yes", "yes", "yes yes, no", "The capital!", f"x y {nine} z", f"x {long[:19]} y", f"x {long[:17]} y", None, "yes the capital w x y z"]
+    want = [0, 1, 7, 8, 9]
+    for size in (decontamination.AUTOMATON_BYTES, 12):
+        monkeypatch.setattr(decontamination, "AUTOMATON_BYTES", size)
+        assert sorted(r.doc_id for r in decontamination.drop_contaminated(docs_of(spark, texts), items).collect()) == want
+    # the operator still reports each hit
+    assert [r.n_hit for r in decontamination.find_contamination(docs_of(spark, texts), items).orderBy("doc_id").collect()] == [1, 3, 1, 2, 2, 9, 10, 0, 0, 3]
+
+
 def test_sentencepiece(spark, tmp_path):
     import sentencepiece
 
