@@ -3,10 +3,11 @@
 Equal vectors of a label are one node. The nodes of a label are dealt into shards
 of bounded size, each with a graph of its own. Every shard is searched with the
 nodes of all shards of its label: a beam search through the layers, then along
-the links found until no linked node is new. In each search a part of the queries
-is checked against all nodes of the shard; while too few of their links are
-found, the beam is widened, at last to the whole shard. Links are verified in
-double precision and united to components.
+the links found until no linked node is new; two shards are searched both ways.
+In each search queries are checked against all nodes of the shard until enough of
+them have links, or all are checked and no search is needed; while too few of the
+links of a query are found, the beam is widened, at last to the whole shard. Links
+are verified in double precision and united to components.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from lattika.llm.components import components
 SIMILAR = 0.98
 #: Nodes of a shard at most (about), neighbours kept in the upper layers (twice as many in the lowest), and the first beam.
 SHARD, NEIGHBOURS, BEAM = 20_000, 16, 48
-#: Queries searched in step, queries audited in each search, and the share of their links that must be found.
+#: Queries searched in step; queries with links audited in each search, of those with more links than the beam holds and of the others each; and the share of their links that must be found, on average over queries.
 STEP, AUDITED, RECALL = 256, 64, 0.99
 #: Single-precision similarities this far below the threshold are looked at in double precision.
 SLACK = 1e-4
@@ -183,23 +184,44 @@ def exact_pairs(vectors: np.ndarray, queries: np.ndarray, least: float) -> tuple
     return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
-def audited_search(graph: Graph, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict]:
-    """Pairs found, with the beam widened until enough links of the audited queries are found."""
-    least = SIMILAR - SLACK
-    chosen = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(np.int64))
-    want = exact_pairs(graph.vectors, queries[chosen], least)
-    want = set((chosen[want[0]] * len(graph.vectors) + want[1]).tolist())
-    width = BEAM
+def audited_search(graph: Graph, queries: np.ndarray, same: bool = False) -> tuple[np.ndarray, np.ndarray, dict]:
+    """Pairs found, with the beam widened until enough links of the audited queries are found. same: the queries are the nodes, and a node's pair with itself is no link."""
+    least, n = SIMILAR - SLACK, len(graph.vectors)
+    if BEAM >= n:
+        return *exact_pairs(graph.vectors, queries, least), {"width": n, "recall": 1.0, "exact": True}
+    order = np.argsort(mix64(np.arange(len(queries), dtype=np.uint64)), kind="stable")
+    links = np.zeros(len(queries), np.int64)
+    found_q, found_n = [], []
+    done, more = 0, AUDITED
     while True:
-        if width >= len(graph.vectors):
-            return *exact_pairs(graph.vectors, queries, least), {"width": width, "recall": 1.0}
+        part = order[done : done + more]
+        q, node = exact_pairs(graph.vectors, queries[part], least)
+        found_q.append(part[q]), found_n.append(node)
+        linked = found_q[-1][found_q[-1] != node] if same else found_q[-1]
+        links += np.bincount(linked, minlength=len(queries))
+        done += len(part)
+        few, hot = (order[:done][x[order[:done]]] for x in ((links > 0) & (links <= BEAM), links > BEAM))
+        if done == len(queries) or len(few) >= AUDITED:
+            break
+        more = done
+    q, node = np.concatenate(found_q), np.concatenate(found_n)
+    if done == len(queries):
+        return q, node, {"width": n, "recall": 1.0, "exact": True}
+    kinds = [x[:AUDITED] for x in (few, hot) if len(x)]
+    chosen = np.concatenate(kinds)
+    real = np.isin(q, chosen) & ((q != node) | (not same))
+    want_q, want = q[real], q[real] * n + node[real]
+    del found_q, found_n, q, node
+    width = BEAM
+    while width < n:
         # the audit comes first: it costs little
-        q, n = graph.search(queries[chosen], width, least)
-        got = set((chosen[q] * len(graph.vectors) + n).tolist())
-        recall = len(want & got) / len(want) if want else 1.0
+        q, node = graph.search(queries[chosen], width, least)
+        share = np.bincount(want_q, np.isin(want, chosen[q] * n + node), len(queries)) / np.maximum(links, 1)
+        recall = min(float(share[x].mean()) for x in kinds)
         if recall >= RECALL:
-            return *graph.search(queries, width, least), {"width": width, "recall": recall}
+            return *graph.search(queries, width, least), {"width": width, "recall": recall, "exact": False}
         width *= 2
+    return *exact_pairs(graph.vectors, queries, least), {"width": width, "recall": 1.0, "exact": True}
 
 
 def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -231,10 +253,15 @@ def search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """node, links (vectors linked in the other shard of the pair), root (a node of its component in these shards)."""
     for batch in batches:
         for k in range(batch.num_rows):
-            node_q, copies_q, unit_q, _ = pickle.loads(batch.column(0)[k].as_py())
+            node_q, copies_q, unit_q, graph_q = pickle.loads(batch.column(0)[k].as_py())
             node_s, copies_s, unit_s, graph = pickle.loads(batch.column(1)[k].as_py())
             same = len(node_q) == len(node_s) and (node_q == node_s).all()
-            q, s, _ = audited_search(graph, unit_q.astype(np.float32))
+            q, s, audit = audited_search(graph, unit_q.astype(np.float32), same)
+            if not same and not audit["exact"]:
+                # a node that no beam reaches in its own graph still finds its links as a query
+                s_back, q_back, _ = audited_search(graph_q, unit_s.astype(np.float32))
+                key = np.unique(np.concatenate([q * len(node_s) + s, q_back * len(node_s) + s_back]))
+                q, s = key // len(node_s), key % len(node_s)
             real = np.concatenate([np.einsum("id,id->i", unit_q[q[a : a + 100_000]], unit_s[s[a : a + 100_000]]) for a in range(0, len(q), 100_000)] or [np.zeros(0)]) >= SIMILAR
             if same:
                 real &= q != s

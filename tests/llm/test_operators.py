@@ -384,6 +384,58 @@ def test_graph_recall():
     assert got <= want and len(got) >= 0.98 * len(want) and audit["recall"] >= embedding_dedup.RECALL
 
 
+def unit_rows(seed, n):
+    v = np.random.default_rng(seed).normal(size=(n, 24))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def test_audit_sees_rare_links(monkeypatch):
+    v, other = unit_rows(18, 1000), unit_rows(19, 1000)
+    other[[101, 557]] = v[[3, 700]]
+    graph = embedding_dedup.Graph(v, np.arange(1000))
+    nothing = np.zeros(0, np.int64)
+    monkeypatch.setattr(embedding_dedup.Graph, "search", lambda *a: (nothing, nothing))
+    q, n, _ = embedding_dedup.audited_search(graph, other.astype(np.float32))
+    assert sorted(zip(q.tolist(), n.tolist(), strict=True)) == [(101, 3), (557, 700)]
+
+
+def test_audit_keeps_small_groups_beside_a_hot_one(monkeypatch):
+    v = unit_rows(20, 2000)
+    v[:1000] = v[0]
+    v[1001:2000:2] = v[1000:2000:2]
+    graph = embedding_dedup.Graph(v, np.arange(2000))
+
+    def hot_only(self, queries, width, least):
+        q, n = embedding_dedup.exact_pairs(self.vectors, queries, least)
+        return q[n < 1000], n[n < 1000]
+
+    monkeypatch.setattr(embedding_dedup.Graph, "search", hot_only)
+    q, n, _ = embedding_dedup.audited_search(graph, v.astype(np.float32))
+    assert len(q) == 1000 * 1000 + 500 * 4
+
+
+def test_shards_are_searched_both_ways(monkeypatch):
+    import pickle
+
+    import pyarrow as pa
+
+    blobs = []
+    for k in range(2):
+        v = unit_rows(21, 300)
+        blobs.append(pickle.dumps((np.arange(300) + 300 * k, np.ones(300, np.int64), v, embedding_dedup.Graph(v, np.arange(300)))))
+
+    def half(graph, queries, *same):
+        q, n = embedding_dedup.exact_pairs(graph.vectors, queries, 0.98)
+        keep = n % 300 >= 150 if len(calls) == 0 else n < 150
+        calls.append(1)
+        return q[keep], n[keep], {"width": 1, "recall": 1.0, "exact": False}
+
+    calls = []
+    monkeypatch.setattr(embedding_dedup, "audited_search", half)
+    out = pa.Table.from_batches(embedding_dedup.search_shards([pa.record_batch([pa.array([b], pa.binary()) for b in blobs], names=["queries", "blob"])]))
+    assert sorted(out["node"].to_pylist()) == list(range(600)) and set(out["links"].to_pylist()) == {1}
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 4), (20, 21), (7, 7)]
     got = components(spark.createDataFrame(links, "a long, b long"))
