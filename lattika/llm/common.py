@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that Spark puts into one Arrow batch for the Python stages; texts may be long.
-ARROW_ROWS = 1000
+#: Rows and bytes that Spark puts into one Arrow batch for the Python stages (at least a row); texts may be long.
+ARROW_ROWS, ARROW_BYTES = 1000, 8_000_000
+#: Bytes of a row group of intermediate tables.
+ROW_GROUP = 16_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,18 +24,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch; a smaller bound that is already set stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Bounds the rows and bytes of an Arrow batch for the session; smaller bounds that are already set stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = (spark.conf.get(key, None) or "").rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder of spark.checkpoint.dir; sets a local one only where the session names none."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where the session names none, a local one if driver and executors are one process; else an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -109,19 +120,25 @@ def by_position(docs: DataFrame, run: Callable[[DataFrame, Callable[[str], str]]
 def durable_table(df: DataFrame) -> DataFrame:
     """Writes a table into the shared folder and reads it back: columns can be read alone, and nothing is computed again."""
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = shared_path(spark, "table")
+    # small row groups: writers of wide columns hold one in memory
+    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system and path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
 def drop_tables(*tables: DataFrame) -> None:
     """Deletes tables of durable_table that nothing depends on any longer."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.table_path)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        store, path = file_system(df.sparkSession, df.table_path)
+        store.delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattika.llm.common import by_position, mix64, small_batches, table, text_slices
+from lattika.llm.common import by_position, durable, mix64, small_batches, table, text_slices
 from lattika.llm.merge_rounds import code_points
 
 #: Letters and word limits of an n-gram.
@@ -49,6 +49,15 @@ def folding() -> np.ndarray:
     return out
 
 
+def gram_hashes(points: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n points in a row."""
+    size = max(0, len(points) - n + 1)
+    out = np.zeros(size, np.uint64)
+    for k in range(n):
+        out = mix64(out * np.uint64(31) + points[k : k + size].astype(np.uint64)) if k == n - 1 else out * np.uint64(0x10001B3) + points[k : k + size].astype(np.uint64)
+    return out
+
+
 def grams(texts: list[str | None], n: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the letter n-grams of each text, and n + 1 offsets. Runs of other characters are one word limit; a text starts and ends with one."""
     points, ends = code_points([f" {t} " if t else "" for t in texts])
@@ -60,15 +69,28 @@ def grams(texts: list[str | None], n: int = GRAM) -> tuple[np.ndarray, np.ndarra
     size = len(points) - n + 1
     if size <= 0:
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    out = np.zeros(size, np.uint64)
-    for k in range(n):
-        out = mix64(out * np.uint64(31) + points[k : k + size].astype(np.uint64)) if k == n - 1 else out * np.uint64(0x10001B3) + points[k : k + size].astype(np.uint64)
+    out = gram_hashes(points, n)
     # only those that end in the text they start in
     owner = np.repeat(np.arange(len(texts)), np.diff(ends))
     own = owner[:size] == owner[n - 1 :]
     return out[own], np.r_[0, np.cumsum(np.bincount(owner[:size][own], minlength=len(texts)))]
 
 
+def gram_parts(text: str, n: int = GRAM) -> Iterator[np.ndarray]:
+    """The same hashes of one long text, SLICE characters at a time; the last letters of a part are carried over to the next."""
+    carry = np.array([32], np.uint32)
+    for a in range(0, len(text), SLICE):
+        points = folding()[code_points([text[a : a + SLICE]])[0]]
+        if a + SLICE >= len(text):
+            points = np.append(points, np.uint32(32))
+        every = np.concatenate([carry, points])
+        keep = np.ones(len(every), bool)
+        keep[len(carry) :] = (every[len(carry) :] != 32) | (every[len(carry) - 1 : -1] != 32)
+        every = every[keep]
+        yield gram_hashes(every, n)
+        carry = every[-(n - 1) :] if n > 1 else every[-1:]
+
+
 @dataclass
 class LanguageFilters:
     """languages by bit; slots (one unsigned 64-bit word for each 64 languages); the false-positive rate of each language; those learned from too little text to tell what is foreign."""
@@ -95,11 +117,9 @@ class LanguageFilters:
         step = (gram >> np.uint64(32)) | np.uint64(1)
         return [((gram + np.uint64(k) * step) & np.uint64(size - 1)).astype(np.int64) for k in range(READS)]
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The language of each text, the share of its n-grams that are known in it, corrected for false positives, and their number."""
-        gram, offsets = grams(texts)
-        n = np.diff(offsets)
-        counts = np.zeros((len(self.languages), len(texts)))
+    def _count(self, gram: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """How many of the n-grams of each text are in the filter of each language."""
+        counts = np.zeros((len(self.languages), len(offsets) - 1))
         places = self._places(gram, self.slots.shape[1])
         for w, words in enumerate(self.slots):
             mask = words[places[0]]
@@ -108,6 +128,20 @@ class LanguageFilters:
             for k in range(64 * w, min(len(self.languages), 64 * w + 64)):
                 bit = ((mask >> np.uint64(k - 64 * w)) & np.uint64(1)).astype(np.int64)
                 counts[k] = np.diff(np.r_[0, np.cumsum(bit)][offsets])
+        return counts
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The language of each text, the share of its n-grams that are known in it, corrected for false positives, and their number.
+
+        A text of more than SLICE characters is counted part by part.
+        """
+        long = [k for k, t in enumerate(texts) if t and len(t) > SLICE]
+        gram, offsets = grams([None if k in long else t for k, t in enumerate(texts)] if long else texts)
+        n, counts = np.diff(offsets), self._count(gram, offsets)
+        for k in long:
+            for part in gram_parts(texts[k]):
+                n[k] += len(part)
+                counts[:, k] += self._count(part, np.array([0, len(part)]))[:, 0]
         rates = self.rates[:, None]
         counts = np.clip((counts - n * rates) / np.maximum(1 - rates, 1e-9), 0, n)
         letters = np.array([any(map(str.isalpha, t or "")) for t in texts], bool)
@@ -142,15 +176,19 @@ def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
         for batch in batches:
             names, texts = (batch.column(k).to_pylist() for k in (0, 1))
             for name in set(names):
-                gram, n = np.unique(grams([t for t, x in zip(texts, names, strict=True) if x == name])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), index[name]), pa.int32()), pa.array(gram.view(np.int64)), pa.array(n, pa.int64())], names=["owner", "gram", "n"])
-
-    seen = chosen.mapInArrow(count, "owner int, gram long, n long").groupBy("owner", "gram").agg(F.sum("n").alias("n"))
-    total = W.partitionBy("owner")
+                own = [t for t, x in zip(texts, names, strict=True) if x == name]
+                short = grams([t for t in own if len(t) <= SLICE])[0]
+                for part in [short, *(g for t in own if len(t) > SLICE for g in gram_parts(t))]:
+                    gram, n = np.unique(part, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), index[name]), pa.int32()), pa.array(gram.view(np.int64)), pa.array(n, pa.int64())], names=["owner", "gram", "n"])
+
+    seen = durable(chosen.mapInArrow(count, "owner int, gram long, n long").groupBy("owner", "gram").agg(F.sum("n").alias("n")))
+    often = [F.sum(F.when(F.col("n") >= k, F.col("n")).otherwise(0)) for k in range(2, LEAST + 1)]
     least = F.lit(1)
-    for k in range(2, LEAST + 1):
-        least = F.when(F.sum(F.when(F.col("n") >= k, F.col("n")).otherwise(0)).over(total) >= ENOUGH * F.sum("n").over(total), k).otherwise(least)
-    seen = seen.withColumn("rate", F.col("n") / F.sum("n").over(total)).withColumn("least", least)
+    for k, enough in enumerate(often, 2):
+        least = F.when(enough >= ENOUGH * F.sum("n"), k).otherwise(least)
+    # a row for each language
+    seen = seen.join(F.broadcast(seen.groupBy("owner").agg(F.sum("n").alias("all"), least.alias("least"))), "owner").withColumn("rate", F.col("n") / F.col("all"))
     known = seen.withColumn("most", F.max("rate").over(W.partitionBy("gram"))).filter((F.col("rate") >= SHARE * F.col("most")) & (F.col("n") >= F.col("least")))
     found = known.select("owner", "gram", "least").toArrow()
     owner = found["owner"].to_numpy()

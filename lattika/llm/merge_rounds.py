@@ -7,6 +7,8 @@ import numpy as np
 from lattika.llm.common import mix64, powers
 
 NONE = np.int32(2**31 - 1)
+#: Words that a memo keeps, and the code points of the longest.
+MEMO_WORDS, MEMO_LONGEST = 200_000, 64
 
 
 class HashTable:
@@ -113,6 +115,9 @@ class WordHasher:
     def __init__(self):
         self.noise = mix64(np.arange(1, 0x110001, dtype=np.uint64))
 
+    def __reduce__(self):
+        return WordHasher, ()
+
     def __call__(self, points: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
         power, back = powers(len(points) + 1)
         sums = np.zeros(len(points) + 1, np.uint64)
@@ -132,6 +137,58 @@ def same_words(points: np.ndarray, starts: np.ndarray, lens: np.ndarray, hashes:
     return first, group
 
 
+class WordMemo:
+    """Merged words of earlier slices, up to MEMO_WORDS of them; found by hash and compared in full."""
+
+    def __init__(self):
+        self.clear()
+
+    def __reduce__(self):
+        return WordMemo, ()
+
+    def clear(self) -> None:
+        self.hashes, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.points, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.ids, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def __call__(self, hashes: np.ndarray, points: np.ndarray, lens: np.ndarray, merge) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after the other, and n + 1 offsets. points: their code points in a row. merge: ids and words of those not known."""
+        starts = np.cumsum(lens) - lens
+        known = np.full(len(hashes), -1, np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            maybe = np.flatnonzero(self.hashes[at] == hashes)
+            word = self.order[at[maybe]]
+            same = self.ends[word + 1] - self.ends[word] == lens[maybe]
+            maybe, word = maybe[same], word[same]
+            differs = points[expand(starts[maybe], lens[maybe])] != self.points[expand(self.ends[word], lens[maybe])]
+            right = np.bincount(np.repeat(np.arange(len(maybe)), lens[maybe])[differs], minlength=len(maybe)) == 0
+            known[maybe[right]] = word[right]
+        todo = np.flatnonzero(known < 0)
+        sym, seg = merge(todo) if len(todo) else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+        bound = np.searchsorted(seg, np.arange(len(todo) + 1))
+        n = np.zeros(len(hashes), np.int64)
+        n[todo] = np.diff(bound)
+        old = np.flatnonzero(known >= 0)
+        n[old] = self.bounds[known[old] + 1] - self.bounds[known[old]]
+        total = np.r_[0, np.cumsum(n)]
+        ids = np.zeros(total[-1], np.int32)
+        ids[expand(total[todo], n[todo])] = sym
+        ids[expand(total[old], n[old])] = self.ids[expand(self.bounds[known[old]], n[old])]
+        if len(self.hashes) + len(todo) > MEMO_WORDS:
+            self.clear()
+        keep = todo[lens[todo] <= MEMO_LONGEST][:MEMO_WORDS]
+        if len(keep):
+            every = np.concatenate([self.hashes[np.argsort(self.order)], hashes[keep]])
+            self.order = np.argsort(every, kind="stable")
+            self.hashes = every[self.order]
+            self.points = np.concatenate([self.points, points[expand(starts[keep], lens[keep])]])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lens[keep])])
+            self.ids = np.concatenate([self.ids, ids[expand(total[keep], n[keep])]])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(n[keep])])
+        return ids, total
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts and n + 1 offsets."""
     ends = np.zeros(len(texts) + 1, np.int64)

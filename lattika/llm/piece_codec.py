@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattika.llm.common import small_batches, table, text_slices
+from lattika.llm.common import small_batches, table
 from lattika.llm.merge_rounds import MergeTable, WordHasher, code_points, expand, same_words
 
 SPACE = "▁"
-#: Characters whose new words are merged together.
-SLICE = 1_000_000
+#: Characters whose new words are merged together; a longer text is cut between words.
+SLICE = 500_000
+#: Characters that are looked at together for such a cut, and ids that are decoded together.
+NEAR, IDS = 65_536, 1_000_000
 
 
 class PieceModel:
@@ -89,6 +91,8 @@ class PieceModel:
         for p in long:
             for a, b in zip(p, p[1:], strict=False):
                 self.adjacent[index[a], index[b]] = True
+        self.plain = self.char.copy()  # of a text that is not escaped yet
+        self.plain[0x20] = self.char[ord(SPACE)]
         # a character outside the vocabulary gets a number above all ids; it takes part in no pair
         self.symbol = np.arange(self.size, self.size + 0x110000, dtype=np.int32)
         for p, i in self.ids.items():
@@ -108,10 +112,52 @@ class PieceModel:
         out[np.repeat(odd, n)] = np.concatenate(spelled)
         return out, np.repeat(seg, n)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text without begin and end, as little-endian unsigned 32-bit integers."""
+    def cut(self, text: str, most: int = SLICE) -> Iterator[str]:
+        """Parts of a text that end between two words, each the first such place after so many characters. A text without one stays whole."""
+        start = 0
+        while len(text) - start > most:
+            at = -1
+            for a in range(start + most, len(text), NEAR):
+                index = self.plain[np.frombuffer(text[a - 1 : a + NEAR].encode("utf-32-le", "surrogatepass"), np.uint32)]
+                free = ~self.adjacent[index[:-1], index[1:]]
+                if free.any():
+                    at = a + int(free.argmax())
+                    break
+            if at < 0:
+                break
+            yield text[start:at]
+            start = at
+        yield text[start:] if start else text
+
+    def encode_all(self, texts: Iterator[str | None]) -> Iterator[bytes]:
+        """Ids of each text in turn, with begin and end, as little-endian unsigned 32-bit integers; SLICE characters are merged at a time."""
+        begin, end = (np.array([i], "<u4").tobytes() for i in (self.bos, self.eos))
+        held, room, own = [], SLICE, [begin]
+
+        def flush():
+            nonlocal own
+            for ids, (_, _, last) in zip(self.encode([x for x, _, _ in held], [f for _, f, _ in held]), held, strict=True):
+                own.append(ids)
+                if last:
+                    yield b"".join([*own, end])
+                    own = [begin]
+
+        for text in texts:
+            parts = self.cut(text or "")
+            part, front = next(parts), True
+            while part is not None:
+                after = next(parts, None)
+                held.append((part, front, after is None))
+                room, front, part = room - len(part), False, after
+                if room <= 0:
+                    yield from flush()
+                    held, room = [], SLICE
+        yield from flush()
+
+    def encode(self, texts: list[str | None], fronts: list[bool] | None = None) -> list[bytes]:
+        """Ids of each text without begin and end, as little-endian unsigned 32-bit integers. fronts: whether it is the start of a text."""
         front = SPACE if self.prefix else ""
-        points, ends = code_points([front + t.replace(" ", SPACE) if t else "" for t in texts])
+        points, ends = code_points([(front if first else "") + t.replace(" ", SPACE) if t else "" for t, first in zip(texts, fronts or [True] * len(texts), strict=True)])
         if not len(points):
             return [b""] * len(texts)
         index = self.char[points]
@@ -133,7 +179,7 @@ class PieceModel:
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; begin, end and other control ids have none."""
         ids = np.asarray(ids, np.int64)
-        raw = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        raw = b"".join([b"".join(map(self.bytes_of.__getitem__, ids[a : a + IDS].tolist())) for a in range(0, len(ids), IDS)])
         first = next((i for i in ids[:8].tolist() if self.bytes_of[i]), None)
         if self.prefix and first not in (None, self.unk) and not self.is_byte[first] and raw[:1] == b" ":
             raw = raw[1:]
@@ -169,25 +215,25 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", keep:
     """Columns of keep, then ids (binary: little-endian unsigned 32-bit, with begin and end), n_tokens and decoded.
 
     A null text counts as empty: begin and end only. Rows are neither dropped nor
-    merged, whatever their id. Other columns of docs, whatever their names, are left out.
+    merged, whatever their id. Very long texts are encoded part by part. Other columns
+    of docs, whatever their names, are left out. The model, a table of fixed size, is
+    read by the driver and broadcast.
     """
     small_batches(docs.sparkSession)
     kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]) + ", ids binary, n_tokens long, decoded string"
 
+    shared = docs.sparkSession.sparkContext.broadcast(load_model(model_path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load_model(model_path)
-        begin, end = (np.array([i], "<u4").tobytes() for i in (model.bos, model.eos))
+        model = shared.value
         for batch in batches:
-            lens = pa.compute.fill_null(pa.compute.utf8_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
-            for i, j in text_slices(lens, SLICE):
-                part = batch.slice(i, j - i)
-                ids = [begin + x + end for x in model.encode(part.column(part.num_columns - 1).to_pylist())]
-                back = [model.decode(np.frombuffer(x, "<u4")) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(back, pa.string())],
-                    names=[*part.schema.names[:-1], "ids", "n_tokens", "decoded"],
-                )
+            ids = list(model.encode_all(x.as_py() for x in batch.column(batch.num_columns - 1)))
+            back = [model.decode(np.frombuffer(x, "<u4")) for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(back, pa.string())],
+                names=[*batch.schema.names[:-1], "ids", "n_tokens", "decoded"],
+            )
 
     return kept.mapInArrow(run, schema)
 
@@ -195,9 +241,11 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", keep:
 def decode_ids(rows: DataFrame, model_path: str, ids: str = "ids", into: str = "text") -> DataFrame:
     """Adds the text of a binary column of little-endian unsigned 32-bit ids; null ids give a null text."""
 
+    shared = rows.sparkSession.sparkContext.broadcast(load_model(model_path))
+
     @F.pandas_udf("string")
     def decoded(column):
-        model = load_model(model_path)
+        model = shared.value
         return column.map(lambda x: None if x is None else model.decode(np.frombuffer(x, "<u4")))
 
     return rows.withColumn(into, decoded(F.col(ids)))

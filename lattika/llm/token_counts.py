@@ -8,6 +8,7 @@ that equal such a string are taken directly; only the distinct rest is merged.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattika.llm.common import small_batches, table, text_slices
-from lattika.llm.merge_rounds import HashTable, MergeTable, WordHasher, code_points, expand, same_words
+from lattika.llm.common import small_batches, table
+from lattika.llm.merge_rounds import HashTable, MergeTable, WordHasher, WordMemo, code_points, expand, same_words
 
-#: Code points whose pre-tokens are handled together.
-SLICE = 1_000_000
+#: Code points whose pre-tokens are handled together; a longer text is cut between pre-tokens.
+SLICE = 500_000
+#: Code points that are looked at together for such a cut.
+NEAR = 65_536
 LETTER, NUMBER, WHITE, OTHER = 0, 1, 2, 3
 #: Code points with the Unicode property White_Space (fixed values).
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -56,6 +59,8 @@ class ByteVocabulary:
         if any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in spec["added_tokens"]):
             raise ValueError("added tokens must match plainly")
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        # of strings that start at one place the longest counts
+        self.mark = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         vocab, letters = model["vocab"], byte_letters()
         self.size = max([*vocab.values(), *self.special.values()]) + 1
         self.of_byte = np.zeros(256, np.int32)
@@ -64,7 +69,9 @@ class ByteVocabulary:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.merges = MergeTable([vocab[a] for a, _ in pairs], [vocab[b] for _, b in pairs], [vocab[a + b] for a, b in pairs], range(len(pairs)), self.size)
         self.kind = point_classes()
-        self.hasher = WordHasher()
+        self.in_mark = np.zeros(0x110000, bool)
+        self.in_mark[[ord(c) for t in self.special for c in t]] = True
+        self.hasher, self.memo = WordHasher(), WordMemo()
         self._prove({t: i for t, i in vocab.items() if t not in self.special and all(c in letters for c in t)}, letters)
 
     def _prove(self, vocab: dict[str, int], letters: dict[str, int]) -> None:
@@ -144,11 +151,63 @@ class ByteVocabulary:
 
     def _split(self, text: str) -> Iterator[tuple[str, int]]:
         """Stretches of text, each with the special token behind it or -1."""
-        if any(s in text for s in self.special):
-            while found := min(((text.find(s), -len(s), s) for s in self.special if s in text), default=None):
-                yield text[: found[0]], self.special[found[2]]
-                text = text[found[0] + len(found[2]) :]
-        yield text, -1
+        at = 0
+        for found in self.mark.finditer(text):
+            yield text[at : found.start()], self.special[found[0]]
+            at = found.end()
+        yield text[at:] if at else text, -1
+
+    def cut(self, text: str, most: int = SLICE) -> Iterator[str]:
+        """Parts of a text that are encoded alike alone: each ends at the first proven border after so many code points.
+
+        White space after something else opens a pre-token, and so does whatever
+        follows a run of letters or of numbers; no special string may reach across.
+        A text without such a place stays whole.
+        """
+        start = 0
+        while len(text) - start > most:
+            at = self._border(text, start + most)
+            if at < 0:
+                break
+            yield text[start:at]
+            start = at
+        yield text[start:] if start else text
+
+    def _border(self, text: str, at: int) -> int:
+        for a in range(at, len(text), NEAR):
+            points = np.frombuffer(text[a - 1 : a + NEAR].encode("utf-32-le", "surrogatepass"), np.uint32)
+            kind, inside = self.kind[points], self.in_mark[points]
+            before, after = kind[:-1], kind[1:]
+            opens = (before != after) & (((after == WHITE) | (before == LETTER) | (before == NUMBER)) & ~(inside[:-1] & inside[1:]))
+            if opens.any():
+                return a + int(opens.argmax())
+        return -1
+
+    def encode_all(self, texts: Iterator[str | None], count_only: bool = False) -> Iterator[tuple[int, bool, np.ndarray, int]]:
+        """For each text in turn its parts: number of the text, whether it is the last part, ids (none if count_only), number of tokens.
+
+        Memory holds the parts of SLICE code points at a time, whatever the length of the texts.
+        """
+        held, room = [], SLICE
+
+        def flush():
+            ids, at = self.encode([part for _, _, part in held], count_only)
+            for (k, last, _), a, b in zip(held, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                yield k, last, ids[a:b], b - a
+
+        for k, text in enumerate(texts):
+            parts = self.cut(text or "")
+            part = next(parts)
+            while part is not None:
+                after = next(parts, None)
+                held.append((k, after is None, part))
+                room -= len(part)
+                if room <= 0:
+                    yield from flush()
+                    held, room = [], SLICE
+                part = after
+        if held:
+            yield from flush()
 
     def _encode_plain(self, texts: list[str], count_only: bool) -> tuple[np.ndarray, np.ndarray]:
         points, ends = code_points(texts)
@@ -171,10 +230,10 @@ class ByteVocabulary:
         if len(rest):
             first, group = same_words(points, starts[rest], lens[rest], hashes[rest])
             own = rest[first]
-            words = points[expand(starts[own], lens[own])].tobytes().decode("utf-32-le", "surrogatepass")
+            letters = points[expand(starts[own], lens[own])]
+            words = letters.tobytes().decode("utf-32-le", "surrogatepass")
             cuts = np.r_[0, np.cumsum(lens[own])].tolist()
-            sym, seg = self.merge([words[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-            bound = np.searchsorted(seg, np.arange(len(own) + 1))
+            sym, bound = self.memo(hashes[own], letters, lens[own], lambda todo: self.merge([words[cuts[k] : cuts[k + 1]] for k in todo.tolist()]))
             n[rest] = np.diff(bound)[group]
         total = np.r_[0, np.cumsum(n)]
         offsets = total[np.searchsorted(starts, ends)]
@@ -202,22 +261,24 @@ def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
 def count_tokens(docs: DataFrame, vocabulary_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns of keep, then n_bytes and n_tokens of each whole text; null counts as empty, rows are neither dropped nor merged.
 
-    Special strings of the vocabulary inside a text count as their token. Other
-    columns of docs, whatever their names, are left out.
+    Special strings of the vocabulary inside a text count as their token. Very long
+    texts are encoded part by part. Other columns of docs, whatever their names, are
+    left out. The vocabulary, a table of fixed size, is read by the driver and broadcast.
     """
     small_batches(docs.sparkSession)
     kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]) + ", n_bytes long, n_tokens long"
 
+    shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary_path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = load_vocabulary(vocabulary_path)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             n_bytes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j in text_slices(n_bytes, SLICE):
-                part = batch.slice(i, j - i)
-                _, offsets = vocabulary.encode(part.column(part.num_columns - 1).to_pylist(), count_only=True)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n_bytes[i:j]), pa.array(np.diff(offsets))], names=[*part.schema.names[:-1], "n_bytes", "n_tokens"])
+            n_tokens = np.zeros(len(column), np.int64)
+            for k, _, _, n in shared.value.encode_all((x.as_py() for x in column), count_only=True):
+                n_tokens[k] += n
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_bytes), pa.array(n_tokens)], names=[*batch.schema.names[:-1], "n_bytes", "n_tokens"])
 
     return kept.mapInArrow(run, schema)
 

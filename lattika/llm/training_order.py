@@ -1,31 +1,31 @@
 """Training-order materialisation of token ids.
 
-Texts are encoded, closed with the end-of-text token and cut into sequences of a
-fixed length. A keyed Feistel network over the smallest even power of two that
-holds all sequences, walked along its cycles until it lands below their number,
-is a permutation of their numbers: it gives each sequence its global slot.
-Sequences are partitioned by slot range; every shard holds records of one stride,
-so that slot, shard and byte offset follow from each other and reading can be
-taken up anywhere.
+Texts, in the order of doc_id and text, are encoded, closed with the end-of-text
+token and put one after the other: one stream of tokens, whatever the layout of
+the input. The stream is cut into sequences of a fixed length. A keyed Feistel
+network over the smallest even power of two that holds all sequences, walked along
+its cycles until it lands below their number, is a permutation of their numbers:
+it gives each sequence its global slot. Sequences are partitioned by slot range;
+every shard is a flat file of records of one stride, so that slot, shard and byte
+offset follow from each other and reading can be taken up anywhere.
 """
 
 from __future__ import annotations
 
-import json
-import os
+import re
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattika.llm.common import durable_table, mix64, small_batches, table, text_slices
-from lattika.llm.token_counts import SLICE, load_vocabulary, vocabulary_file
+from lattika.llm.common import drop_tables, durable_table, file_system, mix64, shared_path, small_batches, table
+from lattika.llm.token_counts import load_vocabulary, vocabulary_file
 
 #: Tokens of a sequence, sequences of a shard, rounds of the Feistel network.
 LENGTH, SHARD_ROWS, ROUNDS = 1024, 8192, 6
@@ -64,128 +64,162 @@ class Permutation:
         return self._walk(slot, self.keys[::-1], True)
 
 
-def sequences(docs: DataFrame, vocabulary_path: str, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, part, n_tokens, ids (little-endian, 2 or 4 bytes a token): the texts, each closed by the end-of-text token, in parts.
+def token_type(vocabulary_size: int) -> np.dtype:
+    return np.dtype("<u2" if vocabulary_size <= 1 << 16 else "<u4")
+
+
+def token_stream(docs: DataFrame, vocabulary_path: str, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """range, place, doc_id, n, ids: the texts by (doc_id, text) in pieces of at most `length` tokens (little-endian, 2 or 4 bytes each).
 
-    A null text counts as empty: one sequence with the closing token alone.
+    Ranges of the order are numbered; place counts the tokens of a range before a
+    piece. A text is closed by the end-of-text token; a null text counts as empty.
+    Null doc_ids stand first. Rows that tie are equal, so that their order has no effect.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    # the hash parts the texts of a hot doc_id
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
+    vocabulary = load_vocabulary(vocabulary_path)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    kind, end = token_type(vocabulary.size), max(vocabulary.special.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = load_vocabulary(vocabulary_path)
-        kind = token_type(vocabulary.size)
-        end = np.array([max(vocabulary.special.values())], kind).tobytes()
+        part, place = TaskContext.get().partitionId(), 0
         for batch in batches:
-            lens = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j in text_slices(lens, SLICE):
-                part = batch.slice(i, j - i)
-                ids, at = vocabulary.encode(part.column(1).to_pylist())
-                flat, size = ids.astype(kind), length * kind.itemsize
-                doc, number, n, cut = [], [], [], []
-                for d, a, b in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    raw = flat[a:b].tobytes() + end
-                    for k, x in enumerate(range(0, len(raw), size)):
-                        piece = raw[x : x + size]
-                        doc.append(d), number.append(k), n.append(len(piece) // kind.itemsize), cut.append(piece)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "part": pa.array(number, pa.int32()), "n_tokens": pa.array(n, pa.int32()), "ids": pa.array(cut, pa.binary())})
-
-    return rows.mapInArrow(run, "doc_id long, part int, n_tokens int, ids binary")
-
+            names = batch.column(0).to_pylist()
+            doc, at, n, cut = [], [], [], []
+            for k, last, ids, _ in shared.value.encode_all(x.as_py() for x in batch.column(1)):
+                flat = np.append(ids, end).astype(kind) if last else ids.astype(kind)
+                for a in range(0, len(flat), length):
+                    piece = flat[a : a + length]
+                    doc.append(names[k]), at.append(place), n.append(len(piece)), cut.append(piece.tobytes())
+                    place += len(piece)
+            yield pa.RecordBatch.from_pydict({"range": pa.array([part] * len(doc), pa.int32()), "place": pa.array(at, pa.int64()), "doc_id": pa.array(doc, pa.int64()), "n": pa.array(n, pa.int32()), "ids": pa.array(cut, pa.binary())})
 
-def token_type(vocabulary_size: int) -> np.dtype:
-    return np.dtype("<u2" if vocabulary_size <= 1 << 16 else "<u4")
+    return rows.mapInArrow(run, "range int, place long, doc_id long, n int, ids binary")
 
 
 def training_order(docs: DataFrame, vocabulary_path: str, key: int = KEY, length: int = LENGTH, shard_rows: int = SHARD_ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """slot, shard, byte_offset, doc_id, part, n_tokens, record (ids padded to the stride with the end-of-text token).
+    """slot, shard, byte_offset, sequence, n_tokens, docs (doc_id, at, n of each piece in the record), record (`length` tokens).
 
-    Each partition holds one shard, sorted by slot; slots are gapless from 0.
-    Sequences are numbered in the order of the written sequence table, and the
-    permutation gives each number its slot, so that the slots depend on the key
-    and on that table alone. Empty tables give no rows; repeated rows and null
-    doc_ids are sequences like others. Other columns of docs are left out.
+    Each partition holds one shard, sorted by slot; slots are gapless from 0. Only
+    the record of the last sequence can be short; it is padded with end-of-text
+    tokens. The slots depend on the rows and the key alone, not on files or
+    partitions. Empty tables give no rows; repeated rows and null doc_ids are part
+    of the stream like others. Other columns of docs are left out.
     """
     spark = docs.sparkSession
     vocabulary = load_vocabulary(vocabulary_path)
     kind, pad = token_type(vocabulary.size), max(vocabulary.special.values())
-    stride = length * kind.itemsize
-    rows = sequences(docs, vocabulary_path, length, doc_id, text)
-    # a row's place in its partition is written along with it
-    rows = rows.withColumn("place", F.monotonically_increasing_id())
-    rows = durable_table(rows.select("doc_id", "part", "n_tokens", "ids", F.shiftright("place", 33).alias("range"), F.col("place").bitwiseAND((1 << 33) - 1).alias("place")))
-    counts = rows.groupBy("range").agg(F.count("*").alias("n"))
+    wide, stride = kind.itemsize, (length + 1) * kind.itemsize
+    pieces = durable_table(token_stream(docs, vocabulary_path, length, doc_id, text))
+    counts = pieces.groupBy("range").agg(F.sum("n").alias("n"))  # a row for each range
     before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # a row for each partition
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    offsets = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    total = -(-(counts.agg(F.sum("n")).first()[0] or 0) // length)
     order = Permutation(max(total, 1), key)
 
     @F.pandas_udf(T.LongType())
     def slot(number: pd.Series) -> pd.Series:
         return pd.Series(order.slot(number.to_numpy()))
 
-    placed = rows.join(F.broadcast(offsets), "range").withColumn("slot", slot(F.col("place") + F.col("before")))
-    padding = np.array([pad], kind).tobytes()
-    placed = placed.select(
-        "slot",
-        F.floor(F.col("slot") / shard_rows).cast("int").alias("shard"),
-        (F.pmod("slot", F.lit(shard_rows)) * stride).cast("long").alias("byte_offset"),
-        "doc_id",
-        "part",
-        "n_tokens",
-        F.rpad("ids", stride, F.lit(padding)).alias("record"),
-    )
-    return placed.repartitionById(max(1, -(-total // shard_rows)), F.col("shard")).sortWithinPartitions("slot")
-
-
-def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
-    """Writes each shard of training_order as one flat file in a folder that all executors share: shard, rows, bytes.
-
-    A file is written beside its place and renamed once whole, so that a task that
-    is run again, or twice at once, leaves a whole file; a shard already there in
-    full is not written again.
-    """
+    # a piece lies in one sequence or in two
+    at = F.col("place") + F.col("before")
+    first = F.least("n", F.lit(length) - F.pmod(at, F.lit(length))).cast("int")
+    part = lambda add, start, n: F.struct((F.floor(at / length) + add).cast("long").alias("sequence"), F.when(F.lit(add == 1), 0).otherwise(F.pmod(at, F.lit(length))).cast("int").alias("at"), start.cast("int").alias("start"), n.cast("int").alias("n"))
+    one, two = part(0, F.lit(0), first), part(1, first, F.col("n") - first)
+    cut = pieces.join(F.broadcast(offsets), "range").select("doc_id", "ids", F.explode(F.when(F.col("n") > first, F.array(one, two)).otherwise(F.array(one))).alias("x"))
+    cut = cut.select("doc_id", "x.sequence", "x.at", "x.n", F.substring(F.col("ids"), F.col("x.start") * wide + 1, F.col("x.n") * wide).alias("ids")).withColumn("slot", slot("sequence"))
+    cut = cut.withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("int"))
+    dealt = cut.repartitionById(max(1, -(-total // shard_rows)), F.col("shard")).sortWithinPartitions("slot", "at")
+    filler = np.full(length, pad, kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = name = shard = None
-        rows = size = 0
+        """Pieces, sorted by slot and place, to records."""
+        now, docs_of, held = None, [], []
+
+        def out() -> dict:
+            size = sum(len(x) for x in held) // wide
+            return {"slot": now[0], "shard": now[2], "byte_offset": now[0] % shard_rows * stride, "sequence": now[1], "n_tokens": size, "docs": docs_of, "record": b"".join(held) + filler[size * wide :]}
+
         for batch in batches:
-            for s, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if out is None:
-                    shard, name = s, Path(folder) / f"shard-{s:08d}.bin"
-                    out = open(f"{name}.{os.getpid()}.part", "wb")  # noqa: SIM115
-                out.write(record)
-                rows, size = rows + 1, size + len(record)
-        if out is not None:
-            out.close()
-            if name.exists() and name.stat().st_size == size:
-                os.unlink(out.name)
-            else:
-                os.replace(out.name, name)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "rows": pa.array([rows], pa.int64()), "bytes": pa.array([size], pa.int64())})
+            done = []
+            for doc, sequence, place, n, ids, s, shard in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now is None or now[0] != s:
+                    if now is not None:
+                        done.append(out())
+                    now, docs_of, held = (s, sequence, shard), [], []
+                docs_of.append({"doc_id": doc, "at": place, "n": n}), held.append(ids)
+            if done:
+                yield pa.RecordBatch.from_pylist(done, RECORD)
+        if now is not None:
+            yield pa.RecordBatch.from_pylist([out()], RECORD)
 
-    os.makedirs(folder, exist_ok=True)
-    return ordered.select("shard", "record").mapInArrow(run, "shard int, rows long, bytes long")
+    ordered = dealt.mapInArrow(run, "slot long, shard int, byte_offset long, sequence long, n_tokens int, docs array<struct<doc_id: long, at: int, n: int>>, record binary")
+    ordered.pieces = pieces
+    return ordered
 
 
-def write_index(folder: str, length: int, shard_rows: int, total: int, vocabulary_size: int) -> None:
-    (Path(folder) / "index.json").write_text(json.dumps({"length": length, "shard_rows": shard_rows, "sequences": total, "type": token_type(vocabulary_size).str}))
+RECORD = pa.schema([("slot", pa.int64()), ("shard", pa.int32()), ("byte_offset", pa.int64()), ("sequence", pa.int64()), ("n_tokens", pa.int32()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int32())]))), ("record", pa.binary())])
 
 
-def read_slots(folder: str, start: int, count: int) -> np.ndarray:
-    """The sequences of the slots from start on, read from the flat files by offset alone."""
-    index = json.loads((Path(folder) / "index.json").read_text())
-    kind, out = np.dtype(index["type"]), []
-    stop = min(start + count, index["sequences"])
-    while start < stop:
-        shard, at = divmod(start, index["shard_rows"])
-        n = min(stop - start, index["shard_rows"] - at)
-        stride = index["length"] * kind.itemsize
-        out.append(np.fromfile(Path(folder) / f"shard-{shard:08d}.bin", kind, n * index["length"], offset=at * stride).reshape(n, -1))
-        start += n
-    return np.concatenate(out) if out else np.zeros((0, index["length"]), kind)
+def write_shards(ordered: DataFrame, folder: str, vocabulary_path: str, length: int = LENGTH, shard_rows: int = SHARD_ROWS) -> None:
+    """Writes training_order into folder/shards, one flat file for each shard, and folder/index, what is needed to read them.
+
+    A record is followed by one end-of-text token. The files come from Spark's own
+    writer of plain files, through Hadoop's file systems: a file appears whole or not
+    at all, whatever executors are lost, and its number is the number of the shard.
+    """
+    vocabulary = load_vocabulary(vocabulary_path)
+    kind, pad = token_type(vocabulary.size), max(vocabulary.special.values())
+    after = np.array([pad], kind).tobytes().decode("latin-1")
+    ordered.select(F.col("record").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", after).text(f"{folder}/shards")
+    index = [(length, shard_rows, kind.str)]
+    ordered.sparkSession.createDataFrame(index, "length int, shard_rows int, type string").coalesce(1).write.json(f"{folder}/index")
+
+
+def read_index(spark: SparkSession, folder: str) -> tuple[int, int, np.dtype]:
+    row = spark.read.schema("length int, shard_rows int, type string").json(f"{folder}/index").first()
+    return row["length"], row["shard_rows"], np.dtype(row["type"])
+
+
+def read_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """slot, shard, byte_offset, record of all shards of a folder, cut by the stride alone."""
+    length, shard_rows, kind = read_index(spark, folder)
+    size, stride = length * kind.itemsize, (length + 1) * kind.itemsize
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/shards")
+    shard = F.regexp_extract("path", r"/part-(\d+)[^/]*$", 1).cast("int").alias("shard")
+    rows = files.filter("length > 0").select(shard, "content", F.explode(F.sequence(F.lit(0), (F.col("length") / stride).cast("int") - 1)).alias("k"))
+    return rows.select((F.col("shard").cast("long") * shard_rows + F.col("k")).alias("slot"), "shard", (F.col("k").cast("long") * stride).alias("byte_offset"), F.substring(F.col("content"), F.col("k") * stride + 1, F.lit(size)).alias("record"))
+
+
+def read_slots(spark: SparkSession, folder: str, start: int, count: int) -> np.ndarray:
+    """The sequences of the slots from start on, read by offset alone from any file system that Hadoop opens."""
+    length, shard_rows, kind = read_index(spark, folder)
+    stride, out = (length + 1) * kind.itemsize, []
+    store, at = file_system(spark, f"{folder}/shards")
+    files = {int(m[1]): x for x in store.listStatus(at) if (m := re.match(r"part-(\d+)", x.getPath().getName()))}
+    while count > 0 and (start // shard_rows) in files:
+        shard, k = divmod(start, shard_rows)
+        n = min(count, files[shard].getLen() // stride - k)
+        if n <= 0:
+            break
+        stream = store.open(files[shard].getPath())
+        try:
+            stream.seek(k * stride)
+            raw = spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n * stride)
+        finally:
+            stream.close()
+        out.append(np.frombuffer(bytes(raw), kind).reshape(n, length + 1)[:, :length])
+        start, count = start + n, count - n
+    return np.concatenate(out) if out else np.zeros((0, length), kind)
 
 
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as fixed-stride token records in training order."""
-    return training_order(table(spark, sf_dir, "documents"), vocabulary_file())
+    """All documents as flat shards of token records in training order, and what is read back from them: slot, shard, byte_offset, record."""
+    folder = shared_path(spark, "training-order")
+    ordered = training_order(table(spark, sf_dir, "documents"), vocabulary_file())
+    write_shards(ordered, folder, vocabulary_file())
+    drop_tables(ordered.pieces)
+    return read_shards(spark, folder)

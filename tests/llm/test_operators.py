@@ -329,27 +329,112 @@ def test_permutation():
     assert (training_order.Permutation(1000, 7).slot(np.arange(1000)) != training_order.Permutation(1000, 8).slot(np.arange(1000))).any()
 
 
-def test_training_order(spark, tmp_path):
+def in_order(texts, ids):
+    """The library's tokens of all texts by doc_id, each closed."""
     from tokenizers import Tokenizer
 
-    texts = passages(10, 20, 10)
-    ordered = training_order.training_order(docs_of(spark, texts), token_counts.vocabulary_file(), length=32, shard_rows=16)
-    rows = ordered.collect()
-    assert sorted(r.slot for r in rows) == list(range(len(rows)))
-    assert all(r.shard == r.slot // 16 and r.byte_offset == r.slot % 16 * 64 and len(r.record) == 64 for r in rows)
     library = Tokenizer.from_file(token_counts.vocabulary_file())
-    for d, t in enumerate(texts):
-        parts = sorted((r for r in rows if r.doc_id == d), key=lambda r: r.part)
-        ids = np.concatenate([np.frombuffer(r.record, "<u2")[: r.n_tokens] for r in parts]).tolist()
-        assert ids == [*library.encode(t or "", add_special_tokens=False).ids, 50256]
-    folder = str(tmp_path / "shards")
-    for _ in range(2):
-        assert training_order.write_shards(ordered, folder).agg(F.sum("rows")).first()[0] == len(rows)
-    training_order.write_index(folder, 32, 16, len(rows), 50257)
-    want = {r.slot: np.frombuffer(r.record, "<u2").tolist() for r in rows}
-    got = training_order.read_slots(folder, 10, 30)
-    assert got.tolist() == [want[s] for s in range(10, min(40, len(rows)))]
-    assert training_order.training_order(docs_of(spark, ["a"]).limit(0), token_counts.vocabulary_file()).count() == 0
+    rows = sorted(zip(ids, texts, strict=True), key=lambda r: (r[0] is not None, r[0] or 0))
+    return [i for _, t in rows for i in [*library.encode(t or "", add_special_tokens=False).ids, 50256]]
+
+
+def test_training_order(spark, tmp_path):
+    texts = passages(10, 20, 10)
+    file = token_counts.vocabulary_file()
+    want = np.array(in_order(texts, range(len(texts))))
+    ordered = training_order.training_order(docs_of(spark, texts), file, length=32, shard_rows=16)
+    rows = {r.slot: r for r in ordered.collect()}
+    total = -(-len(want) // 32)
+    assert sorted(rows) == list(range(total)) and {r.sequence for r in rows.values()} == set(range(total))
+    order = training_order.Permutation(total, training_order.KEY)
+    for s, r in rows.items():
+        assert (r.shard, r.byte_offset, len(r.record)) == (s // 16, s % 16 * 66, 64) and order.slot(np.array([r.sequence]))[0] == s
+        assert sum(d.n for d in r.docs) == r.n_tokens and [d["at"] for d in r.docs] == np.r_[0, np.cumsum([d.n for d in r.docs])][:-1].tolist()
+    stream = np.concatenate([np.frombuffer(r.record, "<u2")[: r.n_tokens] for r in sorted(rows.values(), key=lambda r: r.sequence)])
+    assert stream.tolist() == want.tolist()
+    folder = str(tmp_path / "order")
+    training_order.write_shards(ordered, folder, file, 32, 16)
+    back = {r.slot: r for r in training_order.read_shards(spark, folder).collect()}
+    assert {s: (r.shard, r.byte_offset, r.record) for s, r in back.items()} == {s: (r.shard, r.byte_offset, r.record) for s, r in rows.items()}
+    got = training_order.read_slots(spark, folder, 10, 30)
+    assert got.tolist() == [np.frombuffer(rows[s].record, "<u2").tolist() for s in range(10, min(40, total))]
+    assert training_order.read_slots(spark, folder, total, 5).shape == (0, 32)
+
+
+def test_training_order_of_other_layouts(spark):
+    texts = passages(22, 20, 10)
+    ids = [None, 5, 5, 5, *range(10, 6 + len(texts))]
+    docs = docs_of(spark, texts, ids)
+    got = []
+    for parts in (1, 4):
+        rows = training_order.training_order(docs.repartition(parts, "text"), token_counts.vocabulary_file(), length=32, shard_rows=16).collect()
+        got.append({r.slot: (r.sequence, r.record) for r in rows})
+    assert got[0] == got[1]
+    assert training_order.training_order(docs.limit(0), token_counts.vocabulary_file()).count() == 0
+
+
+def test_query_of_training_order(spark, tmp_path):
+    texts = passages(23, 30, 10)
+    rows = training_order.op9_training_order(spark, as_tables(tmp_path, documents=docs_of(spark, texts))).collect()
+    want = np.array(in_order(texts, range(len(texts))))
+    order = training_order.Permutation(len(rows), training_order.KEY)
+    stream = np.concatenate([np.frombuffer(r.record, "<u2") for r in sorted(rows, key=lambda r: order.number(np.array([r.slot]))[0])])
+    assert stream[: len(want)].tolist() == want.tolist() and set(stream[len(want) :].tolist()) <= {50256}
+
+
+def long_texts():
+    rng = random.Random(24)
+    words = ["".join(rng.choice("abcdefghij é日") for _ in range(rng.randint(1, 9))) for _ in range(500)]
+    return [" ".join(rng.choice(words) for _ in range(3000)) + end for end in ("", " ", "\n\n  x", "'s <|endoftext|> y")] + ["ab1cd2" * 900 + "'s 've", "。" + "日本" * 2000 + "12", "x" * 5000, "", None, "a"]
+
+
+def test_long_texts_are_cut_where_nothing_crosses(monkeypatch):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    texts = long_texts()
+    for module, most in ((token_counts, 700), (piece_codec, 700), (language_id, 700)):
+        monkeypatch.setattr(module, "SLICE", most)
+    monkeypatch.setattr(piece_codec, "IDS", 100)
+    byte, library = token_counts.ByteVocabulary(token_counts.vocabulary_file()), Tokenizer.from_file(token_counts.vocabulary_file())
+    assert len(list(byte.cut(texts[0], 700))) > 10 and len(list(byte.cut(texts[4], 700))) > 3
+    got = [[] for _ in texts]
+    for k, _, ids, n in byte.encode_all(iter(texts)):
+        got[k] += ids.tolist()
+        assert len(ids) == n
+    assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    piece, library = piece_codec.load_model(piece_codec.model_file()), sentencepiece.SentencePieceProcessor(model_file=piece_codec.model_file())
+    assert len(list(piece.cut(texts[0], 700))) > 10
+    for t, ids in zip(texts, piece.encode_all(iter(texts)), strict=True):
+        want = [1, *library.encode(t or ""), 2]
+        assert np.frombuffer(ids, "<u4").tolist() == want and piece.decode(np.frombuffer(ids, "<u4")) == library.decode(want)
+    for t in texts:
+        if t:
+            assert np.concatenate(list(language_id.gram_parts(t))).tolist() == language_id.grams([t])[0].tolist()
+
+
+def test_language_counts_against_brute_force(monkeypatch):
+    rng = random.Random(25)
+    learned = [["".join(rng.choice(a) for _ in range(4)) for _ in range(200)] for a in ("abcdef", "defghi", "jklmno")]
+    grams = [np.unique(np.concatenate([language_id.grams([w])[0] for w in words])) for words in learned]
+    filters = language_id.LanguageFilters.build(["x", "y", "z"], np.concatenate(grams), np.repeat(np.arange(3), [len(g) for g in grams]))
+    texts = [" ".join(rng.choice(learned[k % 3] + learned[(k + 1) % 3]) for _ in range(60)) for k in range(30)] + [None, "", "12", "q"]
+    sets = [set(g.tolist()) for g in grams]
+    names, score, n = filters.predict(texts)
+    for k, t in enumerate(texts):
+        own = language_id.grams([t])[0].tolist()
+        assert n[k] == len(own)
+        if not any(c.isalpha() for c in t or ""):
+            assert names[k] == "und" and score[k] == 0
+            continue
+        exact = [sum(g in s for g in own) / max(1, len(own)) for s in sets]
+        # the masks hold every learned n-gram; what else they report is the corrected share of false positives
+        assert names[k] == "xyz"[int(np.argmax(exact))] or max(exact) - exact["xyz".index(names[k])] < 0.05
+        assert abs(score[k] - max(exact)) < 0.1
+    whole = filters.predict(texts)
+    monkeypatch.setattr(language_id, "SLICE", 50)
+    parts = filters.predict(texts)
+    assert parts[0] == whole[0] and np.allclose(parts[1], whole[1]) and (parts[2] == whole[2]).all()
 
 
 def test_embedding_dedup(spark):
