@@ -4,10 +4,13 @@ Equal vectors of a label are one node. The nodes of a label are dealt into shard
 of bounded size, each with a graph of its own. Every shard is searched with the
 nodes of all shards of its label: a beam search through the layers, then along
 the links found until no linked node is new; two shards are searched both ways.
-In each search queries are checked against all nodes of the shard until enough of
-them have links, or all are checked and no search is needed; while too few of the
-links of a query are found, the beam is widened, at last to the whole shard. Links
-are verified in double precision and united to components.
+A shard stays in its task while the others pass by. In each search queries are
+checked against all nodes of the shard until enough of them have links, or all are
+checked and no search is needed; a query's hit on itself is no link. While too few
+of the links of a query are found, the beam is widened, at last to the whole shard.
+Links are verified in double precision and held as one bit for each pair of nodes
+of two shards, which bounds memory whatever their number; they are counted and
+united to components block by block.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattika.llm.common import durable, durable_table, mix64, table
+from lattika.llm.common import durable, durable_table, mix64, small_batches, table
 from lattika.llm.components import components
 
 SIMILAR = 0.98
@@ -28,8 +31,10 @@ SIMILAR = 0.98
 SHARD, NEIGHBOURS, BEAM = 20_000, 16, 48
 #: Queries searched in step; queries with links audited in each search, of those with more links than the beam holds and of the others each; and the share of their links that must be found, on average over queries.
 STEP, AUDITED, RECALL = 256, 64, 0.99
-#: Single-precision similarities this far below the threshold are looked at in double precision.
-SLACK = 1e-4
+#: Single-precision similarities this near to the threshold are looked at in double precision, so many pairs at a time.
+SLACK, PAIRS = 1e-4, 100_000
+#: Frontier nodes that a search expands at a time, and the share of a shard that a query has to be linked to for a search of all nodes to be the cheaper way.
+FRONTIER, DENSE = 100_000, 1 / 64
 
 
 class Graph:
@@ -148,11 +153,10 @@ class Graph:
         top = np.argsort(-sims, axis=1, kind="stable")
         return np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1)
 
-    def search(self, queries: np.ndarray, width: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, node) of similarity least or more: those of the beam, and those along their links."""
+    def blocks(self, queries: np.ndarray, width: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Pairs of similarity least or more, those of the beam and those along their links: for each STEP queries the number of the first and a table of queries and nodes."""
         n = len(self.vectors)
         width = min(width, n)
-        found_q, found_n = [], []
         for a in range(0, len(queries), STEP):
             part = queries[a : a + STEP]
             start = np.full((len(part), 1), self.entry)
@@ -161,10 +165,14 @@ class Graph:
             ids, sims = self._beam(part, start, 0, width)
             q, c = np.nonzero((sims >= least) & (ids >= 0))
             node = ids[q, c]
-            seen = np.zeros((len(part), n), bool)
-            seen[q, node] = True
-            while len(q):
-                found_q.append(q + a), found_n.append(node)
+            seen, hit = np.zeros((len(part), n), bool), np.zeros((len(part), n), bool)
+            seen[q, node] = hit[q, node] = True
+            todo = [(q, node)]
+            while todo:
+                q, node = todo.pop()
+                if len(q) > FRONTIER:
+                    todo += [(q[:FRONTIER], node[:FRONTIER]), (q[FRONTIER:], node[FRONTIER:])]
+                    continue
                 near = self.layers[0][node]
                 q = np.repeat(q, near.shape[1])
                 near = near.ravel()
@@ -174,59 +182,99 @@ class Graph:
                 key = np.unique(q[new] * n + near[new])
                 q, node = key // n, key % n
                 seen[q, node] = True
-                linked = np.einsum("id,id->i", self.vectors[node], part[q]) >= least
+                linked = np.concatenate([np.einsum("id,id->i", self.vectors[node[x : x + FRONTIER]], part[q[x : x + FRONTIER]]) for x in range(0, len(q), FRONTIER)] or [np.zeros(0)]) >= least
                 q, node = q[linked], node[linked]
-        return (np.concatenate(found_q), np.concatenate(found_n)) if found_q else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                hit[q, node] = True
+                if len(q):
+                    todo.append((q, node))
+            yield a, hit
 
 
-def exact_pairs(vectors: np.ndarray, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    found = [(q + a, n) for a in range(0, len(queries), STEP) for q, n in [np.nonzero(queries[a : a + STEP] @ vectors.T >= least)]]
-    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+def exact_blocks(vectors: np.ndarray, queries: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    for a in range(0, len(queries), STEP):
+        yield a, queries[a : a + STEP] @ vectors.T >= least
 
 
-def audited_search(graph: Graph, queries: np.ndarray, same: bool = False) -> tuple[np.ndarray, np.ndarray, dict]:
-    """Pairs found, with the beam widened until enough links of the audited queries are found. same: the queries are the nodes, and a node's pair with itself is no link."""
+def audited_search(graph: Graph, queries: np.ndarray, same: bool = False) -> tuple[Iterator[tuple[int, np.ndarray]], dict]:
+    """Tables of queries and nodes found, with the beam widened until enough links of the audited queries are found, and the audit.
+
+    same: the queries are the nodes, and a node's pair with itself is no link. The
+    audit has the beam's width, the recall on the audited queries that have links
+    (their number is in it too), and whether the search was a full one.
+    """
     least, n = SIMILAR - SLACK, len(graph.vectors)
+    full = lambda seen: (exact_blocks(graph.vectors, queries, least), {"width": n, "recall": 1.0, "audited": seen, "exact": True})
     if BEAM >= n:
-        return *exact_pairs(graph.vectors, queries, least), {"width": n, "recall": 1.0, "exact": True}
+        return full(0)
     order = np.argsort(mix64(np.arange(len(queries), dtype=np.uint64)), kind="stable")
     links = np.zeros(len(queries), np.int64)
-    found_q, found_n = [], []
-    done, more = 0, AUDITED
-    while True:
+    done, more, few, hot = 0, AUDITED, order[:0], order[:0]
+    while done < len(queries) and len(few) < AUDITED:
         part = order[done : done + more]
-        q, node = exact_pairs(graph.vectors, queries[part], least)
-        found_q.append(part[q]), found_n.append(node)
-        linked = found_q[-1][found_q[-1] != node] if same else found_q[-1]
-        links += np.bincount(linked, minlength=len(queries))
+        for a, hit in exact_blocks(graph.vectors, queries[part], least):
+            own = part[a : a + len(hit)]
+            if same:
+                hit[np.arange(len(own)), own] = False
+            links[own] = hit.sum(axis=1)
         done += len(part)
         few, hot = (order[:done][x[order[:done]]] for x in ((links > 0) & (links <= BEAM), links > BEAM))
-        if done == len(queries) or len(few) >= AUDITED:
-            break
         more = done
-    q, node = np.concatenate(found_q), np.concatenate(found_n)
-    if done == len(queries):
-        return q, node, {"width": n, "recall": 1.0, "exact": True}
     kinds = [x[:AUDITED] for x in (few, hot) if len(x)]
+    seen = sum(map(len, kinds))
+    if done == len(queries) or links[order[:done]].mean() > DENSE * n:
+        return full(seen)
     chosen = np.concatenate(kinds)
-    real = np.isin(q, chosen) & ((q != node) | (not same))
-    want_q, want = q[real], q[real] * n + node[real]
-    del found_q, found_n, q, node
+    part = queries[chosen]
+    want = np.concatenate([hit for _, hit in exact_blocks(graph.vectors, part, least)])
+    if same:
+        want[np.arange(len(chosen)), chosen] = False
     width = BEAM
     while width < n:
         # the audit comes first: it costs little
-        q, node = graph.search(queries[chosen], width, least)
-        share = np.bincount(want_q, np.isin(want, chosen[q] * n + node), len(queries)) / np.maximum(links, 1)
-        recall = min(float(share[x].mean()) for x in kinds)
+        got = np.concatenate([hit for _, hit in graph.blocks(part, width, least)])
+        share = (got & want).sum(axis=1) / want.sum(axis=1)
+        recall = min(float(share[a : a + len(x)].mean()) for a, x in zip(np.cumsum([0, *map(len, kinds)]), kinds, strict=False))
         if recall >= RECALL:
-            return *graph.search(queries, width, least), {"width": width, "recall": recall, "exact": False}
+            return graph.blocks(queries, width, least), {"width": width, "recall": recall, "audited": seen, "exact": False}
         width *= 2
-    return *exact_pairs(graph.vectors, queries, least), {"width": width, "recall": 1.0, "exact": True}
+    return full(seen)
+
+
+class Links:
+    """A bit for each pair of nodes of two shards (unit vectors a and b) that are linked."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b = a, b
+        self.bits = np.zeros((len(a), -(-len(b) // 8)), np.uint8)
+
+    def verified(self, row: int, hit: np.ndarray, back: bool) -> np.ndarray:
+        """Of the pairs found for rows of a (back: of b) those whose cosine in double precision reaches the threshold."""
+        left, right = (self.b, self.a) if back else (self.a, self.b)
+        q, s = np.nonzero(hit)
+        if len(q) > hit.size / 16:
+            return hit & (left[row : row + len(hit)] @ right.T >= SIMILAR)
+        out = np.zeros(hit.shape, bool)
+        for x in range(0, len(q), PAIRS):
+            i, j = q[x : x + PAIRS], s[x : x + PAIRS]
+            real = np.einsum("id,id->i", left[i + row], right[j]) >= SIMILAR
+            out[i[real], j[real]] = True
+        return out
+
+    def add(self, row: int, hit: np.ndarray) -> None:
+        self.bits[row : row + len(hit)] |= np.packbits(self.verified(row, hit, False), axis=1)
 
+    def add_back(self, row: int, hit: np.ndarray) -> None:
+        """hit: rows from `row` of b against all of a. row is a multiple of eight, as STEP is."""
+        packed = np.packbits(self.verified(row, hit, True).T, axis=1)
+        self.bits[:, row // 8 : row // 8 + packed.shape[1]] |= packed
 
-def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """A representative of the component of each of n nodes."""
-    root = np.arange(n)
+    def blocks(self) -> Iterator[tuple[int, np.ndarray]]:
+        for row in range(0, len(self.a), STEP):
+            yield row, np.unpackbits(self.bits[row : row + STEP], axis=1, count=len(self.b)).astype(bool)
+
+
+def local_roots(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """A representative of the component of each node, after links between a and b. root: the representatives before."""
     while True:
         low = np.minimum(root[a], root[b])
         new = root.copy()
@@ -249,35 +297,60 @@ def build_shard(key: tuple, group: pa.Table) -> pa.Table:
     return pa.table({"label": group["label"].slice(0, 1), "dim": group["dim"].slice(0, 1), "shard": group["shard"].slice(0, 1), "blob": pa.array([blob], pa.binary())})
 
 
+def search_pair(own: tuple, other: tuple | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[dict]]:
+    """Nodes with links, their number of linked vectors, a node of their component, and the audits. own, other: what build_shard has pickled; no other: own in itself."""
+    node_a, copies_a, unit_a, graph_a = own
+    same = other is None
+    node_b, copies_b, unit_b, graph_b = own if same else other
+    links = Links(unit_a, unit_b)
+    found, audit = audited_search(graph_b, unit_a.astype(np.float32), same)
+    audits = [audit]
+    for row, hit in found:
+        links.add(row, hit)
+        if same:
+            # a link counts for both ends, whichever search found it
+            links.add_back(row, hit)
+    if not same and not audit["exact"]:
+        # a node that no beam reaches in its own graph still finds its links as a query
+        found, audit = audited_search(graph_a, unit_b.astype(np.float32))
+        audits.append(audit)
+        for row, hit in found:
+            links.add_back(row, hit)
+    shift = 0 if same else len(node_a)
+    n_a, n_b, root = np.zeros(len(node_a), np.int64), np.zeros(len(node_b), np.int64), np.arange(len(node_a) if same else len(node_a) + len(node_b))
+    for row, hit in links.blocks():
+        if same:
+            hit[np.arange(len(hit)), np.arange(row, row + len(hit))] = False
+        n_a[row : row + len(hit)] = hit @ copies_b
+        n_b += copies_a[row : row + len(hit)] @ hit
+        a, b = np.nonzero(hit)
+        pair = np.unique(root[a + row] * len(root) + root[b + shift])
+        root = local_roots(pair // len(root), pair % len(root), root)
+    node, count = (node_a, n_a) if same else (np.r_[node_a, node_b], np.r_[n_a, n_b])
+    some = count > 0
+    return node[some], count[some], node[root[some]], audits
+
+
 def search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, links (vectors linked in the other shard of the pair), root (a node of its component in these shards)."""
+    """node, links (vectors linked in the other shard of the pair), root (a node of its component in these shards); and a row for each audit.
+
+    Rows come by shard: first the shard that stays, then those that are searched along with it.
+    """
+    own = name = None
     for batch in batches:
         for k in range(batch.num_rows):
-            node_q, copies_q, unit_q, graph_q = pickle.loads(batch.column(0)[k].as_py())
-            node_s, copies_s, unit_s, graph = pickle.loads(batch.column(1)[k].as_py())
-            same = len(node_q) == len(node_s) and (node_q == node_s).all()
-            q, s, audit = audited_search(graph, unit_q.astype(np.float32), same)
-            if not same and not audit["exact"]:
-                # a node that no beam reaches in its own graph still finds its links as a query
-                s_back, q_back, _ = audited_search(graph_q, unit_s.astype(np.float32))
-                key = np.unique(np.concatenate([q * len(node_s) + s, q_back * len(node_s) + s_back]))
-                q, s = key // len(node_s), key % len(node_s)
-            real = np.concatenate([np.einsum("id,id->i", unit_q[q[a : a + 100_000]], unit_s[s[a : a + 100_000]]) for a in range(0, len(q), 100_000)] or [np.zeros(0)]) >= SIMILAR
-            if same:
-                real &= q != s
-            q, s = q[real], s[real]
-            if same:
-                # a link counts for both ends, whichever search found it
-                key = np.unique(np.concatenate([q * len(node_q) + s, s * len(node_q) + q]))
-                q, s = key // len(node_q), key % len(node_q)
-            links_q = np.bincount(q, copies_s[s], len(node_q)).astype(np.int64)
-            shift = 0 if same else len(node_q)
-            root = local_roots(q, s + shift, len(node_q) + (0 if same else len(node_s)))
-            node, links = node_q, links_q
-            if not same:
-                node, links = np.r_[node_q, node_s], np.r_[links_q, np.bincount(s, copies_q[q], len(node_s)).astype(np.int64)]
-            some = links > 0
-            yield pa.RecordBatch.from_pydict({"node": pa.array(node[some]), "links": pa.array(links[some]), "root": pa.array(node[root[some]])})
+            key, blob = [batch.column(c)[k].as_py() for c in range(3)], pickle.loads(batch.column(4)[k].as_py())
+            if key != name:
+                own, name = blob, key
+            node, links, root, audits = search_pair(own, None if own is blob else blob)
+            n = len(audits)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node), pa.array(links), pa.array(root), *[pa.nulls(len(node), t) for t in (pa.float64(), pa.int64(), pa.int64())]], schema=FOUND
+            )
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 3, pa.array([x["recall"] for x in audits], pa.float64()), pa.array([x["audited"] for x in audits], pa.int64()), pa.array([x["width"] for x in audits], pa.int64())], schema=FOUND)
+
+
+FOUND = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("recall", pa.float64()), ("audited", pa.int64()), ("width", pa.int64())])
 
 
 def embedding_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
@@ -287,8 +360,10 @@ def embedding_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding:
     that are null, empty, all zero, or hold a null or non-finite component, and
     those without a label, link with nothing. Repeated rows are vectors of their
     own that link with each other; a null vec_id counts but names no component.
-    Other columns are left out.
+    Other columns are left out. Of the result, `audits` is a table with the recall
+    measured in each search (recall, audited queries that have links, width of the beam).
     """
+    small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast("array<double>").alias("vector"), F.col(f"`{label}`").alias("label"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = F.coalesce(finite & F.exists("vector", lambda x: x != 0) & F.col("label").isNotNull(), F.lit(False))
@@ -298,10 +373,15 @@ def embedding_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding:
     dealt = nodes.join(shards, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), "shards"))
     built = dealt.select("label", "dim", "shard", "node", "copies", "vector").groupBy("label", "dim", "shard").applyInArrow(build_shard, f"label {nodes.schema['label'].dataType.simpleString()}, dim int, shard long, blob binary")
     built = durable_table(built)
-    query = built.select("label", "dim", F.col("shard").alias("q"), F.col("blob").alias("queries"))
-    index = built.select("label", "dim", F.col("shard").alias("s"), "blob")
-    pairs = query.join(index, ["label", "dim"]).filter("s <= q").select("queries", "blob").repartition(max(8, vectors.sparkSession.sparkContext.defaultParallelism))
-    found = durable(pairs.mapInArrow(search_shards, "node long, links long, root long"))
+    # each pair of shards meets once, in the task of one of the two, by turns; a shard's own row comes first
+    other = built.join(shards, ["label", "dim"]).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    lower, higher = F.least("shard", "at"), F.greatest("shard", "at")
+    meets = F.when(F.pmod(lower + higher, F.lit(2)) == 1, lower).otherwise(higher)
+    visits = other.filter((F.col("at") == F.col("shard")) | (meets == F.col("at"))).select("label", "dim", "at", (F.col("at") != F.col("shard")).alias("guest"), "blob")
+    dealt = visits.repartition(max(8, built.count()), *[F.col(c) for c in ("label", "dim", "at")]).sortWithinPartitions("label", "dim", "at", "guest")
+    found = durable(dealt.mapInArrow(search_shards, "node long, links long, root long, recall double, audited long, width long"))
+    audits = found.filter("node is null").select("recall", "audited", "width")
+    found = found.filter("node is not null").select("node", "links", "root")
     group = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = nodes.select("node", "first", "copies", "label", "vector").join(group, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -309,7 +389,9 @@ def embedding_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding:
     named = named.join(least, "component").select(F.col("label").alias("__label"), F.col("vector").alias("__vector"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     placed = rows.withColumn("__ok", sound).join(named, F.col("__ok") & (F.col("label") == F.col("__label")) & (F.col("vector") == F.col("__vector")), "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
-    return placed.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    out = placed.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    out.audits = audits
+    return out
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

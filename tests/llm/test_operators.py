@@ -456,17 +456,24 @@ def test_embedding_dedup(spark):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+def pairs_of(blocks):
+    return {(a + q, n) for a, hit in blocks for q, n in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True)}
+
+
+def exact(vectors, queries, least=0.98 - embedding_dedup.SLACK):
+    return pairs_of(embedding_dedup.exact_blocks(vectors, queries, least))
+
+
 def test_graph_recall():
     rng = np.random.default_rng(12)
     centres = rng.normal(size=(300, 24))
     v = np.repeat(centres, 10, axis=0) + 0.05 * rng.normal(size=(3000, 24))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     graph = embedding_dedup.Graph(v, np.arange(3000))
-    q, n, audit = embedding_dedup.audited_search(graph, v.astype(np.float32))
-    want = embedding_dedup.exact_pairs(graph.vectors, v.astype(np.float32), 0.98 - embedding_dedup.SLACK)
-    want = set(zip(*(x.tolist() for x in want), strict=True))
-    got = set(zip(q.tolist(), n.tolist(), strict=True))
-    assert got <= want and len(got) >= 0.98 * len(want) and audit["recall"] >= embedding_dedup.RECALL
+    found, audit = embedding_dedup.audited_search(graph, graph.vectors, same=True)
+    itself = {(k, k) for k in range(3000)}
+    want, got = exact(graph.vectors, graph.vectors) - itself, pairs_of(found) - itself
+    assert got <= want and len(got) >= 0.98 * len(want) and audit["recall"] >= embedding_dedup.RECALL and audit["audited"] >= embedding_dedup.AUDITED and not audit["exact"]
 
 
 def unit_rows(seed, n):
@@ -478,47 +485,71 @@ def test_audit_sees_rare_links(monkeypatch):
     v, other = unit_rows(18, 1000), unit_rows(19, 1000)
     other[[101, 557]] = v[[3, 700]]
     graph = embedding_dedup.Graph(v, np.arange(1000))
-    nothing = np.zeros(0, np.int64)
-    monkeypatch.setattr(embedding_dedup.Graph, "search", lambda *a: (nothing, nothing))
-    q, n, _ = embedding_dedup.audited_search(graph, other.astype(np.float32))
-    assert sorted(zip(q.tolist(), n.tolist(), strict=True)) == [(101, 3), (557, 700)]
+    monkeypatch.setattr(embedding_dedup.Graph, "blocks", lambda self, queries, *a: [(0, np.zeros((len(queries), 1000), bool))])
+    assert pairs_of(embedding_dedup.audited_search(graph, other.astype(np.float32))[0]) == {(101, 3), (557, 700)}
+
+
+def test_audit_counts_no_hit_on_itself(monkeypatch):
+    v = unit_rows(27, 4000)
+    v[2000:2020] = v[:20]
+    graph = embedding_dedup.Graph(v, np.arange(4000))
+    monkeypatch.setattr(embedding_dedup.Graph, "blocks", lambda self, queries, *a: [(0, queries @ self.vectors.T > 0.9999)] if len(queries) < 4000 else [(0, np.eye(4000, dtype=bool))])
+    found, audit = embedding_dedup.audited_search(graph, graph.vectors, same=True)
+    assert audit["audited"] == 40 and len(pairs_of(found)) == 4040
 
 
 def test_audit_keeps_small_groups_beside_a_hot_one(monkeypatch):
-    v = unit_rows(20, 2000)
-    v[:1000] = v[0]
-    v[1001:2000:2] = v[1000:2000:2]
-    graph = embedding_dedup.Graph(v, np.arange(2000))
+    v = unit_rows(20, 8000)
+    v[:120] = v[0]
+    v[1001:8000:2] = v[1000:8000:2]
+    graph = embedding_dedup.Graph(v, np.arange(8000))
 
     def hot_only(self, queries, width, least):
-        q, n = embedding_dedup.exact_pairs(self.vectors, queries, least)
-        return q[n < 1000], n[n < 1000]
+        for a, hit in embedding_dedup.exact_blocks(self.vectors, queries, least):
+            hit[:, 120:] = False
+            yield a, hit
 
-    monkeypatch.setattr(embedding_dedup.Graph, "search", hot_only)
-    q, n, _ = embedding_dedup.audited_search(graph, v.astype(np.float32))
-    assert len(q) == 1000 * 1000 + 500 * 4
+    monkeypatch.setattr(embedding_dedup.Graph, "blocks", hot_only)
+    found, _ = embedding_dedup.audited_search(graph, graph.vectors, same=True)
+    assert sum(int(hit.sum()) for _, hit in found) == 120 * 120 + 880 + 3500 * 4
 
 
 def test_shards_are_searched_both_ways(monkeypatch):
-    import pickle
-
-    import pyarrow as pa
-
-    blobs = []
+    shards = []
     for k in range(2):
         v = unit_rows(21, 300)
-        blobs.append(pickle.dumps((np.arange(300) + 300 * k, np.ones(300, np.int64), v, embedding_dedup.Graph(v, np.arange(300)))))
+        shards.append((np.arange(300) + 300 * k, np.ones(300, np.int64), v, embedding_dedup.Graph(v, np.arange(300))))
 
-    def half(graph, queries, *same):
-        q, n = embedding_dedup.exact_pairs(graph.vectors, queries, 0.98)
-        keep = n % 300 >= 150 if len(calls) == 0 else n < 150
+    def half(graph, queries, same=False):
         calls.append(1)
-        return q[keep], n[keep], {"width": 1, "recall": 1.0, "exact": False}
+        hit = queries @ graph.vectors.T >= 0.98
+        hit[:, :150] &= len(calls) == 1
+        hit[:, 150:] &= len(calls) == 2
+        return [(0, hit)], {"width": 1, "recall": 1.0, "audited": 1, "exact": False}
 
     calls = []
     monkeypatch.setattr(embedding_dedup, "audited_search", half)
-    out = pa.Table.from_batches(embedding_dedup.search_shards([pa.record_batch([pa.array([b], pa.binary()) for b in blobs], names=["queries", "blob"])]))
-    assert sorted(out["node"].to_pylist()) == list(range(600)) and set(out["links"].to_pylist()) == {1}
+    node, links, root, audits = embedding_dedup.search_pair(*shards)
+    assert sorted(node) == list(range(600)) and set(links) == {1} and len(set(root)) == 300 and len(audits) == 2
+
+
+def test_embedding_dedup_of_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SHARD", 60)
+    monkeypatch.setattr(embedding_dedup, "STEP", 16)
+    rng = np.random.default_rng(26)
+    centres = rng.normal(size=(40, 16))
+    vectors = [(centres[i % 40] + 0.08 * rng.normal(size=16)).tolist() for i in range(500)]
+    vectors += [(centres[0] + 0.001 * rng.normal(size=16)).tolist() for _ in range(100)]
+    rows = [(i, v, "odd" if i % 40 % 2 else "even") for i, v in enumerate(vectors)]
+    out = embedding_dedup.embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"))
+    got = {r.vec_id: r for r in out.collect()}
+    unit = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & (np.array([r[2] for r in rows])[:, None] == np.array([r[2] for r in rows]))
+    np.fill_diagonal(near, False)
+    assert [got[i].n_links for i in range(600)] == near.sum(axis=1).tolist()
+    assert [got[i].component_id for i in range(600)] == grouped(600, np.argwhere(near).tolist())
+    audits = out.audits.collect()
+    assert len(audits) == 30 and all(r.recall >= embedding_dedup.RECALL for r in audits)
 
 
 def test_components(spark):
