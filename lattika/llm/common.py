@@ -117,12 +117,12 @@ def by_position(docs: DataFrame, run: Callable[[DataFrame, Callable[[str], str]]
     return out.select(*[F.col(f"c{k}").alias(name) for k, name in enumerate(names)])
 
 
-def durable_table(df: DataFrame) -> DataFrame:
+def durable_table(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Writes a table into the shared folder and reads it back: columns can be read alone, and nothing is computed again."""
     spark = df.sparkSession
     path = shared_path(spark, "table")
     # small row groups: writers of wide columns hold one in memory
-    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out

@@ -1,15 +1,17 @@
-"""Substring dedup: repeated word windows, by suffix automata over reference shards.
-
-A shard of the reference is the set of passages that share their anchors; its
-automaton is built over word symbols, every state with the smallest document that
-its strings end in. Passages of documents are streamed through it for matching
-statistics: at each word the longest suffix that the reference holds, cut to the
-length of a window, gives the smallest document with that window.
-
-The reference of a self-dedup is the corpus, so its automata have no size bound
-and are not broadcast: each is built in the task that its passages are sent to,
-and only passages with one of its anchors are streamed through it. For a given
-reference of bounded size, remove_reference() broadcasts the automata.
+"""Substring dedup: repeated word windows, by suffix automata of reference shards.
+
+A shard of the reference is the set of distinct passages that one task is dealt (see
+repeats), a bounded number of words; its automaton is built over word symbols, every
+state with the smallest document that its strings occur in. Passages of documents
+are streamed through it for matching statistics: at each word the longest suffix
+that the reference holds, cut to the length of a window, gives the smallest
+document with that window; maximal spans of such windows are removed.
+
+The reference of a self-dedup is the corpus: its shards grow in number with it, and
+to broadcast each and stream all documents through all of them would take time in
+the square of the corpus. So a shard's automaton stays in the task that its passages
+are dealt to, and only passages with an anchor of the shard are streamed through it.
+For a given reference of bounded size, remove_reference() broadcasts the automata.
 """
 
 from __future__ import annotations
@@ -22,17 +24,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattika.llm.common import by_position, mix64, powers, small_batches, table
-from lattika.llm.repeats import FAR_DOC, Contexts, Shape, find_repeats
+from lattika.llm.common import by_position, mix64, small_batches, table
+from lattika.llm.merge_rounds import expand
+from lattika.llm.repeats import FAR_DOC, Shape, find_repeats
 from lattika.llm.suffix_blocks import attach
 
 #: Words of a window that must not start in two documents.
 WINDOW = 13
-SHAPE = Shape(window=WINDOW, gram=5, symbol="<u8", blocks=6)
+SHAPE = Shape(window=WINDOW, gram=5, symbol="<u8", near=3)
 #: Bytes that part words: space and 0x09 to 0x0D.
 PARTS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-#: Words of the reference in one broadcast automaton.
-SHARD_WORDS = 200_000
+#: Words of the reference in one automaton.
+SHARD_WORDS = 100_000
 
 
 def word_bounds(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,12 +56,26 @@ def word_bounds(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def as_words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, and the offsets of the documents into them."""
+    """A 64-bit hash of each word, and the offsets of the documents into them.
+
+    A word is taken eight bytes at a time; each such number is mixed with its place
+    before they are added up, so that no pattern of words makes collisions likelier
+    than chance (1 in 2**64 for two words).
+    """
     start, stop, at = word_bounds(data, ends)
-    power, back = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mix64(np.arange(1, 257, dtype=np.uint64))[data] * power[: len(data)], out=sums[1:])
-    return mix64((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64)), at
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
+    size = stop - start
+    out = mix64(size.astype(np.uint64))
+    todo, k = np.arange(len(start)), 0
+    while len(todo):
+        left = np.minimum(size[todo] - 8 * k, 8)
+        some = eight[start[todo] + 8 * k] & (np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * left.astype(np.uint64)))
+        out[todo] += mix64(mix64(some + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)) + np.uint64(k))
+        todo, k = todo[left == 8], k + 1
+        todo = todo[size[todo] > 8 * k]
+    return mix64(out), at
 
 
 class SuffixAutomaton:
@@ -132,22 +149,31 @@ class SuffixAutomaton:
         return out
 
 
-def smallest_documents(shape: Shape, contexts: Contexts, group: np.ndarray) -> np.ndarray:
-    """For each context and start, the smallest document with the same window; one automaton for each group of anchors."""
-    out = np.full((len(contexts.doc), shape.starts), FAR_DOC)
-    # small numbers for the symbols of the task
-    symbols = np.unique(contexts.rows, return_inverse=True)[1].reshape(contexts.rows.shape)
-    bounds = np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(group)]
-    low, high, doc = contexts.low.tolist(), contexts.high.tolist(), contexts.doc.tolist()
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        rows = symbols[a:b].tolist()
+def reference_shards(size: np.ndarray, deal: np.ndarray) -> list[np.ndarray]:
+    """Passages by the hash that dealt them, in shards of SHARD_WORDS words (or of one hash)."""
+    order = np.argsort(deal, kind="stable")
+    words = np.cumsum(size[order])
+    new = np.r_[True, deal[order][1:] != deal[order][:-1]] if len(order) else np.zeros(0, bool)
+    start = np.flatnonzero(new)
+    part = (words - size[order])[start] // SHARD_WORDS
+    return np.split(order, start[1:][np.diff(part) > 0]) if len(order) else []
+
+
+def smallest_documents(shape: Shape, symbols: np.ndarray, offsets: np.ndarray, doc: np.ndarray, deal: np.ndarray) -> np.ndarray:
+    """For each window of each passage, the smallest document that has it: the passages of a shard are its reference, and are streamed through its automaton."""
+    begin = np.r_[0, np.cumsum(np.diff(offsets) - shape.window + 1)]
+    out = np.full(begin[-1], FAR_DOC)
+    for members in reference_shards(np.diff(offsets), deal):
+        at = expand(offsets[members], np.diff(offsets)[members])
+        flat = np.unique(symbols[at], return_inverse=True)[1].tolist()  # small numbers for the symbols of the shard
+        cuts = np.r_[0, np.cumsum(np.diff(offsets)[members])].tolist()
+        rows = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         automaton = SuffixAutomaton()
-        for k in range(b - a):
-            automaton.add(rows[k][low[a + k] : high[a + k]], doc[a + k])
+        for row, d in zip(rows, doc[members].tolist(), strict=True):
+            automaton.add(row, d)
         automaton.finish()
-        for k in range(b - a):
-            lo, hi = low[a + k], high[a + k]
-            out[a + k, lo : hi - shape.window + 1] = automaton.matches(rows[k][lo:hi], shape.window)[shape.window - 1 :]
+        for k, row in zip(members.tolist(), rows, strict=True):
+            out[begin[k] : begin[k + 1]] = automaton.matches(row, shape.window)[shape.window - 1 :]
     return out
 
 
@@ -181,10 +207,13 @@ def repeated_word_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 def _without_words(texts: pd.Series, spans: pd.Series) -> pd.Series:
     out = []
     for t, s in zip(texts, spans, strict=True):
+        if t is None or s is None:
+            out.append(t)
+            continue
         data = np.frombuffer(t.encode(), np.uint8)
         start, stop, _ = word_bounds(data, np.array([0, len(data)]))
         keep = np.ones(len(start), bool)
-        for a, n in np.asarray(s if s is not None else []).reshape(-1, 2).astype(np.int64):
+        for a, n in np.asarray(s).reshape(-1, 2).astype(np.int64):
             keep[a : a + n] = False
         raw = data.tobytes()
         out.append(b" ".join(raw[start[k] : stop[k]] for k in np.flatnonzero(keep)).decode())

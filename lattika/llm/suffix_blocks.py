@@ -1,12 +1,13 @@
-"""Suffix-array dedup: repeated byte strings, by blockwise sorting with a cover sample.
-
-The text of a task is the set of contexts that share their anchors. Its suffixes
-are sorted one bucket at a time: a bucket has the suffixes at one distance from
-their anchor. Keys are the anchor and the first eight bytes; longer ties are
-resolved by the ranks of cover positions, sorted beforehand: every suffix meets
-a cover position within its first eight bytes, at the same distance for a whole
-bucket, and the rank there orders the next 43 bytes at once. Memory holds the
-ranks and one bucket.
+"""Suffix-array dedup: repeated byte strings, by blockwise suffix sorting with a difference cover.
+
+A task has a text: the distinct passages with its anchors, one after the other. A
+difference cover modulo seven picks three of seven positions as a sample; the
+suffixes that start there are ranked once, by prefix doubling, to the depth of a
+window. The suffixes at the starts of windows are then sorted one bucket at a time,
+a bucket being a range of first bytes: by their first seven bytes, and where these
+tie by ranks. For any two suffixes some distance below seven leads both to sample
+positions, and the ranks there tell their order. Neighbours in the order with
+50 bytes in common are equal windows. Memory holds the text, the ranks and one bucket.
 """
 
 from __future__ import annotations
@@ -20,71 +21,119 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattika.llm.common import by_position, table
-from lattika.llm.repeats import FAR_DOC, Contexts, Shape, find_repeats
+from lattika.llm.merge_rounds import expand
+from lattika.llm.repeats import FAR_DOC, Shape, find_repeats
 
 #: Bytes of a string that must not start in two documents.
 WINDOW = 50
-#: Distance of the cover positions: all suffixes of a bucket lie alike against them.
-PERIOD = 8
-SHAPE = Shape(window=WINDOW, gram=18, symbol="u1", blocks=6)
+#: Modulus and residues of the cover: each difference modulo seven is one of two of them.
+MODULUS, COVER = 7, (0, 1, 3)
+#: Suffixes of a bucket, unless more of them start with the same two bytes.
+BUCKET = 262_144
+SHAPE = Shape(window=WINDOW, gram=18, symbol="u1", near=8)
 
 
 def as_bytes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return data, ends
 
 
-class SuffixBuckets:
-    """Suffixes of equally long rows, compared by their first `depth` bytes within groups."""
-
-    def __init__(self, rows: np.ndarray, group: np.ndarray, depth: int):
-        width = -(-(rows.shape[1] + 2 * PERIOD) // PERIOD) * PERIOD
-        self.rows = np.zeros((len(rows), width), np.uint8)
-        self.rows[:, : rows.shape[1]] = rows
-        self.group, self.depth = group, depth
-        self.starts = rows.shape[1] - depth + 1
-        self.cover = {q: self._rank(q, depth - PERIOD + 1) for q in range(0, self.starts + PERIOD - 1, PERIOD)}
-
-    def word(self, at: int, size: int = PERIOD) -> np.ndarray:
-        """size bytes from one place of each row, as a number that sorts as they do."""
-        out = np.zeros((len(self.rows), 8), np.uint8)
-        out[:, :size] = self.rows[:, at : at + size]
-        return out.view(">u8").ravel().astype(np.uint64)
-
-    def _order(self, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Order by the keys, first key first, and where a new value begins in it."""
-        order = np.lexsort(keys[::-1])
-        new = np.zeros(len(order), bool)
-        new[:1] = True
-        for key in keys:
-            new[1:] |= key[order][1:] != key[order][:-1]
-        return order, new
-
-    def _rank(self, at: int, depth: int) -> np.ndarray:
-        """Ranks of the suffixes at a cover position by their first depth bytes, eight at a time; only ties go on."""
-        rank = self.group.astype(np.int64)
-        for k in range(0, depth, PERIOD):
-            word = self.word(at + k, min(PERIOD, depth - k))
-            order, new = self._order([rank, word])
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.cumsum(new) - 1
-        return rank
-
-    def bucket(self, start: int) -> tuple[np.ndarray, np.ndarray]:
-        """The sorted suffixes of one bucket, and where a string of depth bytes begins that the one before does not share."""
-        q = -(-start // PERIOD) * PERIOD
-        return self._order([self.group, self.word(start), self.cover[q], self.word(start + self.depth - PERIOD)])
-
-
-def smallest_documents(shape: Shape, contexts: Contexts, group: np.ndarray) -> np.ndarray:
-    """For each context and start, the smallest document with the same window."""
-    suffixes = SuffixBuckets(contexts.rows, group, shape.window)
-    out = np.full((len(contexts.doc), shape.starts), FAR_DOC)
-    for start in range(shape.starts):
-        inside = (contexts.low <= start) & (contexts.high >= start + shape.window)
-        doc = np.where(inside, contexts.doc, FAR_DOC)
-        order, new = suffixes.bucket(start)
-        least = np.minimum.reduceat(doc[order], np.flatnonzero(new))
-        out[order, start] = least[np.cumsum(new) - 1]
+def dense_rank(key: np.ndarray) -> np.ndarray:
+    """The number of smaller distinct values of each value."""
+    order = np.argsort(key)
+    new = np.zeros(len(key), np.int64)
+    new[1:] = key[order][1:] != key[order][:-1]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+class CoverSorter:
+    """Sorts suffixes of a text of bytes by their first `depth` bytes at least."""
+
+    def __init__(self, text: np.ndarray, depth: int):
+        self.depth, n = depth, len(text)
+        self.text = np.zeros(n + 8 + 2 * depth + 8 * MODULUS, np.uint8)
+        self.text[:n] = text
+        self.words = np.ndarray((len(self.text) - 7,), ">u8", self.text.data, 0, (1,))
+        cover = np.array(COVER)
+        #: the distance that leads two residues into the cover
+        self.shift = np.array([[next(d for d in range(MODULUS) if (a + d) % MODULUS in COVER and (b + d) % MODULUS in COVER) for b in range(MODULUS)] for a in range(MODULUS)])
+        blocks = -(-n // MODULUS) + 1
+        #: the place of each sample position in rank: by residue, then by block, so that position + 7 comes next
+        self.column = np.full(MODULUS, -1)
+        self.column[cover] = np.arange(len(cover))
+        self.blocks = blocks
+        sample = (cover[:, None] + MODULUS * np.arange(blocks)).ravel()
+        rank, reach = dense_rank(self._seven(sample)), 1
+        # ranks to a depth of 7, 14, 28, 56 bytes
+        while MODULUS * reach < depth:
+            after = np.zeros((len(cover), blocks + reach), np.int64)
+            after[:, :blocks] = rank.reshape(len(cover), blocks) + 1
+            rank = dense_rank((rank.astype(np.uint64) << np.uint64(32)) | after[:, reach:].ravel().astype(np.uint64))
+            reach *= 2
+        self.rank = rank
+
+    def _seven(self, at: np.ndarray) -> np.ndarray:
+        """The seven bytes from each position on, as a number that sorts as they do."""
+        return self.words[at].astype(np.uint64) >> np.uint64(8)
+
+    def _rank_at(self, at: np.ndarray) -> np.ndarray:
+        return self.rank[self.column[at % MODULUS] * self.blocks + at // MODULUS]
+
+    def buckets(self, at: np.ndarray):
+        """Numbers of the suffixes (of those that start at the positions) of one bucket after the other."""
+        lead = self.text[at].astype(np.int64) * 256 + self.text[at + 1]
+        size = np.bincount(lead, minlength=65536)
+        part = np.cumsum(size) - size
+        part //= BUCKET
+        part = part[lead]
+        for k in np.unique(part).tolist():
+            yield np.flatnonzero(part == k)
+
+    def order(self, at: np.ndarray) -> np.ndarray:
+        """The order of the suffixes of a bucket. Suffixes with the same first `depth` bytes stand together."""
+        key = self._seven(at)
+        group = dense_rank(key)
+        tied = np.flatnonzero(np.bincount(group)[group] > 1)
+        place = np.zeros(len(at), np.int64)
+        residue = at[tied] % MODULUS
+        kinds = [tied[residue == r] for r in range(MODULUS)]
+        for a, left in enumerate(kinds):
+            if not len(left):
+                continue
+            before = np.r_[0, np.cumsum(np.bincount(group[left], minlength=group.max() + 1))]
+            ranked = {}
+            for b, right in enumerate(kinds):
+                if not len(right):
+                    continue
+                d = int(self.shift[a, b])
+                if d not in ranked:
+                    ranked[d] = np.sort((group[left] << 32) | self._rank_at(at[left] + d))
+                # how many suffixes of one residue, equal in seven bytes, come before each of the other
+                place[right] += np.searchsorted(ranked[d], (group[right] << 32) | self._rank_at(at[right] + d)) - before[group[right]]
+        return np.argsort((group << 32) | place, kind="stable")
+
+    def opens(self, at: np.ndarray) -> np.ndarray:
+        """Of suffixes in order, those that do not share their first `depth` bytes with the one before."""
+        same = np.ones(len(at), bool)
+        same[:1] = False
+        for k in [*range(0, self.depth - 8, 8), self.depth - 8]:
+            maybe = np.flatnonzero(same)
+            same[maybe] = self.words[at[maybe] + k] == self.words[at[maybe - 1] + k]
+        return ~same
+
+
+def smallest_documents(shape: Shape, symbols: np.ndarray, offsets: np.ndarray, doc: np.ndarray, deal: np.ndarray) -> np.ndarray:
+    """For each window of each passage, the smallest document that has it."""
+    n = np.diff(offsets) - shape.window + 1
+    at, own = expand(offsets[:-1], n), np.repeat(doc, n)
+    out = np.full(len(at), FAR_DOC)
+    sorter = CoverSorter(symbols, shape.window)
+    for bucket in sorter.buckets(at):
+        bucket = bucket[sorter.order(at[bucket])]
+        new = sorter.opens(at[bucket])
+        least = np.minimum.reduceat(own[bucket], np.flatnonzero(new))
+        out[bucket] = least[np.cumsum(new) - 1]
     return out
 
 

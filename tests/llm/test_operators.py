@@ -145,6 +145,83 @@ def test_substring_dedup(spark, tmp_path):
         assert (got[d].n_words, got[d].n_removed, got[d].kept_sha256) == (len(s), int(hit.sum()), sha(kept.encode()))
 
 
+def brute_windows(rows, docs, window):
+    least = {}
+    for row, d in zip(rows, docs, strict=True):
+        for k in range(len(row) - window + 1):
+            w = bytes(row[k : k + window])
+            least[w] = min(least.get(w, d), d)
+    return [least[bytes(row[k : k + window])] for row in rows for k in range(len(row) - window + 1)]
+
+
+@pytest.mark.parametrize("bucket", [1, 40, 10**6])
+def test_cover_sort_and_automata_against_brute_force(monkeypatch, bucket):
+    from lattika.llm.repeats import Shape
+
+    monkeypatch.setattr(suffix_blocks, "BUCKET", bucket)
+    monkeypatch.setattr(suffix_automata, "SHARD_WORDS", bucket)
+    rng = random.Random(28)
+    for window in (9, 16, 50):
+        base = [rng.randint(97, 98) for _ in range(40)] * 3 + [rng.randint(97, 122) for _ in range(80)]
+        rows = []
+        for _ in range(60):
+            a = rng.randint(0, len(base) - window - 20)
+            row = base[a : a + window + rng.randint(0, 20)]
+            if rng.random() < 0.5:
+                row[rng.randrange(len(row))] = 120
+            rows.append(row)
+        docs = np.array([rng.randint(0, 30) for _ in rows])
+        offsets = np.r_[0, np.cumsum([len(r) for r in rows])]
+        flat = np.concatenate([np.array(r, np.uint8) for r in rows])
+        want = brute_windows(rows, docs.tolist(), window)
+        shape = Shape(window, 4, "u1", 2)
+        assert suffix_blocks.smallest_documents(shape, flat, offsets, docs, np.zeros(len(rows), np.uint64)).tolist() == want
+        shape = Shape(window, 4, "<u8", 2)
+        assert suffix_automata.smallest_documents(shape, flat.astype(np.uint64), offsets, docs, np.zeros(len(rows), np.uint64)).tolist() == want
+
+
+def test_cover_sort_orders_suffixes():
+    rng = random.Random(29)
+    text = bytes(rng.choice(b"ab") for _ in range(500)) * 2 + bytes(rng.choice(b"abc") for _ in range(700))
+    sorter = suffix_blocks.CoverSorter(np.frombuffer(text, np.uint8), 50)
+    at = np.array(rng.sample(range(len(text) - 60), 900))
+    ordered = at[sorter.order(at)]
+    cut = [text[p : p + 50] for p in ordered]
+    assert cut == sorted(cut) and sorter.opens(ordered).tolist() == [k == 0 or cut[k] != cut[k - 1] for k in range(len(cut))]
+
+
+@pytest.mark.parametrize("hot", [64, 1])
+def test_repeats_with_split_anchors_and_small_segments(spark, tmp_path, monkeypatch, hot):
+    from lattika.llm import repeats
+
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "PACK_BYTES", 2000)
+    monkeypatch.setattr(repeats, "SEGMENT", 300)
+    texts = passages(30, 40, 25)
+    sf = as_tables(tmp_path, documents=docs_of(spark, texts))
+    for query, seqs, window, sep in (
+        (suffix_automata.op4_substring_dedup, [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in enumerate(texts)], 13, " "),
+        (suffix_blocks.op6_suffix_dedup, [(d, (t or "").encode()) for d, t in enumerate(texts)], 50, b""),
+    ):
+        got = {r.doc_id: r for r in query(spark, sf).collect()}
+        for (d, s), hit in zip(seqs, covered(seqs, window), strict=True):
+            kept = [x for x, h in zip(s, hit, strict=True) if not h]
+            assert (got[d].n_removed, got[d].kept_sha256) == (int(hit.sum()), sha(bytes(kept) if sep == b"" else sep.join(kept).encode()))
+
+
+def test_words_are_dropped(spark):
+    texts = passages(31, 30, 20)
+    docs = docs_of(spark, texts)
+    left = suffix_automata.drop_repeated_words(docs)
+    assert left.columns == docs.columns
+    seqs = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in enumerate(texts)]
+    hits = covered(seqs, 13)
+    for r in left.collect():
+        hit = hits[r.doc_id]
+        want = " ".join(w for w, h in zip(seqs[r.doc_id][1], hit, strict=True) if not h) if hit.any() else texts[r.doc_id]
+        assert r.text == want
+
+
 def test_automaton_matches_brute_force():
     rng = random.Random(5)
     for _ in range(60):
@@ -353,7 +430,7 @@ def test_training_order(spark, tmp_path):
     stream = np.concatenate([np.frombuffer(r.record, "<u2")[: r.n_tokens] for r in sorted(rows.values(), key=lambda r: r.sequence)])
     assert stream.tolist() == want.tolist()
     folder = str(tmp_path / "order")
-    training_order.write_shards(ordered, folder, file, 32, 16)
+    training_order.write_shards(docs_of(spark, texts), folder, file, length=32, shard_rows=16)
     back = {r.slot: r for r in training_order.read_shards(spark, folder).collect()}
     assert {s: (r.shard, r.byte_offset, r.record) for s, r in back.items()} == {s: (r.shard, r.byte_offset, r.record) for s, r in rows.items()}
     got = training_order.read_slots(spark, folder, 10, 30)
