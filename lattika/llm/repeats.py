@@ -209,7 +209,7 @@ def make_packs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         if texts:
             yield out()
 
-    return durable_table(distinct.mapInArrow(run, "pack long, firsts binary, ends binary, data binary"))
+    return durable_table(distinct.mapInArrow(run, "pack long, firsts binary, ends binary, data binary"), compression="zstd")
 
 
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -393,7 +393,7 @@ def find_repeats(docs: DataFrame, shape: Shape, to_symbols, resolver: Resolver,
     known = packs.join(kinds, "pack", "left")
     sent = known.mapInArrow(send_passages(shape, to_symbols, hash_tasks, tasks), "task int, pack long, head binary, symbols binary")
     answers = durable_table(sent.repartitionById(tasks, F.col("task")).mapInArrow(answer_task(shape, resolver), "pack long, answer binary"))
-    del sent
+    del sent, known
     release(spark)
     joined = packs.join(kinds, "pack", "left").join(answers.groupBy("pack").agg(F.collect_list("answer").alias("answers")), "pack", "left")
 
