@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lattika.operators.retrieval import bm25_okapi
+
 #: Relations that describe the store itself (fixed values). The reading that takes each for itself.
 META = [
     "type.object.type", "type.type.instance", "type.type.properties", "type.property.schema", "common.topic.article", "common.topic.image",
@@ -31,32 +33,49 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """kg(s, p, o): one branch for each predicate, with the predicate as a literal, so that a filter on p reads only its tables. A bag: see distinct_triples."""
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+#: Of each predicate the table of its statements, and the kind and key columns of subject and object.
+STATEMENTS = {
+    "location.nation.region": ("nation", ("m.n", ["n_nationkey"]), ("m.r", ["n_regionkey"])),
+    "people.customer.nation": ("customer", ("m.c", ["c_custkey"]), ("m.n", ["c_nationkey"])),
+    "business.supplier.nation": ("supplier", ("m.s", ["s_suppkey"]), ("m.n", ["s_nationkey"])),
+    "people.customer.order": ("orders", ("m.c", ["o_custkey"]), ("g.o", ["o_orderkey"])),
+    "commerce.order.line": ("lineitem", ("g.o", ["l_orderkey"]), ("g.l", LINE)),
+    "commerce.line.part": ("lineitem", ("g.l", LINE), ("m.p", ["l_partkey"])),
+    "commerce.line.supplier": ("lineitem", ("g.l", LINE), ("m.s", ["l_suppkey"])),
+}
+#: Tables without a key: their statements can stand several times.
+KEYLESS = {"lineitem": LINE}
 
-    def branch(name: str, s: Column, p: str, o: Column) -> DataFrame:
-        return read(spark, sf_dir, name).select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
 
-    def node(kind: str, column: str) -> Column:
-        return F.concat(F.lit(kind), F.col(column).cast("string"))
+def statements(spark: SparkSession, sf_dir: str, predicate: str) -> DataFrame:
+    """s0, s1 ... and o0, o1 ...: the typed keys of subjects and objects of one predicate. Joins on them compare numbers, and filters reach the table's scan."""
+    name, (_, s), (_, o) = STATEMENTS[predicate]
+    return read(spark, sf_dir, name).select(*[F.col(c).alias(f"s{k}") for k, c in enumerate(s)], *[F.col(c).alias(f"o{k}") for k, c in enumerate(o)])
 
-    line = F.concat(F.lit("g.l"), F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-    return reduce(
-        DataFrame.unionByName,
-        [
-            branch("nation", node("m.n", "n_nationkey"), "location.nation.region", node("m.r", "n_regionkey")),
-            branch("customer", node("m.c", "c_custkey"), "people.customer.nation", node("m.n", "c_nationkey")),
-            branch("supplier", node("m.s", "s_suppkey"), "business.supplier.nation", node("m.n", "s_nationkey")),
-            branch("orders", node("m.c", "o_custkey"), "people.customer.order", node("g.o", "o_orderkey")),
-            branch("lineitem", node("g.o", "l_orderkey"), "commerce.order.line", line),
-            branch("lineitem", line, "commerce.line.part", node("m.p", "l_partkey")),
-            branch("lineitem", line, "commerce.line.supplier", node("m.s", "l_suppkey")),
-        ],
-    )
+
+def triples(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
+    """kg(s, p, o): one branch for each predicate, with the predicate as a literal, so that a filter on p reads only its tables.
+
+    A bag; once: each triple once. Equal statements are found by their numbers, and
+    only in tables without a key; the ids are put together afterwards.
+    """
+
+    def node(kind: str, columns: list[str]) -> Column:
+        return F.concat(F.lit(kind), F.concat_ws("_", *columns))
+
+    def branch(predicate: str) -> DataFrame:
+        name, s, o = STATEMENTS[predicate]
+        rows = read(spark, sf_dir, name)
+        if once and name in KEYLESS:
+            rows = rows.select(*KEYLESS[name]).distinct()
+        return rows.select(node(*s).alias("s"), F.lit(predicate).alias("p"), node(*o).alias("o"))
+
+    return reduce(DataFrame.unionByName, map(branch, STATEMENTS))
 
 
 def distinct_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triples(spark, sf_dir).distinct()
+    return triples(spark, sf_dir, once=True)
 
 
 NAMED = [("region", "m.r", "r_regionkey", "r_name", "location.region"), ("nation", "m.n", "n_nationkey", "n_name", "location.nation"), ("customer", "m.c", "c_custkey", "c_name", "people.customer"), ("supplier", "m.s", "s_suppkey", "s_name", "business.supplier"), ("part", "m.p", "p_partkey", "p_name", "commerce.part")]
@@ -112,6 +131,26 @@ def get_relations(kg: DataFrame, listed: list[str], top_k: int = 10) -> DataFram
     return ranked(found.filter(~is_meta(F.col("relation"))), ["entity"], [F.col("relation")], top_k)
 
 
+def asked_relations(kg: DataFrame, asked: DataFrame, listed: list[str], pending: DataFrame | None = None, limit: int = LIMIT, top_k: int = 10) -> DataFrame:
+    """query, entity, relation, rank for each of asked(query, entity, question): what get_relations shows.
+
+    The relations of an entity in both directions, then the flattened relations that
+    pending(query, entity, name) has for it; whitelist with fallback, by which
+    flattened names, never listed, go where any listed relation stays; without
+    relations about the store; ranked by the question, or by name where there is
+    none; the first top_k. A null entity, one that could not be resolved, has none.
+    """
+    rows = asked.filter("entity is not null").select("query", "entity", "question")
+    of = kg.join(rows.select(F.col("entity").alias("e")).distinct(), F.col("s") == F.col("e"), "left_semi"), kg.join(rows.select(F.col("entity").alias("e")).distinct(), F.col("o") == F.col("e"), "left_semi")
+    found = relations(of[0], "out", limit).union(relations(of[1], "in", limit)).distinct()
+    shown = rows.join(found, "entity").select("query", "entity", "relation")
+    if pending is not None:
+        shown = shown.union(rows.join(pending, ["query", "entity"]).select("query", "entity", F.col("name").alias("relation"))).distinct()
+    shown = keep_listed(shown, ["query"], listed).filter(~is_meta(F.col("relation")))
+    scored = bm25_okapi(shown.select("query", F.col("relation").alias("item"), F.col("relation").alias("text")), rows.select("query", F.col("question").alias("text")))
+    return shown.join(scored.select("query", F.col("item").alias("relation"), "rank"), ["query", "relation"]).filter(F.col("rank") <= top_k).select("query", "entity", "relation", "rank")
+
+
 # -- entities --------------------------------------------------------------------------------------------------------------
 
 
@@ -165,36 +204,132 @@ def flat_name(first: Column, second: Column) -> Column:
     return F.concat(rest, F.lit("."), second)
 
 
+def mediator_relations(kg: DataFrame, listed: list[str] | None = None) -> DataFrame:
+    """mediator, direction, second: the relations that leave ('out') or reach ('in') a node, at most 50 each, without those about the store, whitelist with fallback.
+
+    One shuffle by the node serves the distinct, the windows and a join on it.
+    """
+    both = kg.select(F.col("s").alias("mediator"), F.col("p").alias("second"), F.lit("out").alias("direction")).union(kg.select("o", "p", F.lit("in")))
+    other = ranked(both.repartition("mediator").distinct(), ["mediator", "direction"], [F.col("second")], 50).drop("rank").filter(~is_meta(F.col("second")))
+    return keep_listed(other, ["mediator", "direction"], listed, "second") if listed else other
+
+
+def flat_base(direction: Column, first: Column, second: Column) -> Column:
+    return F.when(direction == "out", flat_name(first, second)).otherwise(flat_name(second, first))
+
+
 def flatten_candidates(kg: DataFrame, labels: DataFrame, listed: list[str] | None = None) -> DataFrame:
-    """entity, name (with a suffix that counts equal names of the entity from 1), first, mediator, second, direction.
+    """entity, name (with a suffix that counts equal names of the entity from 1), first, mediator, second, direction. kg has each triple once.
 
-    Every mediator that an entity reaches is expanded: its outgoing relations in the
-    one order of names, its incoming ones in the other.
+    A mediator that an entity leads to ('out') is expanded by its outgoing relations,
+    named after the entity's; one that leads to the entity ('in') by its incoming
+    relations, named before.
     """
     named = preferred_labels(labels).select(F.col("entity").alias("mediator"), "name")
-    reach = kg.select(F.col("s").alias("entity"), F.col("p").alias("first"), F.col("o").alias("mediator")).distinct()
+    reach = kg.select(F.col("s").alias("entity"), F.col("p").alias("first"), F.col("o").alias("mediator"), F.lit("out").alias("direction")).union(kg.select("o", "p", "s", F.lit("in")))
     reach = reach.join(named, "mediator", "left").filter(is_mediator(F.col("mediator"), F.col("name"))).drop("name")
-    out = kg.select(F.col("s").alias("mediator"), F.col("p").alias("second")).distinct().withColumn("direction", F.lit("out"))
-    into = kg.select(F.col("o").alias("mediator"), F.col("p").alias("second")).distinct().withColumn("direction", F.lit("in"))
-    other = ranked(out.unionByName(into), ["mediator", "direction"], [F.col("second")], 50).drop("rank").filter(~is_meta(F.col("second")))
-    if listed:
-        other = keep_listed(other, ["mediator", "direction"], listed, "second")
-    rows = reach.join(other, "mediator")
-    base = F.when(F.col("direction") == "out", flat_name(F.col("first"), F.col("second"))).otherwise(flat_name(F.col("second"), F.col("first")))
-    rows = rows.withColumn("base", base)
+    rows = reach.join(mediator_relations(kg, listed), ["mediator", "direction"]).withColumn("base", flat_base(F.col("direction"), F.col("first"), F.col("second")))
     number = F.row_number().over(W.partitionBy("entity", "base").orderBy("first", "mediator", F.col("direction").desc(), "second"))
     return rows.select("entity", F.concat("base", F.lit("_"), number.cast("string")).alias("name"), "first", "mediator", "second", "direction")
 
 
 def through_mediator(kg: DataFrame, labels: DataFrame, candidates: DataFrame, per_relation: int = PER_RELATION) -> DataFrame:
-    """entity, name, other, other_name: what a flattened relation leads to, at most 2 * per_relation others and not the entity itself."""
+    """entity, name, other, other_name: what a flattened relation leads to, at most per_relation others (by id) and not the entity itself. kg has each triple once."""
     out = candidates.filter("direction = 'out'").join(kg, (F.col("mediator") == kg["s"]) & (F.col("second") == kg["p"])).select("entity", "name", F.col("o").alias("other"))
     into = candidates.filter("direction = 'in'").join(kg, (F.col("mediator") == kg["o"]) & (F.col("second") == kg["p"])).select("entity", "name", F.col("s").alias("other"))
-    rows = out.unionByName(into).filter(F.col("entity") != F.col("other")).distinct()
-    rows = ranked(rows, ["entity", "name"], [F.col("other")], 2 * per_relation).drop("rank")
+    rows = ranked(out.unionByName(into).filter(F.col("entity") != F.col("other")), ["entity", "name"], [F.col("other")], per_relation).drop("rank")
     return rows.join(preferred_labels(labels).select(F.col("entity").alias("other"), F.col("name").alias("other_name")), "other", "left").select("entity", "name", "other", F.coalesce("other_name", "other").alias("other_name"))
 
 
+def neighbours(kg: DataFrame, labels: DataFrame, pairs: DataFrame, per_relation: int = PER_RELATION) -> DataFrame:
+    """entity, relation, other, other_name, out, mediator of pairs(entity, relation): at most 2 (out) or 4 (in) times per_relation others, by id."""
+    pairs = pairs.select("entity", "relation").distinct()
+    sides = []
+    for mine, other, factor, out in (("s", "o", 2, True), ("o", "s", 4, False)):
+        rows = kg.join(pairs, (F.col(mine) == F.col("entity")) & (F.col("p") == F.col("relation"))).select("entity", "relation", F.col(other).alias("other"), F.lit(out).alias("out"))
+        sides.append(ranked(rows, ["entity", "relation"], [F.col("other")], factor * per_relation).drop("rank"))
+    named = preferred_labels(labels).select(F.col("entity").alias("other"), F.col("name").alias("other_name"))
+    return sides[0].unionByName(sides[1]).join(named, "other", "left").withColumn("mediator", is_mediator(F.col("other"), F.col("other_name")))
+
+
+def asked_candidates(kg: DataFrame, labels: DataFrame, near: DataFrame, asked: DataFrame, listed: list[str] | None = None, most: int = CANDIDATES) -> DataFrame:
+    """query, entity, name, first, mediator, second, direction, place: the flattened relations of asked(query, entity, pos, relation, question), the `most` nearest to the question.
+
+    near: what neighbours() has found. Names are counted over all relations of a
+    query. The question is joined by the entity's name; without one the first stay.
+    """
+    hit = near.filter("mediator").select("entity", "relation", F.col("other").alias("mediator"), F.when(F.col("out"), "out").otherwise("in").alias("direction"))
+    rows = asked.join(hit, ["entity", "relation"]).join(mediator_relations(kg, listed), ["mediator", "direction"]).withColumn("base", flat_base(F.col("direction"), F.col("relation"), F.col("second")))
+    counted = F.row_number().over(W.partitionBy("query", "base").orderBy("pos", F.col("direction").desc(), "mediator", "second"))
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.col("direction").desc(), "pos", "mediator", "second"))
+    rows = rows.select("query", "entity", F.concat("base", F.lit("_"), counted.cast("string")).alias("name"), F.col("relation").alias("first"), "mediator", "second", "direction", place.alias("place"))
+    own = preferred_labels(labels).select("entity", F.col("name").alias("entity_name"))
+    words = asked.select("query", "entity", "question").distinct().join(own, "entity", "left")
+    scored = bm25_okapi(rows.select("query", F.col("name").alias("item"), F.col("name").alias("text")), words.select("query", F.when(F.col("question") != "", F.concat_ws(" ", "question", "entity_name")).alias("text")))
+    told = words.select("query", (F.coalesce("question", F.lit("")) != "").alias("told"))
+    kept = rows.join(scored.select("query", F.col("item").alias("name"), "rank"), ["query", "name"]).join(told, "query")
+    return kept.filter(F.when(F.col("told"), F.col("rank")).otherwise(F.col("place")) <= most).drop("rank", "told")
+
+
+def asked_triples(kg: DataFrame, labels: DataFrame, asked: DataFrame, mapping: DataFrame | None = None, listed: list[str] | None = None, per_relation: int = PER_RELATION, candidates: int = CANDIDATES, kept: int = KEPT_CANDIDATES) -> tuple[DataFrame, DataFrame]:
+    """What get_triples returns for each of asked(query, entity, relations, question), and its pending flattened relations.
+
+    Triples: query, relation, head, head_name, tail, tail_name. Of the neighbours that
+    are no mediators 5 stay, or 15 if the relation led to a mediator; of the flattened
+    relations near to the question those that lead to another entity, the first 8, and
+    what they lead to. Relations that mapping(query, entity, name, first, mediator,
+    second, direction) knows are flattened ones of before, and followed as they are.
+    Pending: the rows of mapping for the 8. kg has each triple once.
+    """
+    each = asked.select("query", "entity", "question", F.posexplode(F.array_distinct("relations")).alias("pos", "relation"))
+    follow = None
+    if mapping is not None:
+        follow = each.join(mapping.withColumnRenamed("name", "relation"), ["query", "entity", "relation"]).select("query", "entity", F.col("relation").alias("name"), "first", "mediator", "second", "direction")
+        each = each.join(mapping.select("query", "entity", F.col("name").alias("relation")), ["query", "entity", "relation"], "left_anti")
+    each = each.withColumn("relation", normalize_relation(F.col("relation")))
+    near = neighbours(kg, labels, each, per_relation)
+    hit = F.max(F.col("mediator").cast("int")).over(W.partitionBy("entity", "relation"))
+    order = F.row_number().over(W.partitionBy("entity", "relation").orderBy("mediator", F.col("out").desc(), "other"))
+    plain = near.withColumn("hit", hit).withColumn("k", order).filter(~F.col("mediator") & (F.col("k") <= F.when(F.col("hit") == 1, PLAIN_WITH_MEDIATOR).otherwise(PLAIN)))
+    plain = each.select("query", "entity", "relation").join(plain, ["entity", "relation"]).select("query", "entity", "relation", "other", "other_name", "out")
+    found = asked_candidates(kg, labels, near, each, listed, candidates)
+
+    def reached(rows: DataFrame) -> DataFrame:
+        """Candidates of several queries lead to the same: each is followed once."""
+        step = rows.select("entity", "first", "mediator", "second", "direction").distinct().withColumn("name", F.concat_ws("|", "first", "mediator", "second", "direction"))
+        led = through_mediator(kg, labels, step, per_relation).join(step, ["entity", "name"]).drop("name")
+        return rows.join(led, ["entity", "first", "mediator", "second", "direction"])
+
+    led = reached(found)
+    chosen = ranked(led.select("query", "entity", "name", "first", "mediator", "second", "direction", "place").distinct(), ["query"], [F.col("place")], kept)
+    pending = chosen.select("query", "entity", "name", "first", "mediator", "second", "direction", F.col("rank").alias("place"))
+    flat = led.join(pending.select("query", "name"), ["query", "name"])
+    parts = [flat] if follow is None else [flat, reached(follow)]
+    for part in parts:
+        plain = plain.unionByName(part.select("query", "entity", F.col("name").alias("relation"), "other", "other_name", (F.col("direction") == "out").alias("out")))
+    own = preferred_labels(labels).select("entity", F.col("name").alias("entity_name"))
+    rows = plain.join(own, "entity", "left").withColumns({"a": F.coalesce("entity_name", "entity"), "b": F.coalesce("other_name", "other")})
+    pick = lambda x, y: F.when(F.col("out"), F.col(x)).otherwise(F.col(y))
+    return rows.select("query", "relation", pick("entity", "other").alias("head"), pick("a", "b").alias("head_name"), pick("other", "entity").alias("tail"), pick("b", "a").alias("tail_name")), pending
+
+
+def add_pending(state: DataFrame, pending: DataFrame) -> DataFrame:
+    """The state of a question (rows of pending) with further flattened relations; those that it has stay as they are. An empty table is the state of a new question."""
+    return state.unionByName(pending.join(state.select("query", "entity", "name"), ["query", "entity", "name"], "left_anti").select(*state.columns))
+
+
+def pending_relations(state: DataFrame, entity: str | None = None) -> DataFrame:
+    """query, entity, name, of one entity or of all."""
+    rows = state.select("query", "entity", "name")
+    return rows if entity is None else rows.filter(F.col("entity") == entity)
+
+
+def apply_filtered(state: DataFrame, filtered: DataFrame, most: int = KEPT_CANDIDATES) -> DataFrame:
+    """The state after an outer filter: for the entities in filtered (rows of state, place in their new order) its first rows instead of their own; others as they are."""
+    first = ranked(filtered, ["query", "entity"], [F.col("place"), F.col("name")], most).drop("rank")
+    return state.join(filtered.select("query", "entity").distinct(), ["query", "entity"], "left_anti").select(*state.columns).unionByName(first.select(*state.columns))
+
+
 # -- resolution ------------------------------------------------------------------------------------------------------------
 
 

@@ -18,15 +18,16 @@ def _ns(spark, sf):
 
 def kg_bgp_minus(spark: SparkSession, sf: str) -> DataFrame:
     """Names of customers with a line from a supplier of the nation, less the customers of that nation."""
-    kg = K.triples(spark, sf)
-    p = lambda x: kg.filter(F.col("p") == x)
-    nation = K.names(spark, sf).filter((F.col("name") == NATION) & F.col("entity").startswith("m.n")).select(F.col("entity").alias("nation"))
-    supplier = p("business.supplier.nation").join(nation, F.col("o") == F.col("nation"), "left_semi").select(F.col("s").alias("supplier"))
-    lines = p("commerce.line.supplier").join(supplier, F.col("o") == F.col("supplier"), "left_semi").select(F.col("s").alias("line"))
-    orders = p("commerce.order.line").join(lines, F.col("o") == F.col("line"), "left_semi").select(F.col("s").alias("order")).distinct()
-    customers = p("people.customer.order").join(orders, F.col("o") == F.col("order"), "left_semi").select(F.col("s").alias("customer")).distinct()
-    own = p("people.customer.nation").join(nation, F.col("o") == F.col("nation"), "left_semi").select(F.col("s").alias("customer"))
-    return customers.join(own, "customer", "left_anti").join(K.names(spark, sf), F.col("customer") == F.col("entity")).select("name").distinct()
+    t = lambda p: K.statements(spark, sf, p)
+    nation = spark.read.parquet(f"{sf}/nation.parquet").filter(F.col("n_name") == NATION).select(F.col("n_nationkey").alias("o0"))
+    supplier = t("business.supplier.nation").join(nation, "o0", "left_semi").select(F.col("s0").alias("o0"))
+    line = [f"s{k}" for k in range(len(K.LINE))]
+    lines = t("commerce.line.supplier").join(supplier, "o0", "left_semi").select(*[F.col(c).alias(c.replace("s", "o")) for c in line])
+    orders = t("commerce.order.line").join(lines, [c.replace("s", "o") for c in line], "left_semi").select(F.col("s0").alias("o0"))
+    customers = t("people.customer.order").join(orders, "o0", "left_semi").select("s0").distinct()
+    own = t("people.customer.nation").join(nation, "o0", "left_semi").select("s0")
+    names = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("s0"), F.col("c_name").alias("name"))
+    return customers.join(own, "s0", "left_anti").join(names, "s0").select("name").distinct()
 
 
 def kg_predicate_counts(spark, sf):
@@ -87,6 +88,37 @@ def kg_triples_named(spark, sf):
     return K.get_triples(*_ns(spark, sf))
 
 
+def kg_relations_ranked(spark, sf):
+    """What get_relations shows for a question about each customer, supplier and nation; half of the customers have a flattened relation pending."""
+    kg = K.triples(spark, sf)
+    kinds = [("customer", "m.c", "c_custkey", "order nation"), ("supplier", "m.s", "s_suppkey", "which line of the supplier"), ("nation", "m.n", "n_nationkey", "customer customer region")]
+    asked = None
+    for table, kind, key, words in kinds:
+        rows = spark.read.parquet(f"{sf}/{table}.parquet").select(F.concat(F.lit(kind), F.col(key).cast("string")).alias("entity"), F.lit(words).alias("question"), F.col(key).alias("key"))
+        asked = rows if asked is None else asked.union(rows)
+    asked = asked.select(F.concat(F.lit("q."), "entity").alias("query"), "entity", "question", "key")
+    pending = asked.filter((F.col("key") % 2 == 0) & ~F.col("entity").startswith("m.s")).select("query", "entity", F.lit("people.customer.order.line_1").alias("name"))
+    return K.asked_relations(kg, asked, LISTED, pending, top_k=2)
+
+
+def _asked_suppliers(spark, sf):
+    rows = spark.read.parquet(f"{sf}/supplier.parquet")
+    return rows.select(F.col("s_suppkey").alias("query"), F.concat(F.lit("m.s"), F.col("s_suppkey").cast("string")).alias("entity"), F.array(F.lit("commerce.line.supplier"), F.lit("ns:business.supplier.nation"), F.lit("commerce.line.supplier")).alias("relations"), F.concat(F.lit("order line.supplier_7 "), F.when(F.col("s_suppkey") % 2 == 0, "line.supplier_33 line.supplier_9").otherwise("")).alias("question"))
+
+
+def kg_triples_flattened(spark, sf):
+    """Triples of two relations of each supplier, with those of 3 flattened relations out of the 20 nearest to the question."""
+    return K.asked_triples(*_ns(spark, sf), _asked_suppliers(spark, sf), candidates=20, kept=3)[0]
+
+
+def kg_flatten_pending(spark, sf):
+    """The flattened relations that stay pending; of even suppliers an outer filter has kept the last one."""
+    _, pending = K.asked_triples(*_ns(spark, sf), _asked_suppliers(spark, sf), candidates=20, kept=3)
+    state = K.add_pending(pending.limit(0), pending)
+    state = K.apply_filtered(state, state.filter("query % 2 = 0").withColumn("place", -F.col("place")), 1)
+    return K.pending_relations(state)
+
+
 def kg_flatten_names(spark, sf):
     return K.flatten_candidates(*_ns(spark, sf))
 
@@ -222,14 +254,31 @@ fallback AS (SELECT entity, relation FROM (SELECT *, relation IN ({", ".join(rep
 _OUT = "SELECT s AS entity, p AS relation, o AS other, row_number() OVER (PARTITION BY s, p ORDER BY o) AS k FROM kg"
 _IN = "SELECT o AS entity, p AS relation, s AS other, row_number() OVER (PARTITION BY o, p ORDER BY s) AS k FROM kg"
 _BARE = "(other LIKE 'm.%' OR other LIKE 'g.%') AND (n.name IS NULL OR n.name = '' OR n.name = other OR translate(n.name, '/:', '..') = other)"
-_FLAT = f"""reach AS (SELECT s AS entity, p AS first, o AS mediator FROM kg LEFT JOIN one n ON n.entity = o WHERE (o LIKE 'm.%' OR o LIKE 'g.%') AND n.name IS NULL),
-other AS (SELECT DISTINCT s AS mediator, p AS second, 'out' AS direction FROM kg UNION ALL SELECT DISTINCT o, p, 'in' FROM kg),
-pair AS (SELECT reach.*, second, direction, CASE WHEN direction = 'out' THEN first ELSE second END AS x, CASE WHEN direction = 'out' THEN second ELSE first END AS y FROM reach JOIN other USING (mediator)),
-share AS (SELECT *, string_split(x, '.') AS a, string_split(y, '.') AS b FROM pair),
+_BASE = """share AS (SELECT *, string_split(x, '.') AS a, string_split(y, '.') AS b FROM pair),
 cut AS (SELECT *, CASE WHEN a[1] IS DISTINCT FROM b[1] THEN 0 WHEN a[2] IS DISTINCT FROM b[2] THEN 1 WHEN a[3] IS DISTINCT FROM b[3] THEN 2 ELSE 3 END AS n FROM share),
-flat AS (SELECT entity, first, mediator, second, direction, array_to_string(a[n + 1 :], '.') || '.' || y AS base FROM cut),
+flat AS (SELECT *, array_to_string(a[n + 1 :], '.') || '.' || y AS base FROM cut)"""
+_FLAT = f"""reach AS (SELECT r.entity, first, mediator, direction FROM (SELECT s AS entity, p AS first, o AS mediator, 'out' AS direction FROM kg UNION ALL SELECT o, p, s, 'in' FROM kg) r LEFT JOIN one n ON n.entity = mediator WHERE (mediator LIKE 'm.%' OR mediator LIKE 'g.%') AND n.name IS NULL),
+other AS (SELECT DISTINCT s AS mediator, p AS second, 'out' AS direction FROM kg UNION ALL SELECT DISTINCT o, p, 'in' FROM kg),
+pair AS (SELECT reach.*, second, CASE WHEN direction = 'out' THEN first ELSE second END AS x, CASE WHEN direction = 'out' THEN second ELSE first END AS y FROM reach JOIN other USING (mediator, direction)),
+{_BASE},
 cand AS (SELECT entity, base || '_' || row_number() OVER (PARTITION BY entity, base ORDER BY first, mediator, direction DESC, second) AS name, first, mediator, second, direction FROM flat)"""
 _TOKENS = "list_filter(regexp_split_to_array(lower(translate({}, '.,!?;:()[]{{}}\"''/\\', '                 ')), '\\s+'), lambda x: x <> '')"
+_OKAPI = f"""d AS (SELECT query, item, {_TOKENS.format("text")} AS w FROM i), z AS (SELECT query, count(*) AS nd, avg(len(w)) AS mean FROM d GROUP BY query),
+ c AS (SELECT query, item, n, word, count(*) AS tf FROM (SELECT query, item, len(w) AS n, unnest(w) AS word FROM d) GROUP BY ALL),
+ f AS (SELECT query, word, count(*) AS df FROM c GROUP BY ALL), g AS (SELECT query, word, mean, ln(nd - df + 0.5) - ln(df + 0.5) AS raw FROM f JOIN z USING (query)),
+ h AS (SELECT *, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY query) ELSE raw END AS idf FROM g),
+ a AS (SELECT query, word, count(*) AS qf FROM (SELECT query, unnest({_TOKENS.format("text")}) AS word FROM q) GROUP BY ALL),
+ s AS (SELECT query, item, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))) AS score FROM c JOIN a USING (query, word) JOIN h USING (query, word) GROUP BY ALL),
+ r AS (SELECT query, item, round(coalesce(score, 0), 6) AS score FROM d LEFT JOIN s USING (query, item)),
+ k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS INT) AS rank FROM r)"""
+#: For each supplier: its nation, up to 80 of its lines, from each of which its order leads to the supplier.
+_ASKED = f"""WITH {KG}, ent AS (SELECT s_suppkey AS query, 'm.s' || s_suppkey AS entity, s_name AS en, 'order line.supplier_7 ' || CASE WHEN s_suppkey % 2 = 0 THEN 'line.supplier_33 line.supplier_9' ELSE '' END || ' ' || s_name AS text FROM supplier),
+ plain AS (SELECT query, entity, p AS relation, o AS other FROM ent JOIN kg ON s = entity AND p = 'business.supplier.nation'),
+ med AS (SELECT * FROM (SELECT query, entity, s AS mediator, row_number() OVER (PARTITION BY query ORDER BY s) AS j FROM ent JOIN kg ON o = entity AND p = 'commerce.line.supplier') WHERE j <= 80),
+ cand AS (SELECT query, entity, mediator, 'order.line.commerce.line.supplier_' || j AS name, j AS place FROM med),
+ i AS (SELECT query, name AS item, name AS text FROM cand), q AS (SELECT query, text FROM ent), {_OKAPI},
+ led AS (SELECT query, entity, name, place, kg.s AS other FROM cand JOIN k USING (query) JOIN kg ON kg.o = mediator AND kg.p = 'commerce.order.line' WHERE item = name AND rank <= 20),
+ best AS (SELECT query, name, row_number() OVER (PARTITION BY query ORDER BY place) AS e FROM (SELECT DISTINCT query, name, place FROM led))"""
 _META = ", ".join(f"({m!r})" for m in K.META)
 
 SQL = {
@@ -257,7 +306,18 @@ SQL = {
     "kg_flatten_names": f"WITH {KG}, {_FLAT} SELECT * FROM cand",
     "kg_two_hop_flatten": f"""WITH {KG}, {_FLAT}, t AS (SELECT DISTINCT entity, name, o AS other FROM cand JOIN kg ON direction = 'out' AND kg.s = mediator AND kg.p = second UNION SELECT DISTINCT entity, name, s FROM cand JOIN kg ON direction = 'in' AND kg.o = mediator AND kg.p = second),
  k AS (SELECT *, row_number() OVER (PARTITION BY entity, name ORDER BY other) AS k FROM t WHERE entity <> other)
- SELECT k.entity, k.name, other, coalesce(n.name, other) AS other_name FROM k LEFT JOIN one n ON n.entity = other WHERE k <= 40""",
+ SELECT k.entity, k.name, other, coalesce(n.name, other) AS other_name FROM k LEFT JOIN one n ON n.entity = other WHERE k <= 20""",
+    "kg_relations_ranked": f"""WITH {KG}, asked AS (SELECT 'q.m.c' || c_custkey AS query, 'm.c' || c_custkey AS entity, 'order nation' AS question, c_custkey AS key FROM customer
+ UNION ALL SELECT 'q.m.s' || s_suppkey, 'm.s' || s_suppkey, 'which line of the supplier', s_suppkey FROM supplier UNION ALL SELECT 'q.m.n' || n_nationkey, 'm.n' || n_nationkey, 'customer customer region', n_nationkey FROM nation),
+ shown AS (SELECT query, entity, relation FROM asked JOIN rel USING (entity) UNION SELECT query, entity, 'people.customer.order.line_1' FROM asked WHERE key % 2 = 0 AND entity NOT LIKE 'm.s%'),
+ fb AS (SELECT query, entity, relation FROM (SELECT *, relation IN ({", ".join(repr(x) for x in LISTED)}) AS f, max(CASE WHEN relation IN ({", ".join(repr(x) for x in LISTED)}) THEN 1 ELSE 0 END) OVER (PARTITION BY query) AS listed FROM shown) WHERE f OR listed = 0),
+ i AS (SELECT query, relation AS item, relation AS text FROM fb), q AS (SELECT query, question AS text FROM asked), {_OKAPI}
+ SELECT query, entity, relation, CAST(rank AS INT) AS rank FROM k JOIN fb USING (query) WHERE item = relation AND rank <= 2""",
+    "kg_triples_flattened": f"""{_ASKED}
+ SELECT query, relation, CASE WHEN out THEN x.entity ELSE other END AS head, CASE WHEN out THEN en ELSE coalesce(n.name, other) END AS head_name, CASE WHEN out THEN other ELSE x.entity END AS tail, CASE WHEN out THEN coalesce(n.name, other) ELSE en END AS tail_name
+ FROM (SELECT query, plain.entity, relation, other, true AS out, en FROM plain JOIN ent USING (query) UNION ALL SELECT query, led.entity, name, other, false, en FROM led JOIN best USING (query, name) JOIN ent USING (query) WHERE e <= 3) x LEFT JOIN one n ON n.entity = x.other""",
+    "kg_flatten_pending": f"""{_ASKED}
+ SELECT query, 'm.s' || query AS entity, name FROM (SELECT *, max(e) OVER (PARTITION BY query) AS last FROM best WHERE e <= 3) WHERE query % 2 = 1 OR e = last""",
     "kg_entity_gate": """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'm.' || text WHEN doc_id % 5 = 1 THEN '' ELSE text END AS t FROM documents)
  SELECT doc_id, t IS NOT NULL AND t <> '' AND (length(t) <= 100 OR starts_with(t, 'm.') OR starts_with(t, 'g.') OR starts_with(t, 'en.')) AS looked_up, starts_with(t, 'm.') OR starts_with(t, 'g.') OR starts_with(t, 'en.') AS is_id FROM t""",
     "kg_resolve_entity": f"""WITH {KG}, c AS (SELECT name AS text, entity, count(*) AS n_types FROM (SELECT DISTINCT name, entity FROM names) JOIN types USING (entity) GROUP BY ALL)
@@ -277,14 +337,7 @@ SQL = {
  b AS (SELECT text, entity FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY n DESC, entity) AS k FROM c) WHERE k = 1)
  SELECT question, text, coalesce(seeded, entity) AS entity FROM a LEFT JOIN b USING (text)""",
     "bm25_relations_topk": f"""WITH i AS (SELECT p_brand AS query, p_name AS item, min(p_name || ' ' || p_type) AS text FROM part GROUP BY ALL), q AS (SELECT p_brand AS query, max(p_name) || ' ' || min(p_type) || ' ' || max(p_name) AS text FROM part GROUP BY ALL),
- d AS (SELECT query, item, {_TOKENS.format("text")} AS w FROM i), z AS (SELECT query, count(*) AS nd, avg(len(w)) AS mean FROM d GROUP BY query),
- c AS (SELECT query, item, n, word, count(*) AS tf FROM (SELECT query, item, len(w) AS n, unnest(w) AS word FROM d) GROUP BY ALL),
- f AS (SELECT query, word, count(*) AS df FROM c GROUP BY ALL), g AS (SELECT query, word, mean, ln(nd - df + 0.5) - ln(df + 0.5) AS raw FROM f JOIN z USING (query)),
- h AS (SELECT *, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY query) ELSE raw END AS idf FROM g),
- a AS (SELECT query, word, count(*) AS qf FROM (SELECT query, unnest({_TOKENS.format("text")}) AS word FROM q) GROUP BY ALL),
- s AS (SELECT query, item, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))) AS score FROM c JOIN a USING (query, word) JOIN h USING (query, word) GROUP BY ALL),
- r AS (SELECT query, item, round(coalesce(score, 0), 6) AS score FROM d LEFT JOIN s USING (query, item)),
- k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS INT) AS rank FROM r)
+ {_OKAPI}
  SELECT *, rank <= 10 AS shown FROM k WHERE rank <= 30""",
     "bm25_docs_topk": f"""WITH d AS (SELECT doc_id AS doc, {_TOKENS.format("text")} AS w FROM documents), z AS (SELECT count(*) AS nd, avg(len(w)) AS mean FROM d),
  a AS (SELECT query, word, count(*) AS qf FROM (SELECT item_id AS query, unnest({_TOKENS.format("text")}) AS word FROM benchmark) GROUP BY ALL),
