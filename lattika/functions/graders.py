@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattika.functions.algebra import same_answer
+
 SPACES = r"(?U)\s+"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -251,38 +253,13 @@ def boxed_score(response: Column, label: Column) -> Column:
     return F.when(boxed(F.substring(response, -100, 100)) == label, 1.0).otherwise(-1.0)
 
 
-def math_form(text: str | None) -> str | None:
-    """Normal form for comparing expressions as texts."""
-    if text is None:
-        return None
-    s = re.sub(r"^\\text\{(.+?)\}$", r"\1", text.strip())
-    for a, b in (("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""), ("$", ""), ("\\%", ""), ("%", ""), (" .", " 0."), ("{.", "{0.")):
-        s = s.replace(a, b)
-    if s.startswith("."):
-        s = "0" + s
-    if s.count("=") == 1 and len(s.split("=")[0].strip()) <= 2:
-        s = s.split("=")[1]
-    s = re.sub(r"\\sqrt\s*([^{\s\\])", r"\\sqrt{\1}", s).replace(" ", "")
-    s = re.sub(r"\\frac([^{])([^{])", r"\\frac{\1}{\2}", s)
-    s = re.sub(r"\\frac\{([^{}]+)\}([^{])", r"\\frac{\1}{\2}", s)
-    s = re.sub(r"^(-?\d+)/(\d+)$", r"\\frac{\1}{\2}", s)
-    if re.fullmatch(r"-?\d{1,3}(,\d{3})+", s):
-        s = s.replace(",", "")
-    if re.fullmatch(r"-?\d+\.0+", s):
-        s = s.split(".")[0]
-    return "\\frac{1}{2}" if s == "0.5" else s
-
-
 @F.pandas_udf(T.DoubleType())
 def math_score(responses: pd.Series, labels: pd.Series) -> pd.Series:
-    """1 if the boxed answers agree in normal form, item by item for tuples. Algebraic equivalence is not decided: that takes a computer-algebra package."""
+    """1 if the boxed answer equals the label (its boxed part, if it has one), by text or by value."""
 
     def one(r: str | None, g: str | None) -> float:
         said, gold = last_boxed(r), g if g is None or "\\boxed" not in g else last_boxed(g)
-        if said is None or not gold:
-            return 0.0
-        parts = lambda x: [math_form(y) for y in x[1:-1].split(",")] if re.fullmatch(r"[(\[].*,.*[)\]]", x.strip()) else [math_form(x)]
-        return float(parts(said) == parts(gold))
+        return 0.0 if said is None or not gold else float(same_answer(said, gold))
 
     return pd.Series([one(r, g) for r, g in zip(responses, labels, strict=True)])
 
@@ -304,7 +281,51 @@ def selected_index(text: Column) -> Column:
     return F.when(F.size(found) > 0, F.element_at(found, -1).cast("int"))
 
 
-GRADERS = {"em": relaxed_match, "f1": max_f1, "merged_f1": merged_f1, "choice": choice_score, "dapo": integer_score, "strict_box": boxed_score, "math": math_score, "deepscaler": think_math_score, "search_em": search_score}
+def random_score(response: Column, label: Column, seed: int = 0) -> Column:
+    """0 or 1 by a hash of response and label: a control without knowledge that gives the same again."""
+    return F.pmod(F.xxhash64(F.coalesce(response, F.lit("")), F.coalesce(label, F.lit("")), F.lit(seed)), F.lit(2)).cast("double")
+
+
+def gold_answers(answers: Column, label: Column) -> Column:
+    """Answers of the metadata; where there are none, those of a label: the list under ground_truth or answers of an object, a list, or the text itself."""
+    listed = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull())
+    held = F.from_json(label, "ground_truth array<string>, answers array<string>")
+    of_object = F.when(F.size(listed(held["ground_truth"])) > 0, held["ground_truth"]).otherwise(listed(held["answers"]))
+    start = F.trim(label)
+    other = F.when(start.startswith("{"), of_object).when(start.startswith("["), listed(F.from_json(label, "array<string>"))).when(F.coalesce(label, F.lit("")) != "", F.array(label)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(listed(answers)) > 0, answers).otherwise(other)
+
+
+def turn_text(response: str | None, query: str | None, answer: str | None, think: str | None) -> str:
+    """The part of a response that is a turn's own: the block of its query, or the last answer, from the first thought before it on; else from its thought to the end of the next action."""
+    response = response or ""
+    blocks = [(m[1], m.start(), m.end()) for m in re.finditer(r"(?s)<(think|kg-query|answer)>((?:(?!<\1>).)*?)</\1>", response)]
+
+    def from_thought(start: int, end: int) -> str:
+        return response[next((a for kind, a, b in blocks if kind == "think" and b <= start), start) : end]
+
+    if query:
+        own = [(a, b) for kind, a, b in blocks if kind == "kg-query" and query in response[a + 10 : b - 11]]
+        if own:
+            return from_thought(*own[0])
+    if answer:
+        said = [(a, b) for kind, a, b in blocks if kind == "answer"]
+        if said:
+            return from_thought(*said[-1])
+    if think:
+        mark = think.strip().lower()[:50]
+        for kind, a, b in blocks:
+            if kind == "think" and mark in response[a:b].lower():
+                return response[a : next((d for other, c, d in blocks if other != "think" and c >= a), b)]
+    return ""
+
+
+@F.pandas_udf(T.StringType())
+def turn_content(response: pd.Series, query: pd.Series, answer: pd.Series, think: pd.Series) -> pd.Series:
+    return pd.Series([turn_text(*x) for x in zip(response, query, answer, think, strict=True)])
+
+
+GRADERS = {"em": relaxed_match, "f1": max_f1, "merged_f1": merged_f1, "choice": choice_score, "dapo": integer_score, "strict_box": boxed_score, "math": math_score, "deepscaler": think_math_score, "search_em": search_score, "random": random_score}
 
 
 def grade(rows: DataFrame, kind: str, response: str, label: str, golds: str, default: str = "em") -> DataFrame:

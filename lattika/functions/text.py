@@ -101,6 +101,61 @@ def chat_tokens(messages: Column) -> Column:
     return F.flatten(F.transform(messages, one))
 
 
+def distilled_tokens(messages: Column) -> Column:
+    """array<struct<token, mask>> of a chat of which only the last message is learned: the first message and the mark that opens an answer count 0, words of the last 1 unless it says otherwise."""
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    first, last = F.element_at(messages, 1), F.element_at(messages, -1)
+    on = F.when(F.coalesce(last["step_loss_mask"], F.lit(1)) == 1, 1).otherwise(0)
+    token = lambda t, m: F.struct(t.alias("token"), m.cast("int").alias("mask"))
+    head = F.concat(F.array(F.concat(F.lit("<|"), first["role"], F.lit("|>"))), words(first["content"]), F.array(F.lit("<|assistant|>")))
+    return F.concat(F.transform(head, lambda w: token(w, F.lit(0))), F.transform(words(last["content"]), lambda w: token(w, on)))
+
+
+def masked_tokens(messages: Column, kind: str = "plain", system: str = "You are a helpful assistant.") -> Column:
+    """Tokens and masks by the family of a template: plain as it is; `system`, a system message in front where the chat has none; `distilled`."""
+    if kind == "plain":
+        return chat_tokens(messages)
+    if kind == "distilled":
+        return distilled_tokens(messages)
+    if kind != "system":
+        raise ValueError(f"unknown template: {kind}")
+    front = F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content"), F.lit(None).cast("int").alias("step_loss_mask")))
+    return chat_tokens(F.when(F.element_at(messages, 1)["role"] == "system", messages).otherwise(F.concat(front, messages)))
+
+
+def aligned_mask(mask: Column, total: Column) -> Column:
+    """A mask of text tokens, padded in front to the length of an input with other tokens; a shorter input raises."""
+    missing = total - F.size(mask)
+    return F.when(missing < 0, F.raise_error(F.lit("the input is shorter than its mask"))).otherwise(F.concat(F.array_repeat(F.lit(0), F.greatest(missing, F.lit(0)).cast("int")), mask))
+
+
+def learned_sample(tokens: Column) -> Column:
+    """struct(tokens, loss_mask, response_length, reward) of a chat for supervised training: the mask from its first 1 on, reward 0."""
+    mask = F.transform(tokens, lambda t: t["mask"])
+    at = F.array_position(mask, 1).cast("int")
+    n = F.when(at > 0, F.size(mask) - at + 1).otherwise(0)
+    own = F.when(at > 0, F.slice(mask, F.greatest(at, F.lit(1)), F.size(mask))).otherwise(F.array().cast("array<int>"))
+    return F.struct(F.transform(tokens, lambda t: t["token"]).alias("tokens"), own.alias("loss_mask"), n.alias("response_length"), F.lit(0.0).alias("reward"))
+
+
+#: What stands around the tools of a conversation, and the system message without an own one (fixed values).
+TOOLS_HEAD = "# Tools\n\nYou may call one or more functions to assist with the user query.\n\nYou are provided with function signatures within <tools></tools> XML tags:\n<tools>"
+TOOLS_TAIL = '\n</tools>\n\nFor each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:\n<tool_call>\n{"name": <function-name>, "arguments": <args-json-object>}\n</tool_call>'
+TOOL_SYSTEM = "You are a helpful assistant that can use Python tools to solve mathematical problems. When you need to perform calculations, use the code_interpreter tool to execute code and get results."
+
+
+def conversation_with_tools(prompt: Column, tools: Column, messages: Column | None = None, system: str = TOOL_SYSTEM) -> Column:
+    """A conversation that ends where the assistant speaks next. tools: array of JSON texts; messages: later turns, array<struct<role, content>>; other roles than user and assistant are left out."""
+    told = F.when(F.size(F.coalesce(tools, F.array().cast("array<string>"))) > 0, F.concat(F.lit(TOOLS_HEAD), F.array_join(tools, ""), F.lit(TOOLS_TAIL))).otherwise("")
+    line = lambda role, content: F.concat(F.lit("\n<|im_start|>"), role, content, F.lit("<|im_end|>"))
+    said = F.when(F.coalesce(prompt, F.lit("")) != "", line(F.lit("user"), prompt)).otherwise("")
+    parts = [F.lit(f"<|im_start|>system{system}"), told, F.lit("<|im_end|>"), said]
+    if messages is not None:
+        spoken = F.filter(F.coalesce(messages, F.array()), lambda m: m["role"].isin("user", "assistant"))
+        parts.append(F.array_join(F.transform(spoken, lambda m: line(m["role"], m["content"])), ""))
+    return F.concat(*parts, F.lit("\n<|im_start|>assistant"))
+
+
 def split_placeholders(text: Column, marks: tuple[str, ...] = ("<image>", "<video>", "<audio>")) -> Column:
     """array<struct<type, text>>: stretches of text and the placeholders between them, in order."""
     either = "|".join(marks)

@@ -96,9 +96,22 @@ def is_meaningful(iri: Column) -> Column:
     return F.coalesce(iri.startswith(NS) & ~iri.rlike(r"(?U)\s"), F.lit(False))
 
 
+#: Three strings in single quotes between square brackets (fixed value).
+TRIPLE = r"\[\s*'([^']*)'\s*,\s*'([^']*)'\s*,\s*'([^']*)'\s*\]"
+#: Prefixes of nodes that are no predicates: none are excluded as it stands (fixed value).
+EXCLUDED_PREFIXES: tuple[str, ...] = ()
+
+
+def has_excluded_prefix(token: Column, prefixes: Sequence[str] = EXCLUDED_PREFIXES) -> Column:
+    return token.contains(":") & F.substring_index(token, ":", 1).isin(list(prefixes))
+
+
 def graph_triples(records: DataFrame, graph: str) -> DataFrame:
-    """s, p, o of a JSON list of triples; items that are no three strings are dropped."""
-    rows = records.select(F.explode(F.from_json(graph, "array<array<string>>")).alias("t"))
+    """s, p, o of a list of triples, as JSON or as the text of a list with quoted strings; items that are no three strings are dropped."""
+    listed = F.from_json(graph, "array<array<string>>")
+    quoted = [F.regexp_extract_all(graph, F.lit(TRIPLE), F.lit(k)) for k in (1, 2, 3)]
+    written = F.transform(F.arrays_zip(*[q.alias(f"x{k}") for k, q in enumerate(quoted)]), lambda z: F.array(z["x0"], z["x1"], z["x2"]))
+    rows = records.select(F.explode(F.coalesce(listed, written)).alias("t"))
     return rows.filter((F.size("t") == 3) & F.forall("t", lambda x: x.isNotNull())).select(F.col("t")[0].alias("s"), F.col("t")[1].alias("p"), F.col("t")[2].alias("o"))
 
 
@@ -111,6 +124,29 @@ def split_path(text: Column) -> Column:
     return F.filter(F.transform(F.split(one, "->"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+#: Keys under which an item can hold its path, first ones first (fixed values).
+PATH_KEYS = ["name_path", "namePath", "path", "name_path_str", "names", "namepath"]
+
+
+def name_paths(item: Column) -> Column:
+    """The paths of a JSON item: name_path1 and name_path2 together; else the list or text under the first key that holds one; else the first text with an arrow. Other texts are paths themselves."""
+    held = F.from_json(item, "map<string,string>")
+    some = lambda c: F.filter(c, lambda p: F.size(p) > 0)
+
+    def components(value: Column) -> Column:
+        listed = F.filter(F.transform(F.from_json(value, "array<string>"), lambda x: F.trim(x)), lambda x: x != "")
+        return F.when(F.trim(value).startswith("[") & listed.isNotNull(), listed).otherwise(split_path(value))
+
+    both = F.map_contains_key(held, "name_path1") & F.map_contains_key(held, "name_path2")
+    keyed = F.coalesce(*[F.when(~F.coalesce(held[k], F.lit("1")).rlike(r"^(-?[0-9.eE+]+|true|false|\{.*)$"), held[k]) for k in PATH_KEYS])
+    arrow = F.get(F.filter(F.map_values(held), lambda x: x.contains("->") | x.contains("→")), 0)
+    single = F.when(keyed.isNotNull(), components(keyed)).otherwise(split_path(arrow))
+    pair = F.array(split_path(F.coalesce(held["name_path1"], F.lit("None"))), split_path(F.coalesce(held["name_path2"], F.lit("None"))))
+    none = F.array().cast("array<array<string>>")
+    of_object = F.when(both, pair).otherwise(F.coalesce(some(F.array(single)), none))
+    return F.when(item.isNull(), none).when(F.trim(item).startswith("{"), of_object).otherwise(some(F.array(split_path(item))))
+
+
 def entities(path: Column) -> Column:
     return F.filter(path, lambda x, i: i % 2 == 0)
 
@@ -172,17 +208,25 @@ def conjunction_reason(one: Column, two: Column) -> Column:
     return F.when(F.size(shared) > 0, "cross_path_duplicate_entity").when(F.arrays_overlap(fold(path_relations(one)), fold(path_relations(two))), "cross_path_duplicate_relation")
 
 
-def filter_paths(paths: DataFrame, path: str = "path", second: str | None = None, predicates: Sequence[str] = (), names: Sequence[str] = (), require: int | None = None, least: int | None = None, most: int | None = None) -> DataFrame:
-    """Adds reason: null for paths that stay. Structure of each path, then the pair, then the blacklists."""
+def filter_paths(paths: DataFrame, path: str = "path", second: str | None = None, predicates: Sequence[str] = (), names: Sequence[str] = (), require: int | None = None, least: int | None = None, most: int | None = None, steps: str | None = None) -> DataFrame:
+    """Adds reason: null for paths that stay. Structure of each path, then the pair, then the blacklists on the steps and on each path."""
     columns = [F.col(path), *([F.col(second)] if second else [])]
     reasons = [F.when(F.size(F.coalesce(c, F.array())) == 0, "missing_name_path") for c in columns]
     reasons += [path_reason(c, require, least, most) for c in columns]
     if second:
         reasons.append(conjunction_reason(*columns))
+    if steps:
+        reasons.append(step_reason(F.col(steps), predicates, names))
     reasons += [blacklist_reason(c, predicates, names) for c in columns]
     return paths.withColumn("reason", F.coalesce(*reasons))
 
 
+def drop_counts(filtered: DataFrame) -> DataFrame:
+    """outcome, n: how many items were read ('total'), kept, and dropped for each reason."""
+    outcome = F.explode(F.array(F.lit("total"), F.coalesce("reason", F.lit("kept"))))
+    return filtered.select(outcome.alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 def walks(kg: DataFrame, start: DataFrame, length: int, degree: int | None = None) -> DataFrame:
     """path: alternating nodes and predicates of all walks of a length from start(node), without a node twice.
 

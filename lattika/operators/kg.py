@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -262,7 +263,7 @@ def asked_candidates(kg: DataFrame, labels: DataFrame, near: DataFrame, asked: D
     rows = asked.join(hit, ["entity", "relation"]).join(mediator_relations(kg, listed), ["mediator", "direction"]).withColumn("base", flat_base(F.col("direction"), F.col("relation"), F.col("second")))
     counted = F.row_number().over(W.partitionBy("query", "base").orderBy("pos", F.col("direction").desc(), "mediator", "second"))
     place = F.row_number().over(W.partitionBy("query").orderBy(F.col("direction").desc(), "pos", "mediator", "second"))
-    rows = rows.select("query", "entity", F.concat("base", F.lit("_"), counted.cast("string")).alias("name"), F.col("relation").alias("first"), "mediator", "second", "direction", place.alias("place"))
+    rows = rows.select("query", "entity", F.concat("base", F.lit("_"), counted.cast("string")).alias("name"), F.col("relation").alias("first"), "mediator", "second", "direction", place.alias("place")).persist(StorageLevel.MEMORY_AND_DISK)
     own = preferred_labels(labels).select("entity", F.col("name").alias("entity_name"))
     words = asked.select("query", "entity", "question").distinct().join(own, "entity", "left")
     scored = bm25_okapi(rows.select("query", F.col("name").alias("item"), F.col("name").alias("text")), words.select("query", F.when(F.col("question") != "", F.concat_ws(" ", "question", "entity_name")).alias("text")))
@@ -279,7 +280,8 @@ def asked_triples(kg: DataFrame, labels: DataFrame, asked: DataFrame, mapping: D
     relations near to the question those that lead to another entity, the first 8, and
     what they lead to. Relations that mapping(query, entity, name, first, mediator,
     second, direction) knows are flattened ones of before, and followed as they are.
-    Pending: the rows of mapping for the 8. kg has each triple once.
+    Pending: the rows of mapping for the 8; write them before they are a mapping
+    themselves, or all is computed again. kg has each triple once.
     """
     each = asked.select("query", "entity", "question", F.posexplode(F.array_distinct("relations")).alias("pos", "relation"))
     follow = None
@@ -287,12 +289,13 @@ def asked_triples(kg: DataFrame, labels: DataFrame, asked: DataFrame, mapping: D
         follow = each.join(mapping.withColumnRenamed("name", "relation"), ["query", "entity", "relation"]).select("query", "entity", F.col("relation").alias("name"), "first", "mediator", "second", "direction")
         each = each.join(mapping.select("query", "entity", F.col("name").alias("relation")), ["query", "entity", "relation"], "left_anti")
     each = each.withColumn("relation", normalize_relation(F.col("relation")))
-    near = neighbours(kg, labels, each, per_relation)
+    # both are used several times: kept while there is room, so that plans stay small
+    near = neighbours(kg, labels, each, per_relation).persist(StorageLevel.MEMORY_AND_DISK)
     hit = F.max(F.col("mediator").cast("int")).over(W.partitionBy("entity", "relation"))
     order = F.row_number().over(W.partitionBy("entity", "relation").orderBy("mediator", F.col("out").desc(), "other"))
     plain = near.withColumn("hit", hit).withColumn("k", order).filter(~F.col("mediator") & (F.col("k") <= F.when(F.col("hit") == 1, PLAIN_WITH_MEDIATOR).otherwise(PLAIN)))
     plain = each.select("query", "entity", "relation").join(plain, ["entity", "relation"]).select("query", "entity", "relation", "other", "other_name", "out")
-    found = asked_candidates(kg, labels, near, each, listed, candidates)
+    found = asked_candidates(kg, labels, near, each, listed, candidates).persist(StorageLevel.MEMORY_AND_DISK)
 
     def reached(rows: DataFrame) -> DataFrame:
         """Candidates of several queries lead to the same: each is followed once."""
@@ -300,7 +303,7 @@ def asked_triples(kg: DataFrame, labels: DataFrame, asked: DataFrame, mapping: D
         led = through_mediator(kg, labels, step, per_relation).join(step, ["entity", "name"]).drop("name")
         return rows.join(led, ["entity", "first", "mediator", "second", "direction"])
 
-    led = reached(found)
+    led = reached(found).persist(StorageLevel.MEMORY_AND_DISK)
     chosen = ranked(led.select("query", "entity", "name", "first", "mediator", "second", "direction", "place").distinct(), ["query"], [F.col("place")], kept)
     pending = chosen.select("query", "entity", "name", "first", "mediator", "second", "direction", F.col("rank").alias("place"))
     flat = led.join(pending.select("query", "name"), ["query", "name"])
@@ -400,6 +403,41 @@ def pick_from_reply(reply: Column, candidates: Column, most: int = 10) -> Column
     return F.slice(F.when(F.size(F.coalesce(hits, F.array())) > 0, hits).otherwise(candidates), 1, most)
 
 
+def choose_relations(ranked_rows: DataFrame, ask=None, shown: int = 10, candidates: int = 30) -> DataFrame:
+    """query, relation, rank: what is shown of ranked(query, relation, rank) for each query.
+
+    The first `candidates` are on offer. Where they are more than `shown` and ask is
+    given, ask(query, candidates) returns query, reply, and the reply's first JSON list
+    names those that stay, in its order. Queries without a reply, or one that names
+    none, keep the first.
+    """
+    lists = ranked_rows.filter(F.col("rank") <= candidates).groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "relation"))), lambda x: x["relation"]).alias("candidates"))
+    replies = lists.withColumn("reply", F.lit(None).cast("string")) if ask is None else lists.join(ask(lists.filter(F.size("candidates") > shown)).select("query", "reply"), "query", "left")
+    picked = replies.select("query", F.posexplode(pick_from_reply(F.coalesce("reply", F.lit("")), F.col("candidates"), shown)).alias("at", "relation"))
+    return picked.select("query", "relation", (F.col("at") + 1).alias("rank"))
+
+
+def seed_registry(topics: DataFrame) -> DataFrame:
+    """question, name, entity of topics(question, a, b), whichever of a and b is the id."""
+    id_first = is_id(F.col("a"))
+    rows = topics.filter(id_first | is_id(F.col("b"))).select("question", F.when(id_first, F.col("b")).otherwise(F.col("a")).alias("name"), F.when(id_first, F.col("a")).otherwise(F.col("b")).alias("entity"))
+    return rows.groupBy("question", "name").agg(F.min("entity").alias("entity"))
+
+
+def register(registry: DataFrame, triples_shown: DataFrame) -> DataFrame:
+    """The registry with the heads and tails of triples(question, head, head_name, tail, tail_name); names that it has stay as they are."""
+    ends = triples_shown.select("question", F.explode(F.array(F.struct(F.col("head_name").alias("name"), F.col("head").alias("entity")), F.struct(F.col("tail_name").alias("name"), F.col("tail").alias("entity")))).alias("e")).select("question", "e.name", "e.entity")
+    new = ends.filter(is_id(F.col("entity")) & (F.col("name") != F.col("entity"))).groupBy("question", "name").agg(F.min("entity").alias("entity"))
+    return registry.unionByName(new.join(registry.select("question", "name"), ["question", "name"], "left_anti").select(*registry.columns))
+
+
+def resolve_registered(asked: DataFrame, registry: DataFrame, stored: DataFrame) -> DataFrame:
+    """asked(question, text) with entity: an id as it is, else the registry's, else that of stored(text, entity)."""
+    known = registry.select("question", F.col("name").alias("text"), F.col("entity").alias("__own"))
+    rows = asked.join(known, ["question", "text"], "left").join(stored.select("text", F.col("entity").alias("__stored")), "text", "left")
+    return rows.select("question", "text", F.when(is_id(F.col("text")), F.col("text")).otherwise(F.coalesce("__own", "__stored")).alias("entity"))
+
+
 def augment_question(question: Column, topics: Column) -> Column:
     """The question and its topics' names, each once."""
     return F.concat_ws(" ", question, F.array_join(F.array_distinct(F.filter(topics, lambda x: x.isNotNull() & (x != ""))), " "))

@@ -83,11 +83,79 @@ def dense_search(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return out
 
 
-def mean_pool(vectors: Column) -> Column:
-    """Component-wise mean of an array of arrays."""
-    n = F.size(vectors)
-    total = F.aggregate(F.slice(vectors, 2, F.greatest(n, F.lit(1))), vectors[0], lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
-    return F.transform(total, lambda x: x / n)
+def batch_retrieve(ranked: DataFrame, corpus: DataFrame, with_scores: bool = True) -> DataFrame:
+    """query, rank, document and score (if asked for): ranked(query, doc, score, rank) with the whole rows of corpus(doc, ...)."""
+    document = F.struct(*[F.col(c) for c in corpus.columns]).alias("document")
+    rows = ranked.join(corpus.select(F.col("doc").alias("__doc"), document), F.col("doc") == F.col("__doc"))
+    return rows.select("query", "rank", "document", *(["score"] if with_scores else []))
+
+
+def pooled(tokens: DataFrame, by: str, method: str = "mean", order: str | None = None, mask: str | None = None, vector: str = "vector") -> DataFrame:
+    """by, i, x: one vector for each value of `by` from rows with a vector each, by component: the mean of the unmasked ones, or that of the first row ('cls').
+
+    Sums are combined before the shuffle, so that no vectors are gathered in one
+    place. A pooled vector that a model returns itself needs no operator.
+    """
+    if method == "mean":
+        rows = tokens.filter(F.col(mask) != 0) if mask else tokens
+        return rows.select(by, F.posexplode(vector).alias("i", "v")).groupBy(by, "i").agg(F.avg(F.col("v").cast("double")).alias("x"))
+    if method != "cls":
+        raise ValueError(f"unknown pooling: {method}")
+    first = tokens.groupBy(by).agg(F.min_by(vector, order).alias("v"))
+    return first.select(by, F.posexplode("v").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+
+
+#: What stands before a query or a passage, by a part of the model's name (fixed values).
+PREFIXES = {"e5": ("query: ", "passage: "), "bge": ("Represent this sentence for searching relevant passages: ", "")}
+
+
+def encoder_text(text: Column, model: str, is_query: bool = True) -> Column:
+    """A text as a model's encoder wants it."""
+    for part, prefixes in PREFIXES.items():
+        if part in model.lower():
+            text = F.concat(F.lit(prefixes[0 if is_query else 1]), text)
+    return text
+
+
+# -- prefix cache ----------------------------------------------------------------------------------------------------------
+
+#: Entries beyond which stale ones go, and the versions after which an entry is stale (fixed values).
+CACHE_SIZE, CACHE_VERSIONS = 10_000, 5
+
+
+def cache_insert(cache: DataFrame, new: DataFrame, version: int) -> DataFrame:
+    """cache(key, value, version) with the rows of new(key, value): a key has its latest value. An empty key is none."""
+    both = cache.unionByName(new.filter("key <> ''").groupBy("key").agg(F.min("value").alias("value")).withColumn("version", F.lit(version).cast(cache.schema["version"].dataType)))
+    return both.groupBy("key").agg(F.max_by("value", "version").alias("value"), F.max("version").alias("version"))
+
+
+def cache_evict(cache: DataFrame, version: int, size: int = CACHE_SIZE, versions: int = CACHE_VERSIONS) -> DataFrame:
+    """The cache without entries of `versions` ago or older, nor entries that continue one of those, once it has more than `size` entries."""
+    if cache.count() <= size:
+        return cache
+    stale = F.col("version") <= version - versions
+    gone = longest_prefix(cache.select(F.col("key").alias("text_id"), F.col("key").alias("text")), cache.filter(stale).select("key"))
+    return cache.join(gone.filter(F.col("key").isNull()).select(F.col("text_id").alias("key")), "key", "left_semi")
+
+
+def cache_statistics(cache: DataFrame) -> DataFrame:
+    """entries, characters, oldest and newest version."""
+    return cache.agg(F.count("*").alias("entries"), F.coalesce(F.sum(F.length("key")), F.lit(0)).alias("characters"), F.min("version").alias("oldest"), F.max("version").alias("newest"))
+
+
+def answer_from_cache(texts: DataFrame, cache: DataFrame, make, version: int, tries: int = 5) -> tuple[DataFrame, DataFrame]:
+    """texts(text_id, text) with the value of the whole text in the cache, else what make(texts) answers, asked again while it is null; and the cache with new answers.
+
+    make takes rows (text_id, text) and returns text_id, value; null is an aborted
+    answer, of which `tries` are made.
+    """
+    known = texts.join(cache.select(F.col("key").alias("text"), "value"), "text", "left")
+    out, todo = known.filter("value is not null").select("text_id", "text", "value"), known.filter("value is null").select("text_id", "text")
+    for k in range(tries):
+        made = todo.join(make(todo), "text_id", "left").select("text_id", "text", "value")
+        done = made if k == tries - 1 else made.filter("value is not null")
+        out, todo = out.unionByName(done), made.filter("value is null").select("text_id", "text")
+    return out, cache_insert(cache, out.filter("value is not null").select(F.col("text").alias("key"), "value"), version)
 
 
 def longest_prefix(texts: DataFrame, keys: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattika.operators.ordered import numbered
+from lattika.operators.ordered import numbered, row_hash
 
 # -- rewards of groups -----------------------------------------------------------------------------------------------------
 
@@ -197,6 +197,10 @@ def unpack(packs: DataFrame, by: str) -> DataFrame:
 # -- samples ---------------------------------------------------------------------------------------------------------------
 
 
+#: Parts that the rows of a key are numbered in.
+SALTS = 64
+
+
 @F.pandas_udf(T.BooleanType())
 def repeats_itself(texts: pd.Series) -> pd.Series:
     """Whether the last 10,000 characters of a longer text shrink more than tenfold."""
@@ -211,9 +215,18 @@ def repeats_itself(texts: pd.Series) -> pd.Series:
 
 
 def skip_finished(rows: DataFrame, finished: DataFrame, key: str) -> DataFrame:
-    """Rows less finished ones, as bags: each finished row takes out one row of its key."""
-    number = F.row_number().over(W.partitionBy(key).orderBy(key))
-    return rows.withColumn("__n", number).join(finished.select(key).withColumn("__n", number), [key, "__n"], "left_anti").drop("__n")
+    """Rows less finished ones, as bags: each finished row takes out one row of its key.
+
+    Rows of a key are numbered over ranges of it, so that a hot key is no single
+    task's; of the finished rows only their number by key is joined.
+    """
+    done = finished.groupBy(key).agg(F.count("*").alias("__done"))
+    ranged = rows.withColumn("__salt", F.pmod(row_hash(rows), F.lit(SALTS)).cast("int"))
+    counts = ranged.groupBy(key, "__salt").agg(F.count("*").alias("__n"))
+    before = counts.select(key, "__salt", F.coalesce(F.sum("__n").over(W.partitionBy(key).orderBy("__salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # SALTS rows for a key
+    number = F.row_number().over(W.partitionBy(key, "__salt").orderBy(key))
+    out = ranged.withColumn("__k", number).join(before, [key, "__salt"]).join(done, key, "left")
+    return out.filter(F.col("__k") + F.col("__before") > F.coalesce("__done", F.lit(0))).select(*rows.columns)
 
 
 def valid_groups(items: DataFrame, group: str, size: int, filled: Column | None = None) -> DataFrame:

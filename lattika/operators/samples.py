@@ -97,3 +97,73 @@ def reselect(candidates: DataFrame, picked: DataFrame, by: str, most: int = 8) -
 
 def with_prefix(df: DataFrame, prefix: str) -> DataFrame:
     return df.toDF(*[prefix + c for c in df.columns])
+
+
+# -- sampling and batches --------------------------------------------------------------------------------------------------
+
+
+def sample_without(rows: DataFrame, by: str, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows of each group (all of a smaller one), none twice, by a hash of seed and key: the same again whatever the partitions."""
+    at = F.row_number().over(W.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key))
+    return rows.withColumn("__at", at).filter(F.col("__at") <= n).drop("__at")
+
+
+def order_groups(rows: DataFrame, group: str, index: str) -> DataFrame:
+    """Adds place: the groups' order by their first sample's index."""
+    first = rows.groupBy(group).agg(F.min(index).alias("__first"))
+    return rows.join(numbered(first, [F.col("__first"), F.col(group)], "place").drop("__first"), group)
+
+
+def dynamic_batch(rows: DataFrame, order: str, ranks: int) -> DataFrame:
+    """The first rows of the order, a multiple of the number of ranks of them: the batch is as large as the data allows."""
+    n = rows.count()
+    return numbered(rows, [F.col(order)], "__k").filter(F.col("__k") < n - n % ranks).drop("__k")
+
+
+def fixed_slices(rows: DataFrame, by: str, order: str, size: int) -> DataFrame:
+    """Adds micro_batch and steps: slices of `size` rows of each rank, and the number that every rank has to run, the most of any."""
+    sliced = rows.withColumn("micro_batch", F.floor((F.row_number().over(W.partitionBy(by).orderBy(order)) - 1) / size).cast("int"))
+    most = sliced.agg((F.max("micro_batch") + 1).alias("steps"))
+    return sliced.join(F.broadcast(most))  # one row
+
+
+def micro_batch(rows: DataFrame, order: str, columns: list[str], offset: int = 0, size: int | None = None, indices: list[int] | None = None) -> DataFrame:
+    """place and the named columns of a slice from an offset on, or of the rows at some indices in their order; columns that are not there are null."""
+    held = [F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in columns]
+    at = numbered(rows, [F.col(order)], "__k")
+    if indices is None:
+        return at.filter((F.col("__k") >= offset) & (F.col("__k") < offset + size)).select((F.col("__k") - offset).alias("place"), *held)
+    wanted = at.sparkSession.createDataFrame([(k, i) for k, i in enumerate(indices)], "place long, __k long")
+    return at.join(F.broadcast(wanted), "__k").select("place", *held)
+
+
+def reindexed(rows: DataFrame, rank: str, order: str, length: str) -> DataFrame:
+    """Adds place and total: the number of a row within its rank, and the sum of the rank's lengths up to it."""
+    w = W.partitionBy(rank).orderBy(order)
+    return rows.withColumn("place", F.row_number().over(w) - 1).withColumn("total", F.sum(length).over(w.rowsBetween(W.unboundedPreceding, 0)))
+
+
+def requeue(rows: DataFrame, status: str, waiting: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Finished rows, and the queue with the aborted ones back in it, marked as pending."""
+    aborted = rows.filter(F.col(status) == "aborted").withColumn(status, F.lit("pending"))
+    return rows.filter(F.col(status) != "aborted"), waiting.unionByName(aborted.select(*waiting.columns))
+
+
+def repeat_epochs(rows: DataFrame, epochs: int) -> DataFrame:
+    """Adds epoch: every row once for each epoch."""
+    return rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+
+
+# -- metrics of ranks and phases -------------------------------------------------------------------------------------------
+
+
+def mean_over_ranks(metrics: DataFrame, name: str, value: str, prefix: str) -> DataFrame:
+    """metric, mean: the mean of each scalar over the ranks."""
+    return metrics.groupBy(F.concat(F.lit(prefix + "/"), F.col(name)).alias("metric")).agg(F.avg(value).alias("mean"))
+
+
+def phase_times(timers: DataFrame, name: str, seconds: str, total: str) -> DataFrame:
+    """phase, seconds, share: the times of each phase, and their part of the phase that holds all."""
+    summed = timers.groupBy(F.col(name).alias("phase")).agg(F.sum(seconds).alias("seconds"))
+    whole = summed.filter(F.col("phase") == total).select(F.col("seconds").alias("__all"))  # one row
+    return summed.join(F.broadcast(whole), how="left").select("phase", "seconds", (F.col("seconds") / F.col("__all")).alias("share"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattika.plans import curation_queries, kg_queries, rollout_queries, sample_queries, text_queries
+from lattika.plans import curation_queries, further_queries, kg_queries, rollout_queries, sample_queries, text_queries
 
-FAMILIES = [kg_queries, curation_queries, rollout_queries, sample_queries, text_queries]
+FAMILIES = [kg_queries, curation_queries, rollout_queries, sample_queries, text_queries, further_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -324,7 +324,7 @@ SQL = {
  SELECT p_partkey, CASE WHEN k IN (0, 1, 2) THEN l END AS letter, CASE WHEN k IN (0, 1, 2) THEN 1.0::DOUBLE WHEN contains(lower(CASE WHEN k = 3 THEN p_name ELSE 'none' END), lower(l)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM t""",
     "dapo_score": "SELECT p_partkey, CASE WHEN p_partkey % 5 IN (0, 1, 2, 3) THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS score FROM part",
     "boxed_answer": r"SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN '\frac{' || p_size || '}{2}' END AS answer, CASE WHEN p_partkey % 3 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS score FROM part",
-    "math_equal": "SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS score FROM part",
+    "math_equal": "SELECT p_partkey, CASE WHEN p_partkey % 4 IN (1, 3) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS score FROM part",
     "shaped_reward": "SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 1.0::DOUBLE ELSE round(CAST(least(-0.6, -1 + (count(*) - 2) / 2.0 * 0.1) AS DOUBLE), 6) END AS reward FROM conversations GROUP BY conv_id",
     "grader_dispatch": f"WITH {_PAIRS} SELECT p_partkey, round(coalesce(max(CASE WHEN p_partkey % 2 = 0 THEN CAST({_F1} AS DOUBLE) WHEN contains(n, m) OR n <> '' AND contains(m, n) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 0), 6) AS score FROM part LEFT JOIN z USING (p_partkey) GROUP BY p_partkey",
 }

@@ -215,9 +215,8 @@ def dense_topk(spark, sf):
 
 
 def embedding_mean_pool(spark, sf):
-    v = spark.read.parquet(f"{sf}/embeddings.parquet").select("label", F.transform("embedding", lambda x: x.cast("double")).alias("e"), "vec_id")
-    pooled = v.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "e"))).alias("v")).select("label", R.mean_pool(F.transform("v", lambda x: x["e"])).alias("m"))
-    return pooled.select("label", F.posexplode("m").alias("i", "x")).select("label", "i", F.round("x", 6).alias("x"))
+    pooled = R.pooled(spark.read.parquet(f"{sf}/embeddings.parquet").select("label", "embedding"), "label", vector="embedding")
+    return pooled.select("label", "i", F.round("x", 6).alias("x"))
 
 
 def prefix_longest(spark, sf):

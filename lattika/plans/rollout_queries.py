@@ -69,8 +69,8 @@ def length_statistics(spark, sf):
 def throughput_metrics(spark, sf):
     """Tokens a second over all, and of the longest samples."""
     o = _t(spark, sf, "orders").select("o_orderpriority", F.col("o_totalprice").alias("s"), F.col("o_custkey").alias("n"))
-    top = F.max("n").over(W.partitionBy("o_orderpriority"))
-    g = o.withColumn("top", top).groupBy("o_orderpriority").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.avg(F.when(F.col("n") == F.col("top"), F.col("n") / F.col("s"))).alias("longest"))
+    top = o.groupBy("o_orderpriority").agg(F.max("n").alias("top"))
+    g = o.join(top, "o_orderpriority").groupBy("o_orderpriority").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.avg(F.when(F.col("n") == F.col("top"), F.col("n") / F.col("s"))).alias("longest"))
     return g.select("o_orderpriority", F.round(F.col("n") / F.col("s"), 6).alias("rate"), F.round("longest", 6).alias("longest"))
 
 
@@ -148,8 +148,7 @@ def _long(rows: DataFrame, value, digits: int = 6):
 
 
 def discounted_return(spark, sf):
-    s = _seqs(spark, sf).filter(F.array_contains("m", 1))
-    return _long(s, A.discounted_returns(F.lit(1.0), F.col("r"), F.col("m"), 0.1, 0.9), 10)
+    return _long(_seqs(spark, sf), A.discounted_returns(F.lit(1.0), F.col("r"), F.col("m"), 0.1, 0.9), 10)
 
 
 def gae(spark, sf):
@@ -169,10 +168,14 @@ def whiten(spark, sf):
     return _long(A.whiten(_seqs(spark, sf), "r", "m"), F.col("r"))
 
 
+KINDS = ("k1", "k2", "k3", "low")
+
+
 def kl_kinds(spark, sf):
     s = _seqs(spark, sf)
     k = [A.approximate_kl(F.col("r"), F.col("v"), x) for x in ("k1", "k2", "k3", "low_var_kl")]
-    return s.select("l_orderkey", *[(F.round(A.total(x), 6) + 0.0).alias(n) for x, n in zip(k, ("k1", "k2", "k3", "low"), strict=True)])
+    each = s.select("l_orderkey", F.posexplode(F.arrays_zip(*[x.alias(n) for x, n in zip(k, KINDS, strict=True)])).alias("t", "y"))
+    return each.select("l_orderkey", "t", *[(F.round(F.col("y")[n], 6) + 0.0).alias(n) for n in KINDS])
 
 
 def policy_loss(spark, sf):
@@ -202,11 +205,12 @@ def is_weights_sequence(spark, sf):
 
 def ratio_bounds(spark, sf):
     s = _seqs(spark, sf)
-    return s.select("l_orderkey", F.round(A.total(A.ratio_clamp(F.col("r"), F.col("v"), 0.98, 1.02)), 6).alias("clamped"), F.round(A.total(A.ratio_inside(F.col("r"), F.col("v"), 0.98, 1.02)), 6).alias("inside"))
+    both = F.arrays_zip(A.ratio_clamp(F.col("r"), F.col("v"), 0.98, 1.02).alias("clamped"), A.ratio_inside(F.col("r"), F.col("v"), 0.98, 1.02).alias("inside"))
+    return s.select("l_orderkey", F.posexplode(both).alias("t", "y")).select("l_orderkey", "t", F.round("y.clamped", 6).alias("clamped"), F.round("y.inside", 6).alias("inside"))
 
 
 def value_loss(spark, sf):
-    return _seqs(spark, sf).select("l_orderkey", F.round(A.total(A.value_loss(F.col("r"), F.col("v"), F.transform("v", lambda x: x * 2), 0.02)), 6).alias("loss"))
+    return _long(_seqs(spark, sf), A.value_loss(F.col("r"), F.col("v"), F.transform("v", lambda x: x * 2), 0.02))
 
 
 def response_lengths(spark, sf):
@@ -222,7 +226,7 @@ def pack_unpack(spark, sf):
     s = _seqs(spark, sf).select((F.floor(F.col("l_orderkey") / 50)).alias("pack"), "l_orderkey", F.transform("m", lambda x: x.cast("long")).alias("m"))
     packed = R.pack(s, "pack", "l_orderkey", "m")
     back = R.unpack(packed, "pack")
-    return back.groupBy("pack").agg(F.count("*").alias("sequences"), F.sum(F.size("tokens")).alias("tokens"), F.sum(A.total(F.col("tokens"))).cast("long").alias("ones"))
+    return back.select("pack", F.col("place").cast("long").alias("place"), F.array_join("tokens", "").alias("tokens"))
 
 
 def skip_list(spark, sf):
@@ -278,14 +282,14 @@ SQL = {
     "debug_halves": "SELECT o_orderkey AS i FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k, count(*) OVER () AS n FROM orders) WHERE k <= CAST(floor(n * 0.3) AS BIGINT) // 2 OR k > n - (CAST(floor(n * 0.3) AS BIGINT) - CAST(floor(n * 0.3) AS BIGINT) // 2)",
     "epoch_shuffle": "SELECT count(*) AS n, count(*) AS positions, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last FROM part",
     "pack_offsets": "SELECT CAST(floor(doc_id / 64) AS BIGINT) AS step, doc_id, n_chars, CAST(sum(n_chars) OVER w AS BIGINT) AS stop, CAST(sum(n_chars) OVER w AS BIGINT) - n_chars AS start FROM documents WINDOW w AS (PARTITION BY floor(doc_id / 64) ORDER BY doc_id)",
-    "discounted_return": f"""WITH {_Q}, z AS (SELECT *, max(CASE WHEN m = 1 THEN t END) OVER (PARTITION BY l_orderkey) AS last FROM q), y AS (SELECT *, -0.1 * r * m + CASE WHEN t = last THEN 1 ELSE 0 END AS own FROM z WHERE last IS NOT NULL)
+    "discounted_return": f"""WITH {_Q}, z AS (SELECT *, max(CASE WHEN m = 1 THEN t END) OVER (PARTITION BY l_orderkey) AS last FROM q), y AS (SELECT *, -0.1 * r * m + CASE WHEN t = last THEN 1 ELSE 0 END AS own FROM z)
  SELECT a.l_orderkey, CAST(a.t AS INT) AS t, round(sum(b.own * 0.9 ** (b.t - a.t)), 10) AS x FROM y a JOIN y b ON a.l_orderkey = b.l_orderkey AND b.t >= a.t GROUP BY ALL""",
     "gae": f"""WITH {_Q}, d AS (SELECT *, r + 0.99 * coalesce(lead(v) OVER (PARTITION BY l_orderkey ORDER BY t), 0) - v AS d FROM q)
  SELECT a.l_orderkey, CAST(a.t AS INT) AS t, round(sum(b.d * (0.99 * 0.95) ** (b.t - a.t)), 6) AS x FROM d a JOIN d b ON a.l_orderkey = b.l_orderkey AND b.t >= a.t GROUP BY ALL""",
     "group_returns": f"WITH {_Q} SELECT l_orderkey, CAST(t AS INT) AS t, round(len - 0.1 * r, 6) AS x FROM q",
     "masked_mean": f"WITH {_Q}, o AS (SELECT l_orderkey, sum(r * m) AS s, greatest(sum(m), 1) AS n FROM q GROUP BY 1) SELECT round(sum(s / n), 6) AS mean_of_means, round(sum(s), 6) AS total FROM o",
     "whiten": f"WITH {_Q}, z AS (SELECT sum(r * m) / sum(m) AS mean, (sum(r * r * m) / sum(m) - (sum(r * m) / sum(m)) ** 2) * sum(m) / (sum(m) - 1) AS var FROM q) SELECT l_orderkey, CAST(t AS INT) AS t, round((r - mean) / sqrt(var + 1e-8), 6) AS x FROM q, z",
-    "kl_kinds": f"WITH {_Q} SELECT l_orderkey, round(sum(r - v), 6) + 0.0::DOUBLE AS k1, round(sum((r - v) ** 2 / 2), 6) + 0.0::DOUBLE AS k2, round(sum(exp(v - r) - 1 - (v - r)), 6) + 0.0::DOUBLE AS k3, round(sum(least(greatest(exp(v - r) - 1 - (v - r), -10), 10)), 6) + 0.0::DOUBLE AS low FROM q GROUP BY 1",
+    "kl_kinds": f"WITH {_Q} SELECT l_orderkey, CAST(t AS INT) AS t, round(r - v, 6) + 0.0::DOUBLE AS k1, round((r - v) ** 2 / 2, 6) + 0.0::DOUBLE AS k2, round(exp(v - r) - 1 - (v - r), 6) + 0.0::DOUBLE AS k3, round(least(greatest(exp(v - r) - 1 - (v - r), -10), 10), 6) + 0.0::DOUBLE AS low FROM q",
     "policy_loss": f"""WITH {_Q}, z AS (SELECT l_orderkey, t, exp(-10 * (v - r)) AS ratio, r - v AS a FROM q), y AS (SELECT *, -ratio * a AS p, -least(greatest(ratio, 0.8), 1.28) * a AS b FROM z)
  SELECT l_orderkey, CAST(t AS INT) AS t, round(CASE WHEN a < 0 THEN least(-3.0 * a, greatest(p, b)) ELSE greatest(p, b) END, 6) + 0.0::DOUBLE AS loss, CASE WHEN b > p THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS clipped FROM y""",
     "sequence_kl": f"""WITH {_Q}, k AS (SELECT l_orderkey, sum((v - r) * m) / greatest(sum(m), 1) AS kl FROM q GROUP BY 1)
@@ -294,12 +298,12 @@ SQL = {
  SELECT l_orderkey, round(sum(w / mean), 6) AS w, CAST(sum(CASE WHEN bad = 0 AND raw BETWEEN 0.5 AND 2.0 THEN m ELSE 0 END) AS DOUBLE) AS m FROM w, z GROUP BY 1""",
     "is_weights_sequence": f"""WITH {_Q}, k AS (SELECT l_orderkey, sum((r - v) * m) AS s, sum((r - v) * m) / greatest(sum(m), 1) AS g, sum(m) AS n FROM q GROUP BY 1)
  SELECT l_orderkey, round(least(greatest(exp(s), 0.9), 1.1) * n, 6) AS clip, CASE WHEN exp(g) BETWEEN 0.97 AND 1.03 THEN CAST(n AS DOUBLE) ELSE 0.0::DOUBLE END AS mask FROM k""",
-    "ratio_bounds": f"WITH {_Q} SELECT l_orderkey, round(sum(least(greatest(exp(r - v), 0.98), 1.02)), 6) AS clamped, round(sum(CASE WHEN exp(r - v) BETWEEN 0.98 AND 1.02 THEN exp(r - v) ELSE 0 END), 6) AS inside FROM q GROUP BY 1",
-    "value_loss": f"WITH {_Q} SELECT l_orderkey, round(sum(greatest((r - 2 * v) ** 2, (v + least(greatest(r - v, -0.02), 0.02) - 2 * v) ** 2)), 6) AS loss FROM q GROUP BY 1",
+    "ratio_bounds": f"WITH {_Q} SELECT l_orderkey, CAST(t AS INT) AS t, round(least(greatest(exp(r - v), 0.98), 1.02), 6) AS clamped, round(CASE WHEN exp(r - v) BETWEEN 0.98 AND 1.02 THEN exp(r - v) ELSE 0 END, 6) AS inside FROM q",
+    "value_loss": f"WITH {_Q} SELECT l_orderkey, CAST(t AS INT) AS t, round(greatest((r - 2 * v) ** 2, (v + least(greatest(r - v, -0.02), 0.02) - 2 * v) ** 2), 6) AS x FROM q",
     "response_lengths": f"WITH {_Q} SELECT l_orderkey, CAST(coalesce(any_value(len) - min(CASE WHEN m = 1 THEN t END), 0) AS INT) AS n, CAST(ceil(any_value(len) / 8.0) * 8 AS INT) AS padded FROM q GROUP BY 1",
     "mask_segments": f"""WITH {_Q}, g AS (SELECT *, sum(1 - m) OVER (PARTITION BY l_orderkey ORDER BY t) AS run FROM q), h AS (SELECT l_orderkey, run, string_agg(printf('%.2f,', r), '' ORDER BY t) AS x FROM g WHERE m = 1 GROUP BY ALL)
  SELECT o.l_orderkey, coalesce(string_agg(x, '|' ORDER BY run), '') AS text FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN h USING (l_orderkey) GROUP BY 1""",
-    "pack_unpack": "SELECT CAST(floor(l_orderkey / 50) AS BIGINT) AS pack, count(DISTINCT l_orderkey) AS sequences, count(*) AS tokens, CAST(sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS BIGINT) AS ones FROM lineitem GROUP BY 1",
+    "pack_unpack": f"WITH {_Q}, s AS (SELECT l_orderkey, string_agg(CAST(m AS VARCHAR), '' ORDER BY t) AS tokens FROM q GROUP BY 1) SELECT CAST(floor(l_orderkey / 50) AS BIGINT) AS pack, row_number() OVER (PARTITION BY floor(l_orderkey / 50) ORDER BY l_orderkey) - 1 AS place, tokens FROM s",
     "skip_list": "WITH c AS (SELECT user_id, count(*) - sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS n FROM events GROUP BY 1) SELECT user_id, CAST(n AS BIGINT) AS left FROM c WHERE n > 0",
     "buffer_valid_groups": "SELECT event_id, user_id FROM (SELECT *, count(*) OVER w AS n, sum(CASE WHEN trim(coalesce(props, '')) <> '' THEN 1 ELSE 0 END) OVER w AS f FROM events WINDOW w AS (PARTITION BY user_id)) WHERE n >= 16 AND f >= 16",
     "newest_groups": "SELECT user_id, max(ts) AS newest FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,10 +14,13 @@ from lattika.operators.ordered import numbered
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local one if driver and executors are one process; else an error."""
     import tempfile
 
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattika-")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="lattika-")
 
 
 def parse_slice(path: str) -> tuple[str, int | None, int | None]:
@@ -50,9 +54,13 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | str | No
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """JSON lines or one JSON array, by the first sign in the file."""
-    head = spark.read.text(path).filter(F.trim("value") != "").select(F.substring(F.trim("value"), 1, 1).alias("c")).first()
-    return spark.read.schema(schema).option("multiLine", bool(head and head[0] == "[")).json(path)
+    """JSON lines or JSON arrays, each file by its first sign. Lines are read in splits; an array is parsed as a stream, item by item, by the task of its file."""
+    first = F.substring(F.trim("value"), 1, 1)
+    heads = spark.read.text(path).filter(F.trim("value") != "").select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), first.alias("c"))
+    kinds = {r["file"]: r["c"] for r in heads.groupBy("file").agg(F.min_by("c", "at").alias("c")).collect()}  # a row for each file
+    arrays, lines = [f for f, c in kinds.items() if c == "["], [f for f, c in kinds.items() if c != "["]
+    parts = [spark.read.schema(schema).option("multiLine", many).json(files) for files, many in ((arrays, True), (lines, False)) if files]
+    return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0] if parts else spark.createDataFrame([], spark.read.schema(schema).json(path).schema)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -61,9 +69,20 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def write_json_array(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One JSON array in each part file: meant for outputs that people open."""
-    rows = df.select(F.to_json(F.struct("*")).alias("j"), F.spark_partition_id().alias("p"))
-    rows.groupBy("p").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value")).select("value").write.mode(mode).text(path)
+    """One JSON array in each part file, written row by row: the first line opens it, each further one begins with a comma, the last closes it."""
+    rows = df.select(F.to_json(F.struct("*")).alias("j"))
+
+    def lines(batches):
+        opened = False
+        for batch in batches:
+            text = batch.column(0).to_pylist()
+            if text:
+                out = [("," if opened or k else "[") + x for k, x in enumerate(text)]
+                opened = True
+                yield pa.RecordBatch.from_pydict({"value": out})
+        yield pa.RecordBatch.from_pydict({"value": ["]" if opened else "[]"]})
+
+    rows.mapInArrow(lines, "value string").write.mode(mode).text(path)
 
 
 def trajectory_name(prompt_id, question):
@@ -86,6 +105,21 @@ def convert_splits(spark: SparkSession, splits: dict[str, list[str]], path: str)
         spark.read.parquet(*shards).write.mode("overwrite").json(f"{path}/{split}")
 
 
+def save_rows(df: DataFrame, folder: str, rollout: int) -> None:
+    """Rows of a rollout for a later look: a folder for each rollout, written once."""
+    df.write.mode("overwrite").parquet(f"{folder}/rollout={rollout}")
+
+
+def load_rows(spark: SparkSession, folder: str, rollout: int) -> DataFrame:
+    return spark.read.parquet(f"{folder}/rollout={rollout}")
+
+
+def prompt_text(df: DataFrame, prompt: str = "prompt", label: str | None = None) -> DataFrame:
+    """Adds the text of the first message of a list of messages as `text`, and the ground truth of a struct as `label`."""
+    out = df.withColumn("text", F.get(F.col(prompt), 0)["content"])
+    return out.withColumn("label", F.col(label)["ground_truth"]) if label else out
+
+
 def reshape_messages(df: DataFrame, messages: str = "messages") -> DataFrame:
     """Raises on roles other than system, user, assistant and tool."""
     bad = F.exists(messages, lambda m: ~m["role"].isin("system", "user", "assistant", "tool"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -77,3 +78,64 @@ def windowed(events: DataFrame, ts: str, width: str, late: str, *keys: str) -> D
     """start, keys, n: counts of event-time windows; items later than `late` are dropped."""
     stream = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     return stream.groupBy(F.window(ts, width), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
+
+
+def interval_statistics(stream: DataFrame, group: str, value: str) -> DataFrame:
+    """interval, total, groups, size, mean: what came in with each trigger alone; the next one starts from nothing."""
+    spark = stream.sparkSession
+    place = f"{shared_folder(spark)}/intervals-{uuid.uuid4().hex}"
+
+    def save(df: DataFrame, batch: int) -> None:
+        each = df.groupBy(group).agg(F.count("*").alias("n"), F.sum(value).alias("s"))
+        total = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("groups"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("size"), F.coalesce(F.sum("s") / F.sum("n"), F.lit(0.0)).alias("mean"))
+        total.coalesce(1).write.mode("overwrite").parquet(f"{place}/out/interval={batch}")
+
+    stream.writeStream.option("checkpointLocation", f"{place}/state").foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{place}/out")
+
+
+class GroupBuffer:
+    """Items that several writers append and a reader takes out by complete groups, each group once.
+
+    Both sides are tables in a folder that all share: a write appends files whole, and
+    a read notes the groups it hands out before it returns them, so that neither waits
+    for the other. transform: what is made of the items of complete groups.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, group: str, size: int, transform=None):
+        self.spark, self.folder, self.group, self.size, self.transform = spark, folder, group, size, transform
+        self.schema = None
+
+    def write(self, items: DataFrame) -> None:
+        self.schema = items.schema
+        items.write.mode("append").parquet(f"{self.folder}/items")
+
+    def _waiting(self) -> DataFrame:
+        items = self.spark.read.schema(self.schema).parquet(f"{self.folder}/items")
+        taken = self.spark.read.schema(f"`{self.group}` {self.schema[self.group].dataType.simpleString()}, reading long").parquet(f"{self.folder}/taken")
+        return items.join(taken.select(self.group).distinct(), self.group, "left_anti")
+
+    def ready(self) -> DataFrame:
+        """group, n: the complete groups that nobody has taken."""
+        if self.schema is None:
+            raise ValueError("nothing was written yet")
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/taken")
+        fs_path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(fs_path)
+        return self._waiting().groupBy(self.group).agg(F.count("*").alias("n")).filter(F.col("n") >= self.size)
+
+    def read(self) -> DataFrame:
+        """The items of the groups that are complete by now, transformed; they are not handed out again."""
+        reading = uuid.uuid4().int >> 65
+        self.ready().select(self.group, F.lit(reading).alias("reading")).write.mode("append").parquet(f"{self.folder}/taken")
+        mine = self.spark.read.parquet(f"{self.folder}/taken").filter(F.col("reading") == reading).select(self.group)
+        out = self.spark.read.schema(self.schema).parquet(f"{self.folder}/items").join(mine, self.group, "left_semi")
+        return self.transform(out) if self.transform else out
+
+    def poll(self, least: int, tries: int = -1, wait: float = 1.0) -> DataFrame:
+        """What can be read once at least so many items are in complete groups; tries: looks before it gives up with an error, -1 for no end."""
+        while (self.ready().agg(F.sum("n")).first()[0] or 0) < least:
+            tries -= 1
+            if tries == 0:
+                raise TimeoutError("too few items in complete groups")
+            time.sleep(wait)
+        return self.read()
