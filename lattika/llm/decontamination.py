@@ -1,4 +1,11 @@
-"""Benchmark decontamination with one Aho-Corasick automaton over normalised test items."""
+"""Benchmark decontamination with one Aho-Corasick automaton over normalised test items.
+
+Items that would make the automaton too large go through a filter first: a Bloom
+filter of the hashes of their windows, of bounded size, is broadcast, one pass over
+the documents finds the hashes that occur, and only windows with one of these enter
+the automaton, which decides. What is held and broadcast grows with the windows that
+occur in documents, not with the benchmarks.
+"""
 
 from __future__ import annotations
 
@@ -11,14 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattika.llm.common import by_position, small_batches, table
+from lattika.llm.common import by_position, durable, small_batches, string_buffers, table
+from lattika.llm.repeats import gram_hashes
+from lattika.llm.suffix_automata import as_words
 
 #: Words of a window.
 WINDOW = 10
 #: An item of fewer words can stand in a clean document; it contaminates one of whose words it makes up this share at least.
 SHORT, SHARE = 8, 0.5
-#: Normalised bytes of items in one automaton; it has up to WINDOW times as many nodes. More items take further passes.
+#: Bytes of items in one automaton; it has up to WINDOW times as many nodes. Of more items only windows that occur count, and more of these take further passes.
 AUTOMATON_BYTES = 256_000
+#: Bits of the filter at most, bits for each window, reads for each look-up, and bytes of a block in which it is put together.
+FILTER_BITS, BITS, READS, BLOCK = 1 << 28, 16, 4, 1 << 16
 #: Lower-cases A-Z, keeps digits, a-z and the bytes of other characters, and makes all else a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -32,22 +43,89 @@ def windows_of(words: list[bytes], window: int) -> list[tuple[bytes, ...]]:
     return [tuple(words[k : k + window]) for k in range(max(1, len(words) - window + 1))] if words else []
 
 
-def item_passes(items: DataFrame, item_id: str, text: str, window: int) -> list[dict[str, tuple[int, list[str]]]]:
-    """Windows (as scanned text) with their length and items, split so that each part fits one automaton."""
-    out: list[dict] = []
-    room = 0
-    for row in items.select(F.col(item_id).cast("string"), F.col(text).cast("string")).toLocalIterator(prefetchPartitions=False):
-        words = words_of(row[1])
-        size = sum(map(len, words)) + len(words)
-        if not out or room < size:
-            out.append({})
-            room = AUTOMATON_BYTES
-        room -= size
-        for w in windows_of(words, window):
-            _, names = out[-1].setdefault(f" {b' '.join(w).decode('latin-1')} ", (len(w), []))
-            if (name := row[0] or "") not in names:
-                names.append(name)
-    return out or [{}]
+def window_hashes(data: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of some texts, and the number of the text of each."""
+    words, at = as_words(np.frombuffer(NORMAL, np.uint8)[data], ends)
+    if len(words) < window:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    start = np.arange(len(words) - window + 1)
+    owner = np.searchsorted(at, start, side="right") - 1
+    inside = start + window <= at[owner + 1]
+    return gram_hashes(words, window)[inside], owner[inside]
+
+
+def item_windows(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
+    """name, n (words), pattern (as scanned), hash (null for a window of fewer words) of all windows of the items."""
+    small_batches(items.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(t)
+                wins = windows_of(words, window)
+                if not wins:
+                    continue
+                line = np.frombuffer(b" ".join(words), np.uint8)
+                hashes = window_hashes(line, np.array([0, len(line)]), window)[0].view(np.int64).tolist() if len(words) >= window else [None]
+                yield pa.RecordBatch.from_pydict({"name": [name or ""] * len(wins), "n": pa.array([len(w) for w in wins], pa.int32()), "pattern": pa.array([b" " + b" ".join(w) + b" " for w in wins], pa.binary()), "hash": pa.array(hashes, pa.int64())})
+
+    return items.select(F.col(item_id).cast("string"), F.col(text).cast("string")).mapInArrow(run, "name string, n int, pattern binary, hash long")
+
+
+def places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    step = (hashes >> np.uint64(32)) | np.uint64(1)
+    return [((hashes + np.uint64(k) * step) & np.uint64(bits - 1)).astype(np.int64) for k in range(READS)]
+
+
+def occurring(windows: DataFrame, docs: DataFrame, text: str, window: int) -> DataFrame:
+    """The windows whose hash occurs in a document, and those of fewer words."""
+    spark = docs.sparkSession
+    windows = durable(windows)
+    bits = min(FILTER_BITS, 1 << max(20, (BITS * windows.count()).bit_length()))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            for at in places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits):
+                np.bitwise_or.at(own, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
+        for k in range(0, len(own), BLOCK):
+            if own[k : k + BLOCK].any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int64()), "bits": pa.array([own[k : k + BLOCK].tobytes()], pa.binary())})
+
+    def unite(key: tuple, rows: pa.Table) -> pa.Table:
+        every = [np.frombuffer(x, np.uint8) for x in rows["bits"].to_pylist()]
+        return pa.table({"block": rows["block"].slice(0, 1), "bits": pa.array([np.bitwise_or.reduce(every).tobytes()], pa.binary())})
+
+    blocks = windows.filter("hash is not null").select("hash").mapInArrow(fill, "block long, bits binary").groupBy("block").applyInArrow(unite, "block long, bits binary")
+    table_ = np.zeros(bits // 8, np.uint8)
+    for block in blocks.toLocalIterator():  # FILTER_BITS at most
+        table_[block["block"] : block["block"] + len(block["bits"])] = np.frombuffer(block["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(table_)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = np.unique(window_hashes(*string_buffers(batch.column(0)), window)[0])
+            hit = np.ones(len(hashes), bool)
+            for at in places(hashes, bits):
+                hit &= (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            yield pa.RecordBatch.from_pydict({"hash": pa.array(hashes[hit].view(np.int64))})
+
+    found = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(find, "hash long").distinct()
+    return windows.filter("hash is null").unionByName(windows.join(found, "hash", "left_semi").select(*windows.columns))
+
+
+def item_passes(windows: DataFrame) -> Iterator[dict[str, tuple[int, list[str]]]]:
+    """Windows (as scanned text) with their length and items, a part that fits one automaton after the other."""
+    out: dict = {}
+    room = AUTOMATON_BYTES * WINDOW
+    grouped = windows.groupBy("pattern").agg(F.max("n").alias("n"), F.collect_set("name").alias("names"))
+    for row in grouped.toLocalIterator(prefetchPartitions=False):
+        if out and room < len(row["pattern"]):
+            yield out
+            out, room = {}, AUTOMATON_BYTES * WINDOW
+        out[bytes(row["pattern"]).decode("latin-1")] = (row["n"], row["names"])
+        room -= len(row["pattern"])
+    yield out
 
 
 _BUILT: dict = {}
@@ -114,8 +192,9 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
     telling is true if a window of SHORT words or more occurs, or a shorter item makes
     up SHARE of the words: any other hit is of words that clean texts have as well.
 
-    A text is scanned once for each automaton; items of up to AUTOMATON_BYTES share
-    one, so that what is broadcast is bounded whatever the number of items. Null
+    A text is scanned once for each automaton. Items of up to AUTOMATON_BYTES share
+    one; of more items only the windows that occur in docs are put into automata of
+    that size. Null
     texts have no words; null item ids count under the empty name; items without
     words match nothing; an empty item table leaves all documents clean. Rows are
     neither dropped nor merged. Other columns of docs are left out.
@@ -151,11 +230,15 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
 
         return run
 
-    parts = item_passes(items, item_id, item_text, window)
-    for k, part in enumerate(parts):
-        last = k == len(parts) - 1
+    windows = item_windows(items, item_id, item_text, window)
+    if (items.agg(F.sum(F.octet_length(F.col(item_text).cast("string")))).first()[0] or 0) > AUTOMATON_BYTES:
+        windows = occurring(windows, kept, "__text", window)
+    sc = docs.sparkSession.sparkContext
+    shared = [sc.broadcast(part) for part in item_passes(windows)]
+    for k, part in enumerate(shared):
+        last = k == len(shared) - 1
         schema = f"{head}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>, telling boolean" if last else state.schema
-        state = state.mapInArrow(one_pass(docs.sparkSession.sparkContext.broadcast(part), last), schema)
+        state = state.mapInArrow(one_pass(part, last), schema)
     return state
 
 

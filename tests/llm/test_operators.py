@@ -91,13 +91,27 @@ def test_decontamination(spark, tmp_path):
 def test_decontamination_in_passes_and_spans(spark, monkeypatch):
     texts = ["x " + "w%d " % i * 10 + "y" for i in range(8)]
     items = spark.createDataFrame([(i, "w%d " % i * 10) for i in range(8)], "item_id long, text string")
-    monkeypatch.setattr(decontamination, "AUTOMATON_BYTES", 60)
+    monkeypatch.setattr(decontamination, "AUTOMATON_BYTES", 6)
     rows = decontamination.find_contamination(docs_of(spark, texts), items).collect()
     assert len(rows) == 8 and all(r.n_hit == 10 and r["items"] == [str(r.doc_id)] for r in rows)
     assert all(texts[r.doc_id][s.start : s.end] == ("w%d " % r.doc_id * 10).strip() for r in rows for s in r.spans)
     assert decontamination.drop_contaminated(docs_of(spark, texts), items.filter("item_id < 3")).count() == 5
 
 
+def test_many_items_pass_a_filter(spark, tmp_path, monkeypatch):
+    texts = passages(32, 30, 12)
+    items = [(i, t) for i, t in enumerate(texts[:4])] + [(100 + i, " ".join(f"u{i}w{k}" for k in range(40))) for i in range(200)] + [(900, "sat on the"), (901, None), (None, texts[5])]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_of(spark, texts)
+    whole = {r.doc_id: r.asDict() for r in decontamination.find_contamination(docs, items).collect()}
+    monkeypatch.setattr(decontamination, "AUTOMATON_BYTES", 3000)
+    windows = decontamination.item_windows(items, "item_id", "text", 10)
+    left = decontamination.occurring(windows, docs, "text", 10)
+    assert left.filter("name >= '100' and name < '300'").count() < 100 < windows.filter("name >= '100' and name < '300'").count()
+    assert {r.doc_id: r.asDict() for r in decontamination.find_contamination(docs, items).collect()} == whole
+    assert any(r["n_hit"] for r in whole.values())
+
+
 def test_short_items_leave_clean_documents(spark, monkeypatch):
     nine, long = "i j k l m n o p q", "a b c d e f g h i j k l"
     items = spark.createDataFrame([(1, "Yes"), (2, "the capital"), (3, nine), (4, long)], "item_id long, text string")
