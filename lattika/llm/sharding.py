@@ -65,7 +65,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", doc_id
 
     size: UTF-8 bytes and 1. A null text has size 1, crc32 0 and a group of its
     own, apart from the empty text. Null doc_ids stand first; repeated doc_ids are
-    separate rows that tie. Shards can stay empty when there are few groups. An
+    separate rows, by size and crc32 of their texts, beyond which they are equal. Shards can stay empty when there are few groups. An
     empty table gives no rows. Other columns of docs are left out.
     """
     content = F.col(f"`{text}`").cast("string")
@@ -91,7 +91,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", doc_id
         cold = where.filter(F.col("n") <= rows // SHARE).select("key", "shard")
         placed = base.join(hot, "key").unionByName(base.join(hot, "key", "left_anti").join(cold, "key"))
     placed = placed.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"))
-    slotted = running(placed, [F.col("doc_id").asc_nulls_first()], {"slot": F.lit(1)}, rows, within=["shard"])
+    slotted = running(placed, [F.col("doc_id").asc_nulls_first(), F.col("size").asc(), F.col("text_crc32").asc()], {"slot": F.lit(1)}, rows, within=["shard"])
     return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
