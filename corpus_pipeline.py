@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattika.llm.common import durable_table, release, table
+from lattika.llm.common import drop_tables, durable_table, release, table
 from lattika.llm.decontamination import drop_contaminated
 from lattika.llm.language_id import drop_foreign, learn
 from lattika.llm.near_dedup import keep_one_of_each
@@ -51,8 +51,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each result written into the shared folder before the next one reads it: nothing is computed twice, and a lost executor costs its stage alone."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
         docs = durable_table(stage(spark, docs, sf_dir))
+        drop_tables(*before)
+        before = [docs]
         release(spark)
     return docs
