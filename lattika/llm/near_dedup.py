@@ -32,8 +32,10 @@ from lattika.llm.suffix_automata import as_words
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands and their registers: a pair at the threshold shares no bucket of weight 1 in (1 - 0.8**5)**24, or 1 of 14,000 cases.
 BANDS, REGISTERS = 24, 5
-#: Texts of a bucket that one task compares with as many others; more are compared chunk by chunk.
-CHUNK = 2048
+#: Texts of a bucket, and their shingles, that one task compares with as many others; more are compared chunk by chunk.
+CHUNK, CHUNK_SHINGLES = 2048, 2_000_000
+#: Buckets of more than this share of all rows get their columns by broadcast: fewer than SHARE of them can exist.
+SHARE = 1000
 #: Cells of the table of texts and shingles that a task holds at once.
 CELLS = 32_000_000
 
@@ -193,6 +195,16 @@ def joined_groups(group: DataFrame, links: DataFrame) -> DataFrame:
     return durable(old.unionByName(new))
 
 
+def with_bucket(rows: DataFrame, buckets: DataFrame, total: int) -> DataFrame:
+    """rows with the columns of their bucket (m: its rows, of total rows in all), if it is among buckets.
+
+    Rows of hot buckets stay where they are; only the others go to a task by bucket.
+    """
+    hot = buckets.filter(F.col("m") > total // SHARE)
+    few = rows.join(F.broadcast(hot.select("bucket")), "bucket", "left_anti").join(buckets.filter(F.col("m") <= total // SHARE), "bucket")
+    return few.unionByName(rows.join(F.broadcast(hot), "bucket"))
+
+
 def wanted_sets(packs: DataFrame, nodes: DataFrame) -> DataFrame:
     by_pack = nodes.groupBy(F.shiftright("node", 20).alias("pack")).agg(F.collect_list("node").alias("nodes"))
     return packs.join(by_pack, "pack").mapInArrow(shingle_rows, "node long, set binary")
@@ -210,8 +222,9 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     packs = make_packs(docs, doc_id, text)
     signed = durable(packs.mapInArrow(band_rows, "node long, first long, key binary, n long, bands array<long>"))
     member = signed.select("node", "n", F.explode("bands").alias("bucket"))
+    total = signed.agg(F.sum(F.size("bands"))).first()[0] or 0
     size = member.groupBy("bucket").agg(F.count("*").alias("m"), F.min(F.struct("node", "n")).alias("lead")).filter("m > 1")
-    in_bucket = durable(member.join(size.select("bucket", "m", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "bucket"))
+    in_bucket = durable(with_bucket(member, size.select("bucket", "m", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), total))
     fits = F.least("n", "lead_n") >= SIMILAR * F.greatest("n", "lead_n")
     pairs = durable(in_bucket.filter(fits & (F.col("node") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
     # whoever shares a bucket may be compared later
@@ -219,9 +232,10 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     group = components(verify(pairs, sets))
     release(spark)
     # what is left to compare: texts of a bucket, besides its leader, in several groups
-    state = in_bucket.filter("m > 2").join(group, "node", "left").filter("node <> lead").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    open_ = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).filter("x <> y")
-    state = durable(state.join(open_.select("bucket", "chunks"), "bucket"))
+    state = in_bucket.filter("m > 2").join(group, "node", "left").filter("node <> lead").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+    chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks")
+    open_ = state.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y"), chunks).filter("x <> y")
+    state = durable(with_bucket(state, open_.select("bucket", "m", "chunks"), total))
     own = F.pmod(F.xxhash64("node"), "chunks").cast("int")
     dealt = state.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "component")

@@ -359,6 +359,24 @@ def test_near_dedup_of_other_repeat_counts(spark):
     assert sum(r.kept for r in got.values()) == len(texts) // 2
 
 
+@pytest.mark.parametrize("share", [1, 10**9])
+def test_near_dedup_by_small_chunks(spark, monkeypatch, share):
+    rng = random.Random(16)
+    monkeypatch.setattr(near_dedup, "SHARE", share)
+    monkeypatch.setattr(near_dedup, "CHUNK", 3)
+    monkeypatch.setattr(near_dedup, "CHUNK_SHINGLES", 150)
+    texts, base = [], [rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(80)]
+    for _ in range(40):
+        c = list(base)
+        for _ in range(rng.randint(0, 3)):
+            c[rng.randrange(80)] = "Z" + rng.choice("abc")
+        texts.append(" ".join(c))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    links = [(a, b) for a in range(40) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.group_id for r in near_dedup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[d] for d in range(40)] == grouped(40, links)
+
+
 def test_near_dedup_of_a_doc_id_with_several_texts(spark):
     rng = random.Random(16)
     a, b, c = (" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(80)) for _ in range(3))
