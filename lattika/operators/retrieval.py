@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 SIGNS = ".,!?;:()[]{}\"'/\\"
 #: The usual constants of BM25 (fixed values).
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Words of queries (each once for a query) that a word search may broadcast.
+ASKED_WORDS = 1_000_000
 #: Rows of queries that a vector search may broadcast; more go in blocks.
 QUERY_BLOCK = 10_000
 
@@ -45,20 +47,24 @@ def bm25_okapi(items: DataFrame, questions: DataFrame) -> DataFrame:
 def bm25_search(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
     """query, doc, score, rank: the k best documents of one corpus(doc, text) for each of queries(query, text).
 
-    An inverted index joined on words; inverse document frequency
-    ln(1 + (N - n + 0.5) / (n + 0.5)), always positive. Documents without a common
-    word are not returned.
+    Inverse document frequency ln(1 + (N - n + 0.5) / (n + 0.5)), always positive.
+    Documents without a common word are not returned. Up to ASKED_WORDS words of
+    queries are broadcast: documents are shuffled once, by their asked words, and
+    each partition keeps its best k. More are joined on words.
     """
     docs = corpus.select("doc", tokens(F.col("text")).alias("w"))
     stats = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("mean"))
     asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("word")).groupBy("query", "word").agg(F.count("*").alias("qf"))
-    # only words that are asked for enter the index
-    index = docs.select("doc", F.size("w").alias("len"), F.explode("w").alias("word")).join(asked.select("word").distinct(), "word", "left_semi").groupBy("word", "doc", "len").agg(F.count("*").alias("tf"))
+    small = asked.limit(ASKED_WORDS + 1).count() <= ASKED_WORDS
+    sent = F.broadcast if small else lambda df: df
+    # only words that are asked for enter the index; all of a document in one task, where its scores are added up
+    words = docs.select("doc", F.size("w").alias("len"), F.explode("w").alias("word")).join(sent(asked.select("word").distinct()), "word", "left_semi")
+    index = (words.repartition("doc") if small else words).groupBy("word", "doc", "len").agg(F.count("*").alias("tf"))
     df = index.groupBy("word").agg(F.count("*").alias("df"))
-    part = index.join(df, "word").join(asked, "word").crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = F.col("qf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    scored = part.groupBy("query", "doc").agg(F.round(F.sum(gain), 6).alias("score"))
+    weighed = asked.join(sent(df), "word").crossJoin(F.broadcast(stats)).select("query", "word", "mean", (F.col("qf") * idf).alias("weight"))  # one row
+    gain = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+    scored = index.join(sent(weighed), "word").groupBy("query", "doc").agg(F.round(F.sum(gain), 6).alias("score"))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), "doc"))).filter(F.col("rank") <= k)
 
 

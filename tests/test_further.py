@@ -147,3 +147,13 @@ def test_cache_of_prefixes(spark):
 def test_gold_answers(spark):
     rows = spark.createDataFrame([(None, '{"ground_truth": [], "answers": ["x"]}'), ([], ""), (["a"], "b"), (None, None)], "a array<string>, l string")
     assert [r[0] for r in rows.select(G.gold_answers(F.col("a"), F.col("l"))).collect()] == [["x"], [], ["a"], []]
+
+
+def test_word_search_with_many_asked_words(spark, monkeypatch):
+    corpus = spark.createDataFrame([(1, "red red fish, blue"), (2, "Blue bird"), (3, "a fish"), (4, None), (5, "bird fish bird")], "doc long, text string")
+    queries = spark.createDataFrame([(1, "red fish"), (2, "bird bird blue"), (3, "none"), (4, None)], "query long, text string")
+    rows = lambda: sorted(tuple(r) for r in R.bm25_search(corpus, queries, 2).select("query", "rank", "doc", "score").collect())
+    by_broadcast = rows()
+    assert [x[:3] for x in by_broadcast] == [(1, 1, 1), (1, 2, 3), (2, 1, 2), (2, 2, 5)]
+    monkeypatch.setattr(R, "ASKED_WORDS", 0)
+    assert rows() == by_broadcast
