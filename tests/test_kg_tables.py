@@ -9,7 +9,7 @@ from lattika.operators import kg as K
 from lattika.operators import kg_tables as T
 from lattika.plans import catalogue
 
-WHOLE = ["kg_flatten_names", "kg_triples_named", "kg_two_hop_flatten"]
+WHOLE = ["kg_flatten_names", "kg_triples_named", "kg_two_hop_flatten", "kg_format_triples"]
 
 
 @pytest.fixture(scope="module")
