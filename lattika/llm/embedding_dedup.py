@@ -54,6 +54,8 @@ class Graph:
             batch = order[done : done + min(STEP, done)]
             self._insert(batch)
             done += len(batch)
+        if n > 1:
+            self._mend()
 
     def _insert(self, batch: np.ndarray) -> None:
         queries = self.vectors[batch]
@@ -82,12 +84,17 @@ class Graph:
         out = np.full((len(near), most), -1, np.int32)
         for a in range(0, len(near), 128):
             ids, sims = near[a : a + 128], close[a : a + 128]
-            vec = self.vectors[np.maximum(ids, 0)]
-            pair = np.einsum("bid,bjd->bij", vec, vec)
+            some = int((ids >= 0).sum(axis=1).max(initial=1))
+            ids, sims = ids[:, :some], sims[:, :some]
+            vec = self.vectors.take(np.maximum(ids, 0), axis=0)
+            pair = vec @ vec.transpose(0, 2, 1)
             picked = np.zeros(ids.shape, bool)
+            rival, left = np.full(ids.shape, -2, np.float32), np.full(len(ids), most)
             for c in range(ids.shape[1]):
-                rival = np.where(picked, pair[:, c, :], -2).max(axis=1)
-                picked[:, c] = (ids[:, c] >= 0) & (sims[:, c] > rival) & (picked.sum(axis=1) < most)
+                take = np.flatnonzero((ids[:, c] >= 0) & (sims[:, c] > rival[:, c]) & (left > 0))
+                picked[take, c] = True
+                rival[take] = np.maximum(rival[take], pair[take, c])
+                left[take] -= 1
             rank = np.where(picked, 0, np.where(ids >= 0, 1, 2)) * ids.shape[1] + np.arange(ids.shape[1])
             top = np.argsort(rank, axis=1)[:, :most]
             chosen = np.take_along_axis(ids, top, 1)
@@ -108,16 +115,62 @@ class Graph:
         at = np.arange(len(to)) - np.repeat(begin, n)
         fits = at < wide
         new[np.repeat(np.arange(len(nodes)), n)[fits], at[fits]] = frm[fits]
+        # those with as many new links together: tables of candidates are as wide as their widest row
+        by = np.argsort(n, kind="stable")
         for a in range(0, len(nodes), STEP):
-            part = nodes[a : a + STEP]
-            every = np.concatenate([links[part], new[a : a + STEP]], axis=1)
+            part = nodes[by[a : a + STEP]]
+            every = np.concatenate([links[part], new[by[a : a + STEP], : n[by[a : a + STEP]].max()]], axis=1)
             every = np.sort(every, axis=1)[:, ::-1]
             every[:, 1:][every[:, 1:] == every[:, :-1]] = -1
-            sims = np.where(every >= 0, np.einsum("bid,bd->bi", self.vectors[np.maximum(every, 0)], self.vectors[part]), -2)
+            sims = np.where(every >= 0, np.einsum("bid,bd->bi", self.vectors.take(np.maximum(every, 0), axis=0), self.vectors[part]), -2)
             top = np.argsort(-sims, axis=1)[:, : 2 * BEAM]
             every, sims = np.take_along_axis(every, top, 1), np.take_along_axis(sims, top, 1)
             links[part] = self._choose(every, sims, links.shape[1])
 
+    def _mend(self) -> None:
+        """Links that thinning has cut come back in more columns of layer 0: to each node from its nearest neighbour, and to nodes that no path leads to.
+
+        A node takes the nearest of its neighbours that has room.
+        """
+        links, n = self.layers[0], len(self.vectors)
+        extra, used = np.full((n, NEIGHBOURS), -1, np.int32), np.zeros(n, np.int64)
+        todo, free = np.flatnonzero((links[:, 0] >= 0) & ~(links[links[:, 0]] == np.arange(n)[:, None]).any(axis=1)), np.ones(n, bool)
+        while len(todo):
+            near = links[todo]
+            for a in range(0, len(todo), STEP):
+                part = near[a : a + STEP]
+                sims = np.where(part >= 0, np.einsum("bid,bd->bi", self.vectors[np.maximum(part, 0)], self.vectors[todo[a : a + STEP]]), -2)
+                near[a : a + STEP] = np.take_along_axis(part, np.argsort(-sims, axis=1), 1)
+            row = np.arange(len(todo))
+            for c in range(near.shape[1]):
+                row = row[np.argsort(near[row, c], kind="stable")]
+                row = row[~(free[near[row, c]] & (links[near[row, c]] == todo[row][:, None]).any(axis=1))]
+                rest, to = todo[row], near[row, c]
+                at = used[to] + np.arange(len(to)) - np.searchsorted(to, to)
+                fits = (to >= 0) & free[to] & (at < extra.shape[1])
+                extra[to[fits], at[fits]] = rest[fits]
+                used += np.bincount(to[fits], minlength=n)
+                row = row[~fits]
+            if len(row) == len(todo):
+                # no neighbour is reached or has room: a link from the entry leads to the first of them
+                extra = np.concatenate([extra, np.full((n, NEIGHBOURS), -1, np.int32)], axis=1)
+                extra[self.entry, used[self.entry]] = todo[0]
+                used[self.entry] += 1
+            self.layers[0] = np.concatenate([links, extra[:, : used.max()]], axis=1)
+            free = self._reached()
+            todo = np.flatnonzero(~free)
+
+    def _reached(self) -> np.ndarray:
+        """Which nodes a path in layer 0 leads to from the entry."""
+        seen = np.arange(len(self.vectors)) == self.entry
+        new = np.array([self.entry])
+        while len(new):
+            near = np.unique(self.layers[0][new])
+            new = near[near >= 0]
+            new = new[~seen[new]]
+            seen[new] = True
+        return seen
+
     def _beam(self, queries: np.ndarray, start: np.ndarray, l: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         """The width best nodes that a beam finds in a layer for each query, best first; -1 with similarity -2 where there are fewer."""
         q = len(queries)
@@ -125,9 +178,9 @@ class Graph:
         sims = np.full((q, width), -2, np.float32)
         ids[:, : start.shape[1]] = start[:, :width]
         sims[:, : start.shape[1]] = np.where(start[:, :width] >= 0, np.einsum("bid,bd->bi", self.vectors[np.maximum(start[:, :width], 0)], queries), -2)
-        seen = np.zeros((q, len(self.vectors)), bool)
+        seen = np.zeros(q * len(self.vectors), bool)
         rows, cols = np.nonzero(ids >= 0)
-        seen[rows, ids[rows, cols]] = True
+        seen[rows * len(self.vectors) + ids[rows, cols]] = True
         spent = ids < 0
         links = self.layers[l]
         while True:
@@ -138,18 +191,28 @@ class Graph:
                 break
             at = ids[live, best[live]]
             spent[live, best[live]] = True
-            near = links[at].astype(np.int64)
-            ok = (near >= 0) & ~seen[live[:, None], np.maximum(near, 0)]
-            seen[live[:, None].repeat(near.shape[1], 1)[ok], near[ok]] = True
+            near = links.take(at, axis=0).ravel()
+            new = np.flatnonzero(near >= 0)
+            r, near = new // links.shape[1], near.take(new).astype(np.int64)
+            key = live.take(r) * len(self.vectors) + near
+            new = np.flatnonzero(~seen.take(key))
+            r, near = r.take(new), near.take(new)
+            seen[key.take(new)] = True
+            close = np.einsum("id,id->i", self.vectors.take(near, axis=0), queries.take(live.take(r), axis=0))
             # neighbours that lie in no lower beam place are left out
-            close = np.full(near.shape, -2, np.float32)
-            r, c = np.nonzero(ok)
-            close[r, c] = np.einsum("id,id->i", self.vectors[near[r, c]], queries[live[r]])
-            all_ids = np.concatenate([ids[live], np.where(ok, near, -1)], axis=1)
-            all_sims = np.concatenate([sims[live], close], axis=1)
-            all_spent = np.concatenate([spent[live], ~ok], axis=1)
+            new = np.flatnonzero(close > sims[live].min(axis=1).take(r))
+            r, near, close = r.take(new), near.take(new), close.take(new)
+            if not len(r):
+                continue
+            n = np.bincount(r, minlength=len(live))
+            some = np.flatnonzero(n)
+            n = n[some]
+            row, col = np.repeat(np.arange(len(some)), n), np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
+            some = live[some]
+            all_ids, all_sims, all_spent = (np.concatenate([x[some], np.full((len(some), n.max()), y, x.dtype)], axis=1) for x, y in ((ids, -1), (sims, -2), (spent, True)))
+            all_ids[row, width + col], all_sims[row, width + col], all_spent[row, width + col] = near, close, False
             top = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
-            ids[live], sims[live], spent[live] = np.take_along_axis(all_ids, top, 1), np.take_along_axis(all_sims, top, 1), np.take_along_axis(all_spent, top, 1)
+            ids[some], sims[some], spent[some] = (np.take_along_axis(x, top, 1) for x in (all_ids, all_sims, all_spent))
         top = np.argsort(-sims, axis=1, kind="stable")
         return np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1)
 
@@ -229,7 +292,8 @@ def audited_search(graph: Graph, queries: np.ndarray, same: bool = False) -> tup
     if same:
         want[np.arange(len(chosen)), chosen] = False
     width = BEAM
-    while width < n:
+    # a beam wide enough to look at as many nodes as there are costs more than the full search
+    while width == BEAM or width * 2 * NEIGHBOURS < n:
         # the audit comes first: it costs little
         got = np.concatenate([hit for _, hit in graph.blocks(part, width, least)])
         share = (got & want).sum(axis=1) / want.sum(axis=1)

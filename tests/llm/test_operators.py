@@ -607,6 +607,39 @@ def test_audit_counts_no_hit_on_itself(monkeypatch):
     assert audit["audited"] == 40 and len(pairs_of(found)) == 4040
 
 
+def test_every_node_of_a_graph_is_reached_beside_many_near_copies():
+    rng = np.random.default_rng(35)
+    v = rng.normal(size=(5000, 64))
+    v[::9] = v[0] + 0.12 * rng.normal(size=(556, 64))
+    v[0] = rng.normal(size=64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    graph = embedding_dedup.Graph(v, np.arange(5000))
+    seen, new = {graph.entry}, {graph.entry}
+    while new:
+        new = set(graph.layers[0][list(new)].ravel().tolist()) - seen - {-1}
+        seen |= new
+    assert len(seen) == 5000
+    lost = 0
+    for (a, hit), (_, want) in zip(graph.blocks(graph.vectors, embedding_dedup.BEAM, 0.9799), embedding_dedup.exact_blocks(graph.vectors, graph.vectors, 0.9799), strict=True):
+        lost += int((want & ~hit).sum())
+    assert lost < 50
+
+
+def test_beams_are_not_widened_beyond_the_cost_of_a_full_search(monkeypatch):
+    v = unit_rows(33, 8000)
+    v[4000:] = v[:4000]
+    graph = embedding_dedup.Graph(v, np.arange(8000))
+    widths = []
+
+    def nothing(self, queries, width, least):
+        widths.append(width)
+        yield 0, np.zeros((len(queries), 8000), bool)
+
+    monkeypatch.setattr(embedding_dedup.Graph, "blocks", nothing)
+    found, audit = embedding_dedup.audited_search(graph, graph.vectors, same=True)
+    assert widths == [48, 96, 192] and audit["exact"] and pairs_of(found) == exact(graph.vectors, graph.vectors)
+
+
 def test_audit_keeps_small_groups_beside_a_hot_one(monkeypatch):
     v = unit_rows(20, 8000)
     v[:120] = v[0]
