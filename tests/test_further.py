@@ -157,3 +157,19 @@ def test_word_search_with_many_asked_words(spark, monkeypatch):
     assert [x[:3] for x in by_broadcast] == [(1, 1, 1), (1, 2, 3), (2, 1, 2), (2, 2, 5)]
     monkeypatch.setattr(R, "ASKED_WORDS", 0)
     assert rows() == by_broadcast
+
+
+@pytest.mark.parametrize("partitions", ["1", "4", "7"])
+def test_rank_means_are_the_same_in_any_order(spark, data, tmp_path, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r.metric: r["mean"] for r in catalogue.queries()["rank_means"](spark, data).collect()}
+        # the exact mean of views is 1193.815
+        assert got == {"train/click": 1288.84, "train/error": 1178.64, "train/purchase": 1303.09, "train/signup": 1291.9, "train/view": 1193.82}
+        rows = [(1, "a", 0.5), (2, "a", None), (3, "b", float("nan")), (4, "b", 1.0), (5, "c", 1e30), (6, "d", None), (7, None, 2.25)]
+        spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+        got = {r.metric: str(r["mean"]) for r in catalogue.queries()["rank_means"](spark, str(tmp_path)).collect()}
+        assert got == {"train/a": "0.5", "train/b": "nan", "train/c": "1e+30", "train/d": "None", None: "2.25"}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
