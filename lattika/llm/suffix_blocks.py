@@ -1,18 +1,21 @@
 """Suffix-array dedup: repeated byte strings, by blockwise suffix sorting with a difference cover.
 
-A task has a text: the distinct passages with its anchors, one after the other. A
+A block is a text: distinct passages of a task, one after the other, all with an
+anchor together, so that equal windows are in one block. A
 difference cover modulo seven picks three of seven positions as a sample; the
 suffixes that start there are ranked once, by prefix doubling, to the depth of a
 window. The suffixes at the starts of windows are then sorted one bucket at a time,
 a bucket being a range of first bytes: by their first seven bytes, and where these
 tie by ranks. For any two suffixes some distance below seven leads both to sample
 positions, and the ranks there tell their order. Neighbours in the order with
-50 bytes in common are equal windows. Memory holds the text, the ranks and one bucket.
+50 bytes in common are equal windows. Memory holds the passages of the task, the ranks
+of a block and one bucket; blocks are small, so that most of a sort stays in the caches.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -30,6 +33,8 @@ WINDOW = 50
 MODULUS, COVER = 7, (0, 1, 3)
 #: Suffixes of a bucket, unless more of them start with the same two bytes.
 BUCKET = 262_144
+#: Symbols of a block, unless passages of one hash have more.
+BLOCK = 524_288
 SHAPE = Shape(window=WINDOW, gram=18, symbol="u1", near=8)
 
 
@@ -37,14 +42,42 @@ def as_bytes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return data, ends
 
 
-def dense_rank(key: np.ndarray) -> np.ndarray:
-    """The number of smaller distinct values of each value."""
-    order = np.argsort(key)
-    new = np.zeros(len(key), np.int64)
-    new[1:] = key[order][1:] != key[order][:-1]
-    out = np.empty(len(key), np.int64)
-    out[order] = np.cumsum(new)
-    return out
+def sort_with(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys (below 2**bits) in order, and their order. Where an integer holds a key and its number, plain integers are sorted: that takes a third of the time."""
+    room = len(key).bit_length()
+    if bits + room > 63:
+        order = np.argsort(key)
+        return key[order], order
+    both = (key << room) | np.arange(len(key))
+    both.sort()
+    return both >> room, both & ((1 << room) - 1)
+
+
+def opens_group(key: np.ndarray) -> np.ndarray:
+    """Of keys in order, those that differ from the one before."""
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return new
+
+
+def sort_sevens(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of numbers of seven bytes, and which of them, in order, differ from the one before: by five bytes, then by all."""
+    high, order = sort_with(key >> 16, 40)
+    group = np.cumsum(opens_group(high)) - 1
+    value, again = sort_with((group << 16) | (key[order] & 0xFFFF), len(key).bit_length() + 16)
+    return order[again], opens_group(value)
+
+
+def group_starts(new: np.ndarray) -> np.ndarray:
+    """For each place in an order, the first place of its group."""
+    return np.flatnonzero(new)[np.cumsum(new) - 1]
+
+
+def in_groups(new: np.ndarray) -> np.ndarray:
+    """The places in an order that belong to groups of several."""
+    alone = new.copy()
+    alone[:-1] &= new[1:]
+    return np.flatnonzero(~alone)
 
 
 class CoverSorter:
@@ -59,29 +92,37 @@ class CoverSorter:
         #: the distance that leads two residues into the cover
         self.shift = np.array([[next(d for d in range(MODULUS) if (a + d) % MODULUS in COVER and (b + d) % MODULUS in COVER) for b in range(MODULUS)] for a in range(MODULUS)])
         blocks = -(-n // MODULUS) + 1
-        #: the place of each sample position in rank: by residue, then by block, so that position + 7 comes next
+        #: the place of each sample position in rank: by residue, then by block, so that position + 7 comes next; zeros follow the last block
         self.column = np.full(MODULUS, -1)
         self.column[cover] = np.arange(len(cover))
-        self.blocks = blocks
-        sample = (cover[:, None] + MODULUS * np.arange(blocks)).ravel()
-        rank, reach = dense_rank(self._seven(sample)), 1
-        # ranks to a depth of 7, 14, 28, 56 bytes
-        while MODULUS * reach < depth:
-            after = np.zeros((len(cover), blocks + reach), np.int64)
-            after[:, :blocks] = rank.reshape(len(cover), blocks) + 1
-            rank = dense_rank((rank.astype(np.uint64) << np.uint64(32)) | after[:, reach:].ravel().astype(np.uint64))
+        self.width = blocks + -(-depth // MODULUS)
+        slot = (np.arange(len(cover))[:, None] * self.width + np.arange(blocks)).ravel()
+        order, new = sort_sevens(self._seven((cover[:, None] + MODULUS * np.arange(blocks)).ravel()))
+        order, reach = slot[order], 1
+        self.rank_bits = len(slot).bit_length()
+        self.rank = np.zeros(len(cover) * self.width, np.int64)
+        self.rank[order] = group_starts(new) + 1
+        # ranks to a depth of 7, 14, 28, 56 bytes; a position that has its rank alone keeps it
+        while MODULUS * reach < depth and len(tied := in_groups(new)):
+            some = order[tied]
+            value, again = sort_with((self.rank[some] << self.rank_bits) | self.rank[some + reach], 2 * self.rank_bits)
+            order[tied] = some = some[again]
+            new[tied] = opens_group(value)
+            self.rank[some] = tied[group_starts(new[tied])] + 1
             reach *= 2
-        self.rank = rank
 
     def _seven(self, at: np.ndarray) -> np.ndarray:
         """The seven bytes from each position on, as a number that sorts as they do."""
-        return self.words[at].astype(np.uint64) >> np.uint64(8)
+        return (self.words[at].astype(np.uint64) >> np.uint64(8)).astype(np.int64)
 
     def _rank_at(self, at: np.ndarray) -> np.ndarray:
-        return self.rank[self.column[at % MODULUS] * self.blocks + at // MODULUS]
+        return self.rank[self.column[at % MODULUS] * self.width + at // MODULUS]
 
     def buckets(self, at: np.ndarray):
         """Numbers of the suffixes (of those that start at the positions) of one bucket after the other."""
+        if 0 < len(at) <= BUCKET:
+            yield np.arange(len(at))
+            return
         lead = self.text[at].astype(np.int64) * 256 + self.text[at + 1]
         size = np.bincount(lead, minlength=65536)
         part = np.cumsum(size) - size
@@ -92,26 +133,31 @@ class CoverSorter:
 
     def order(self, at: np.ndarray) -> np.ndarray:
         """The order of the suffixes of a bucket. Suffixes with the same first `depth` bytes stand together."""
-        key = self._seven(at)
-        group = dense_rank(key)
-        tied = np.flatnonzero(np.bincount(group)[group] > 1)
-        place = np.zeros(len(at), np.int64)
-        residue = at[tied] % MODULUS
-        kinds = [tied[residue == r] for r in range(MODULUS)]
-        for a, left in enumerate(kinds):
-            if not len(left):
-                continue
-            before = np.r_[0, np.cumsum(np.bincount(group[left], minlength=group.max() + 1))]
-            ranked = {}
-            for b, right in enumerate(kinds):
-                if not len(right):
-                    continue
-                d = int(self.shift[a, b])
-                if d not in ranked:
-                    ranked[d] = np.sort((group[left] << 32) | self._rank_at(at[left] + d))
-                # how many suffixes of one residue, equal in seven bytes, come before each of the other
-                place[right] += np.searchsorted(ranked[d], (group[right] << 32) | self._rank_at(at[right] + d)) - before[group[right]]
-        return np.argsort((group << 32) | place, kind="stable")
+        order, new = sort_sevens(self._seven(at))
+        tied = in_groups(new)
+        some, group = order[tied], group_starts(new)[tied]
+        start, bits = at[some], len(at).bit_length()
+        residue = start % MODULUS
+        kinds = [np.flatnonzero(residue == r) for r in range(MODULUS)]
+        # how many suffixes of the group come before
+        place = np.zeros(len(some), np.int64)
+        before = [np.r_[0, np.cumsum(np.bincount(group[kind], minlength=len(at)))] for kind in kinds]
+
+        @cache
+        def ranked(r: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            kind = kinds[r]
+            value, again = sort_with((group[kind] << self.rank_bits) | self._rank_at(start[kind] + d), bits + self.rank_bits)
+            return value, kind[again], value >> self.rank_bits
+
+        for a in range(MODULUS):
+            for b in range(MODULUS):
+                if len(kinds[a]) and len(kinds[b]):
+                    d = int(self.shift[a, b])
+                    # of one residue, equal in seven bytes, before each of the other
+                    value, right, own = ranked(b, d)
+                    place[right] += np.searchsorted(ranked(a, d)[0], value) - before[a][own]
+        order[tied] = some[sort_with(group + place, bits)[1]]
+        return order
 
     def opens(self, at: np.ndarray) -> np.ndarray:
         """Of suffixes in order, those that do not share their first `depth` bytes with the one before."""
@@ -123,17 +169,31 @@ class CoverSorter:
         return ~same
 
 
+def blocks_of(size: np.ndarray, deal: np.ndarray) -> list[np.ndarray]:
+    """Numbers of the passages of one block after the other: about BLOCK symbols, or the passages of a single hash."""
+    order = np.argsort(deal, kind="stable")
+    new = opens_group(deal[order])
+    begin = np.cumsum(size[order]) - size[order]
+    # a hash goes to the block in which its first passage starts
+    part = begin[group_starts(new)] // BLOCK
+    return np.split(order, np.flatnonzero(np.diff(part)) + 1)
+
+
 def smallest_documents(shape: Shape, symbols: np.ndarray, offsets: np.ndarray, doc: np.ndarray, deal: np.ndarray) -> np.ndarray:
     """For each window of each passage, the smallest document that has it."""
-    n = np.diff(offsets) - shape.window + 1
-    at, own = expand(offsets[:-1], n), np.repeat(doc, n)
-    out = np.full(len(at), FAR_DOC)
-    sorter = CoverSorter(symbols, shape.window)
-    for bucket in sorter.buckets(at):
-        bucket = bucket[sorter.order(at[bucket])]
-        new = sorter.opens(at[bucket])
-        least = np.minimum.reduceat(own[bucket], np.flatnonzero(new))
-        out[bucket] = least[np.cumsum(new) - 1]
+    size = np.diff(offsets)
+    n = size - shape.window + 1
+    begin = np.cumsum(n) - n
+    out = np.full(n.sum(), FAR_DOC)
+    for mine in blocks_of(size, deal):
+        windows, start = n[mine], np.cumsum(size[mine]) - size[mine]
+        at, own, to = expand(start, windows), np.repeat(doc[mine], windows), expand(begin[mine], windows)
+        sorter = CoverSorter(symbols[expand(offsets[mine], size[mine])], shape.window)
+        for bucket in sorter.buckets(at):
+            bucket = bucket[sorter.order(at[bucket])]
+            new = sorter.opens(at[bucket])
+            least = np.minimum.reduceat(own[bucket], np.flatnonzero(new))
+            out[to[bucket]] = least[np.cumsum(new) - 1]
     return out
 
 

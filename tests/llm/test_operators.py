@@ -204,6 +204,49 @@ def test_cover_sort_orders_suffixes():
     assert cut == sorted(cut) and sorter.opens(ordered).tolist() == [k == 0 or cut[k] != cut[k - 1] for k in range(len(cut))]
 
 
+@pytest.mark.parametrize("bucket", [262_144, 50])
+def test_suffixes_are_sorted_in_bounded_blocks(monkeypatch, bucket):
+    rng = random.Random(37)
+    deals = [bytes(rng.choice(b"ab") for _ in range(120)) for _ in range(40)]
+    rows = []
+    for deal, text in enumerate(deals):
+        for _ in range(30 if deal == 7 else 4):
+            a = rng.randint(0, 20)
+            rows.append((text[a : a + rng.randint(50, 90)] + bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 9))), rng.randint(0, 99), deal))
+    rng.shuffle(rows)
+    sizes = []
+    sort = suffix_blocks.CoverSorter
+
+    def sorter(text, depth):
+        sizes.append(len(text))
+        return sort(text, depth)
+
+    monkeypatch.setattr(suffix_blocks, "BLOCK", 1000, raising=False)
+    monkeypatch.setattr(suffix_blocks, "BUCKET", bucket)
+    monkeypatch.setattr(suffix_blocks, "CoverSorter", sorter)
+    symbols = np.frombuffer(b"".join(t for t, _, _ in rows), np.uint8)
+    offsets = np.r_[0, np.cumsum([len(t) for t, _, _ in rows])]
+    got = suffix_blocks.smallest_documents(suffix_blocks.SHAPE, symbols, offsets, np.array([d for _, d, _ in rows]), np.array([x for _, _, x in rows], np.uint64))
+    least = {}
+    windows = [(x, t[k : k + 50], d) for t, d, x in rows for k in range(len(t) - 49)]
+    for x, w, d in windows:
+        least[x, w] = min(d, least.get((x, w), d))
+    assert got.tolist() == [least[x, w] for x, w, _ in windows]
+    # no block is longer than BLOCK and the passages of a hash, of which one has more than BLOCK
+    most = {}
+    for t, _, x in rows:
+        most[x] = most.get(x, 0) + len(t)
+    assert sum(sizes) == len(symbols) and max(sizes) <= 1000 + max(most.values()) and len(sizes) > 5
+
+
+@pytest.mark.parametrize("bits", [10, 62])
+def test_keys_are_sorted_with_their_numbers(bits):
+    rng = random.Random(41)
+    key = np.array([rng.randrange(2**bits) for _ in range(300)] * 2)
+    value, order = suffix_blocks.sort_with(key, bits)
+    assert value.tolist() == sorted(key.tolist()) == key[order].tolist() and sorted(order.tolist()) == list(range(600))
+
+
 @pytest.mark.parametrize("hot", [64, 1])
 def test_repeats_with_split_anchors_and_small_segments(spark, tmp_path, monkeypatch, hot):
     from lattika.llm import repeats
